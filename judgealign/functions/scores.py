@@ -28,32 +28,41 @@ def parse_scores(
     if mode not in ("int", "float"):
         raise ValueError(f"unknown mode {mode!r}")
     keep = [c for c in df.columns if c not in dims]
-    parsed = df.withColumn("_json", F.try_parse_json(X.strip_fences(F.col(response))))
-
-    present, value = {}, {}
-    for d in dims:
-        path = f"$['{d}']"
-        raw = F.try_variant_get("_json", path, "variant")
-        number = F.try_variant_get("_json", path, "double")
-        as_text = F.try_variant_get("_json", path, "string")
-        present[d] = raw.isNotNull()
-        if mode == "int":
-            is_text = F.schema_of_variant(raw) == "STRING"
-            value[d] = F.when(is_text, X.as_int(as_text).cast("double")).otherwise(
-                F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
-            )
-        else:
-            # a number with a type suffix casts in SQL but is no number in JSON text
-            value[d] = F.when(~as_text.rlike(r"\d\.?[dDfF]\s*$"), number)
-
-    ok = reduce(lambda a, b: a & b, [~present[d] | value[d].isNotNull() for d in dims])
+    scored = F.col(response).isNotNull()
+    top = [F.col(f"`{d}`").cast("double").alias(f"_top{i}") if d in df.columns else F.lit(None).cast("double").alias(f"_top{i}") for i, d in enumerate(dims)]
+    tops = [f"_top{i}" for i in range(len(dims))]
+
+    # one projection per step, so that each value is computed once and only referred to afterwards
+    parsed = df.select(*keep, *top, F.try_parse_json(X.strip_fences(F.col(response))).alias("_json"))
+    raw = parsed.select(
+        *keep, *tops, *[F.try_variant_get("_json", f"$['{d}']", "variant").alias(f"_raw{i}") for i, d in enumerate(dims)]
+    )
+    values = raw.select(
+        *keep,
+        *tops,
+        *[F.col(f"_raw{i}").isNotNull().alias(f"_has{i}") for i in range(len(dims))],
+        *[_number(F.col(f"_raw{i}"), mode).alias(f"_val{i}") for i in range(len(dims))],
+    )
+    sound = [~F.col(f"_has{i}") | F.col(f"_val{i}").isNotNull() for i in range(len(dims))]
+    checked = values.withColumn("_ok", reduce(lambda a, b: a & b, sound))
     fallback = F.lit(float(default))
     out = []
-    for d in dims:
-        top = F.col(f"`{d}`").cast("double") if d in df.columns else F.lit(None).cast("double")
-        score = F.when(F.coalesce(ok, F.lit(False)) & present[d], value[d]).otherwise(fallback)
-        out.append(F.when(F.col(response).isNull(), top).otherwise(score).alias(d))
-    return parsed.select(*keep, *out)
+    for i, d in enumerate(dims):
+        score = F.when(F.col("_ok") & F.col(f"_has{i}"), F.col(f"_val{i}")).otherwise(fallback)
+        out.append(F.when(scored, score).otherwise(F.col(f"_top{i}")).alias(d))
+    return checked.select(*keep, *out)
+
+
+def _number(raw: Column, mode: str) -> Column:
+    """A JSON value as a number: numbers, booleans and numeric text; NULL for anything else."""
+    number = F.try_variant_get(raw, "$", "double")
+    as_text = F.try_variant_get(raw, "$", "string")
+    if mode == "int":
+        is_text = F.schema_of_variant(raw) == "STRING"
+        whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
+        return F.when(is_text, X.as_int(as_text).cast("double")).otherwise(whole)
+    # text with a type suffix such as 1d casts in SQL but is no number
+    return F.when(number.isNotNull() & ~as_text.rlike(r"\d\.?[dDfF]\s*$"), number)
 
 
 def separate_score(response: Column, error: Column, default: float = 1.0) -> Column:

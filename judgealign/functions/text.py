@@ -56,9 +56,10 @@ def strip_blank(text: Column) -> Column:
 
 
 def strip_fences(response: Column) -> Column:
-    """Drop markdown code fences and the blanks after them, then outer blanks."""
+    """Drop markdown code fences and the blanks after them, then outer blanks; other text stays as it is."""
     no_json = F.regexp_replace(response, r"(?U)```json\s*", "")
-    return strip_blank(F.regexp_replace(no_json, r"(?U)```\s*", ""))
+    fenced = F.contains(response, F.lit("```"))
+    return F.when(fenced, strip_blank(F.regexp_replace(no_json, r"(?U)```\s*", ""))).otherwise(response)
 
 
 def first_fenced_json(response: Column) -> Column:

@@ -6,34 +6,41 @@ count covers the wanted position, so no task holds all values of a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgealign.operators.ranks import running_counts
+from judgealign.operators.ranks import FEW_CELLS, Compressed, compress, running_counts
 from judgealign.schemas import OVERALL
 
 
-def count_values(df: DataFrame, keys: list[str], value: str, overall_dim: str | None = None) -> DataFrame:
+def count_values(
+    df: DataFrame, keys: list[str], value: str, overall_dim: str | None = None, few_cells: int = FEW_CELLS
+) -> Compressed:
     """``(keys, v, n)`` of the defined values; ``overall_dim`` also pools that key."""
     v = F.col(value).cast("double")
     counted = (
         df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, (v + 0.0).alias("v")).agg(F.count("*").alias("n"))
     )
-    if overall_dim is None:
-        return counted
-    others = [k for k in keys if k != overall_dim]
-    return (
-        counted.select(*others, F.explode(F.array(overall_dim, F.lit(OVERALL))).alias(overall_dim), "v", "n")
-        .groupBy(*others, overall_dim, "v")
-        .agg(F.sum("n").alias("n"))
-        .select(*keys, "v", "n")
-    )
+    if overall_dim is not None:
+        others = [k for k in keys if k != overall_dim]
+        counted = (
+            counted.select(*others, F.explode(F.array(overall_dim, F.lit(OVERALL))).alias(overall_dim), "v", "n")
+            .groupBy(*others, overall_dim, "v")
+            .agg(F.sum("n").alias("n"))
+            .select(*keys, "v", "n")
+        )
+    return compress(counted, few_cells)
 
 
-def quantiles(values: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
+def quantiles(values: Compressed, keys: list[str], qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours, one column per entry of ``qs``."""
-    totals = values.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    ranked = running_counts(values, keys, "v", ["n"]).join(totals, keys)
+    if values.few:
+        ranked = running_counts(values.df, keys, "v", ["n"], True).withColumn(
+            "_total", F.sum("n").over(Window.partitionBy(*keys))
+        )
+    else:
+        totals = values.df.groupBy(*keys).agg(F.sum("n").alias("_total"))
+        ranked = running_counts(values.df, keys, "v", ["n"]).join(totals, keys)
 
     def at(position: Column) -> Column:
         inside = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
@@ -53,9 +60,9 @@ def quantiles(values: DataFrame, keys: list[str], qs: dict[str, float]) -> DataF
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *lerp)
 
 
-def spread(values: DataFrame, keys: list[str]) -> DataFrame:
+def spread(values: Compressed, keys: list[str]) -> DataFrame:
     """count, mean, population and sample deviation, min, max, range from counted values."""
-    first = values.groupBy(*keys).agg(
+    first = values.df.groupBy(*keys).agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("v").alias("min"),
@@ -63,7 +70,7 @@ def spread(values: DataFrame, keys: list[str]) -> DataFrame:
     )
     dev = F.col("v") - F.col("mean")
     squares = (
-        values.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(F.sum(dev * dev * F.col("n")).alias("_ss"))
+        values.df.join(first.select(*keys, "mean"), keys).groupBy(*keys).agg(F.sum(dev * dev * F.col("n")).alias("_ss"))
     )
     n = F.col("count")
     return first.join(squares, keys).select(
@@ -81,21 +88,21 @@ def spread(values: DataFrame, keys: list[str]) -> DataFrame:
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
-def describe(values: DataFrame, keys: list[str]) -> DataFrame:
+def describe(values: Compressed, keys: list[str]) -> DataFrame:
     """Spread and quartiles per group."""
     return spread(values, keys).join(quantiles(values, keys, QUARTILES), keys)
 
 
-def histogram(values: DataFrame, keys: list[str], bins: int) -> DataFrame:
+def histogram(values: Compressed, keys: list[str], bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum, the last one closed; only bins that hold something.
 
     A constant series is spread over one unit around its value, as plotting tools do.
     """
-    ends = values.groupBy(*keys).agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
+    ends = values.df.groupBy(*keys).agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
     flat = F.col("_a") == F.col("_b")
     low = F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a"))
     width = F.when(flat, F.lit(1.0)).otherwise(F.col("_b") - F.col("_a")) / bins
-    placed = values.join(ends, keys).withColumns({"_low": low, "_width": width})
+    placed = values.df.join(ends, keys).withColumns({"_low": low, "_width": width})
     bin_no = F.least(F.floor((F.col("v") - F.col("_low")) / F.col("_width")), F.lit(bins - 1)).cast("bigint")
     return (
         placed.groupBy(*keys, bin_no.alias("bin"), "_low", "_width")
@@ -110,14 +117,14 @@ def histogram(values: DataFrame, keys: list[str], bins: int) -> DataFrame:
     )
 
 
-def box_table(values: DataFrame, keys: list[str]) -> DataFrame:
+def box_table(values: Compressed, keys: list[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 times the interquartile range, number of outliers."""
     q = quantiles(values, keys, QUARTILES)
     iqr = F.col("q75") - F.col("q25")
     fences = q.withColumns({"_lo": F.col("q25") - 1.5 * iqr, "_hi": F.col("q75") + 1.5 * iqr})
     inside = (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))
     return (
-        values.join(fences, keys)
+        values.df.join(fences, keys)
         .groupBy(*keys, "q25", "median", "q75")
         .agg(
             F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
@@ -127,9 +134,9 @@ def box_table(values: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def outliers(values: DataFrame, keys: list[str]) -> DataFrame:
+def outliers(values: Compressed, keys: list[str]) -> DataFrame:
     """The values beyond the whisker fences with their counts."""
     q = quantiles(values, keys, {"q25": 0.25, "q75": 0.75})
     iqr = F.col("q75") - F.col("q25")
     beyond = (F.col("v") < F.col("q25") - 1.5 * iqr) | (F.col("v") > F.col("q75") + 1.5 * iqr)
-    return values.join(q, keys).where(beyond).select(*keys, "v", "n")
+    return values.df.join(q, keys).where(beyond).select(*keys, "v", "n")

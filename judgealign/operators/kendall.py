@@ -11,10 +11,10 @@ The work is rows times log2(distinct y), fully partitioned; no window holds a wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgealign.operators.ranks import average_ranks, running_counts
+from judgealign.operators.ranks import Compressed, average_ranks, running_counts
 
 # exact for up to 1e19 pairs in one product; a sum of products may have 38 digits
 _EXACT = "decimal(38,0)"
@@ -25,10 +25,16 @@ def _choose2(n: Column) -> Column:
     return (d * (d - F.lit(1).cast("decimal(1,0)")) / 2).cast(_EXACT)
 
 
-def concordant(cells: DataFrame, keys: list[str], y_ranks: DataFrame) -> DataFrame:
+def concordant(cells: Compressed, keys: list[str], y_ranks: DataFrame) -> DataFrame:
     """Concordant pairs per group from cells ``(keys, x, y, n)``."""
-    top = y_ranks.groupBy(*keys).agg(F.max("dense").alias("_top"))
-    ranked = cells.join(y_ranks.select(*keys, "y", F.col("dense").alias("_yk")), [*keys, "y"]).join(top, keys)
+    if cells.few:
+        group = Window.partitionBy(*keys)
+        ranked = cells.df.select(
+            *keys, "x", "n", (F.dense_rank().over(group.orderBy("y")) - 1).cast("bigint").alias("_yk")
+        ).withColumn("_top", F.max("_yk").over(group))
+    else:
+        top = y_ranks.groupBy(*keys).agg(F.max("dense").alias("_top"))
+        ranked = cells.df.join(y_ranks.select(*keys, "y", F.col("dense").alias("_yk")), [*keys, "y"]).join(top, keys)
     bits = F.greatest(F.length(F.bin("_top")) - 1, F.lit(0))
     levels = ranked.select(*keys, "x", "n", "_yk", F.explode(F.sequence(F.lit(0), bits)).alias("_bit"))
     is_one = F.expr("shiftright(_yk, _bit) & 1") == 1
@@ -40,21 +46,23 @@ def concordant(cells: DataFrame, keys: list[str], y_ranks: DataFrame) -> DataFra
             F.sum(F.when(~F.col("_one"), F.col("n")).otherwise(0)).alias("zeros"),
         )
     )
-    counted = running_counts(per_x, [*keys, "_bit", "_high"], "x", ["zeros"])
+    counted = running_counts(per_x, [*keys, "_bit", "_high"], "x", ["zeros"], cells.few)
     product = F.col("ones").cast("decimal(19,0)") * F.col("before_zeros").cast("decimal(19,0)")
     return counted.groupBy(*keys).agg(F.sum(product).cast(_EXACT).alias("concordant"))
 
 
-def kendall(cells: DataFrame, keys: list[str]) -> DataFrame:
+def _tied(cells: Compressed, keys: list[str], value: str) -> DataFrame:
+    """Pairs tied on one side per group."""
+    per_value = cells.df.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    return per_value.groupBy(*keys).agg(F.sum(_choose2(F.col("n"))).alias(f"_t{value}"))
+
+
+def kendall(cells: Compressed, keys: list[str]) -> DataFrame:
     """tau-b per group from compressed pairs, with the pair counts; NULL for a constant side."""
-    y_ranks = average_ranks(cells, keys, "y")
+    y_ranks = None if cells.few else average_ranks(cells, keys, "y")
     conc = concordant(cells, keys, y_ranks)
-    tied_x = (
-        cells.groupBy(*keys, "x").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(_choose2(F.col("n"))).alias("_tx"))
-    )
-    tied_y = y_ranks.groupBy(*keys).agg(F.sum(_choose2(F.col("n"))).alias("_ty"))
-    totals = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(_choose2(F.col("n"))).alias("_txy"))
-    joined = totals.join(tied_x, keys).join(tied_y, keys).join(conc, keys)
+    totals = cells.df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(_choose2(F.col("n"))).alias("_txy"))
+    joined = totals.join(_tied(cells, keys, "x"), keys).join(_tied(cells, keys, "y"), keys).join(conc, keys)
     d = "double"
     n0 = _choose2(F.col("n")).cast(d)
     tx, ty, txy, c = (F.col(name).cast(d) for name in ("_tx", "_ty", "_txy", "concordant"))

@@ -1,14 +1,23 @@
 """Rank statistics without sorting a whole dimension in one task.
 
 There are few dimensions and many rows, so a window partitioned by dimension would put a dimension on one
-task. Rows are first compressed to (group, value, count). Counts of smaller values then come from three
-levels of small windows: coarse value cells, fine cells inside a coarse cell, values inside a fine cell.
-The cells are a fixed monotone function of the value, so no bounds are sampled, a recomputed task repeats
-them, and coarse and fine windows have at most 4096 rows each.
+task. Rows are first compressed to cells (group, x, y, count), which are kept (memory, then disk) because
+every statistic reads them, and counted:
+
+* few cells (:data:`FEW_CELLS`, the case of whole-number scores and trial means): plain windows per group;
+* many cells: counts of smaller values come from three levels of small windows: coarse value cells, fine
+  cells inside a coarse cell, values inside a fine cell. The cells are a fixed monotone function of the
+  value, so no bounds are sampled, a recomputed task repeats them, and coarse and fine windows have at most
+  4096 rows each.
+
+Both ways are exact and give the same numbers.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +26,26 @@ from judgealign.schemas import OVERALL
 
 _FINE = 4096
 
+# up to so many rows in a compressed table its groups are ranked by one window each
+FEW_CELLS = 200_000
+
+
+@dataclass
+class Compressed:
+    """A compressed table that is read several times, and whether it is small."""
+
+    df: DataFrame
+    few: bool
+
+    def release(self) -> None:
+        self.df.unpersist()
+
+
+def compress(df: DataFrame, few_cells: int = FEW_CELLS) -> Compressed:
+    """Keep a compressed table and count it. The count computes the input once; later reads use the kept rows."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return Compressed(kept, kept.count() <= few_cells)
+
 
 def value_cells(value: Column) -> tuple[Column, Column]:
     """(coarse, fine) cell numbers; both never decrease with the value.
@@ -30,11 +59,19 @@ def value_cells(value: Column) -> tuple[Column, Column]:
     return F.floor(fine / _FINE).cast("bigint"), fine
 
 
-def running_counts(values: DataFrame, groups: list[str], value: str, measures: list[str]) -> DataFrame:
+def running_counts(
+    values: DataFrame, groups: list[str], value: str, measures: list[str], few: bool = False
+) -> DataFrame:
     """Add ``before_<m>``: the sum of measure ``m`` over the smaller values of the group.
 
-    ``values`` has one row per (group, value).
+    ``values`` has one row per (group, value). ``few`` states that the table is known to be small.
     """
+    if few:
+        w = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return values.select(
+            *[f"`{c}`" for c in values.columns],
+            *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"before_{m}") for m in measures],
+        )
     before_rows = (Window.unboundedPreceding, -1)
 
     def earlier(cols, order, m):
@@ -66,32 +103,32 @@ def running_counts(values: DataFrame, groups: list[str], value: str, measures: l
 
 def count_pairs(
     pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", overall: bool = True,
-    exclude: tuple[str, ...] = (),
-) -> DataFrame:
+    exclude: tuple[str, ...] = (), few_cells: int = FEW_CELLS,
+) -> Compressed:
     """Compress pairs to ``(keys, x, y, n)``; with ``overall`` also for all dimensions pooled."""
     cells = (
         pairs.where(F.col(pred).isNotNull() & F.col(truth).isNotNull())
         .groupBy(*keys, (F.col(pred).cast("double") + 0.0).alias("x"), (F.col(truth).cast("double") + 0.0).alias("y"))
         .agg(F.count("*").alias("n"))
     )
-    if not overall:
-        return cells
-    label = F.array("dim", F.lit(OVERALL))
-    if exclude:
-        label = F.when(F.col("dim").isin(list(exclude)), F.array("dim")).otherwise(label)
-    others = [k for k in keys if k != "dim"]
-    return (
-        cells.select(*others, F.explode(label).alias("dim"), "x", "y", "n")
-        .groupBy(*others, "dim", "x", "y")
-        .agg(F.sum("n").alias("n"))
-        .select(*keys, "x", "y", "n")
-    )
-
-
-def average_ranks(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    if overall:
+        label = F.array("dim", F.lit(OVERALL))
+        if exclude:
+            label = F.when(F.col("dim").isin(list(exclude)), F.array("dim")).otherwise(label)
+        others = [k for k in keys if k != "dim"]
+        cells = (
+            cells.select(*others, F.explode(label).alias("dim"), "x", "y", "n")
+            .groupBy(*others, "dim", "x", "y")
+            .agg(F.sum("n").alias("n"))
+            .select(*keys, "x", "y", "n")
+        )
+    return compress(cells, few_cells)
+
+
+def average_ranks(cells: Compressed, keys: list[str], value: str) -> DataFrame:
     """``(keys, value, n, rank, dense)`` per distinct value: average rank of ties, and 0-based dense rank."""
-    values = cells.groupBy(*keys, value).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("bigint"))
-    counted = running_counts(values, keys, value, ["n", "one"])
+    values = cells.df.groupBy(*keys, value).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("bigint"))
+    counted = running_counts(values, keys, value, ["n", "one"], cells.few)
     return counted.select(
         *keys,
         value,
@@ -101,27 +138,42 @@ def average_ranks(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def spearman(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Spearman rho per group from compressed pairs: Pearson over average ranks."""
+def _ranked_cells(cells: Compressed, keys: list[str]) -> DataFrame:
+    """Cells with the average ranks of both sides and the mean rank of the group."""
+    if cells.few:
+        group = Window.partitionBy(*keys)
+
+        def rank(v: str) -> Column:
+            upto = group.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            return F.sum("n").over(upto) - (F.sum("n").over(Window.partitionBy(*keys, v)) - 1) / 2
+
+        return cells.df.select(
+            *keys, "n", rank("x").alias("rx"), rank("y").alias("ry"), ((F.sum("n").over(group) + 1) / 2).alias("mid")
+        )
     rx = average_ranks(cells, keys, "x").select(*keys, "x", F.col("rank").alias("rx"))
     ry = average_ranks(cells, keys, "y").select(*keys, "y", F.col("rank").alias("ry"))
-    ranked = cells.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
-    # ranks are centred on their mean (n + 1) / 2, which every group shares on both sides
-    totals = cells.groupBy(*keys).agg(((F.sum("n") + 1) / 2).alias("_mid"))
-    centred = ranked.join(totals, keys).select(
-        *keys, (F.col("rx") - F.col("_mid")).alias("pred"), (F.col("ry") - F.col("_mid")).alias("truth"), "n"
+    totals = cells.df.groupBy(*keys).agg(((F.sum("n") + 1) / 2).alias("mid"))
+    return cells.df.join(rx, [*keys, "x"]).join(ry, [*keys, "y"]).join(totals, keys)
+
+
+def spearman(cells: Compressed, keys: list[str]) -> DataFrame:
+    """Spearman rho per group from compressed pairs: Pearson over average ranks."""
+    # ranks are centred on their mean, which every group shares on both sides
+    centred = _ranked_cells(cells, keys).select(
+        *keys, (F.col("rx") - F.col("mid")).alias("pred"), (F.col("ry") - F.col("mid")).alias("truth"), "n"
     )
     return metrics(moments(centred, keys, weight="n")).select(*keys, "n", F.col("pearson").alias("spearman"))
 
 
-def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
+def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", few_cells: int = FEW_CELLS) -> DataFrame:
     """ROC AUC per group by rank sums; NULL where only one class is present."""
-    values = (
+    values = compress(
         scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(*keys, (F.col(score).cast("double") + 0.0).alias("v"))
-        .agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0"))
+        .agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")),
+        few_cells,
     )
-    ranked = running_counts(values, keys, "v", ["n0"])
+    ranked = running_counts(values.df, keys, "v", ["n0"], values.few)
     won = F.col("n1") * (F.col("before_n0") + F.col("n0") / 2)
     return ranked.groupBy(*keys).agg(
         F.sum("n1").alias("positives"),

@@ -340,7 +340,7 @@ def heatmap_table(spark, sf):
               / exp(lgamma(0.5) + lgamma((n - 2) / 2.0) - lgamma((n - 1) / 2.0))''')} as pearson_p
             from (select predictor, dim, n, asin(abs(pearson)) as a, (pi() / 2 - asin(abs(pearson))) / 20000 as h from pm) s,
                  (select i, case when i = 0 or i = 20000 then 1 when i % 2 = 1 then 4 else 2 end as w from range(20001) t(i)) g
-            group by predictor, dim, n""",
+            group by predictor, dim, n, h""",
         "predictor_pairs", pp=_PP, pr=_PR, pm=_PM,
     ),
 )

@@ -26,7 +26,7 @@ def agreement_report(
         pairs = pairs.where(finite(F.col("pred").cast("double")) & finite(F.col("truth").cast("double")))
     cells = ranks.count_pairs(pairs, keys, exclude=exclude)
     basic = moments.metrics(
-        moments.moments(cells.withColumnsRenamed({"x": "pred", "y": "truth"}), keys, weight="n")
+        moments.moments(cells.df.withColumnsRenamed({"x": "pred", "y": "truth"}), keys, weight="n")
     )
     rho = ranks.spearman(cells, keys).drop("n")
     tau = kendall(cells, keys).select(*keys, "kendall")
