@@ -63,9 +63,10 @@ def strip_fences(response: Column) -> Column:
 
 
 def first_fenced_json(response: Column) -> Column:
-    """The first fenced block, or the whole text, as compact JSON; NULL where it is not valid JSON."""
-    block = first_group(response, r"(?s)```json(.*?)```")
-    return F.to_json(F.try_parse_json(strip_blank(F.coalesce(block, response))))
+    """The first fenced block, or the whole text, where it is valid JSON; else NULL."""
+    block = F.regexp_extract(response, r"(?s)```json(.*?)```", 1)
+    text = strip_blank(F.when(response.rlike(r"(?s)```json(.*?)```"), block).otherwise(response))
+    return F.when(F.try_parse_json(text).isNotNull(), text)
 
 
 def as_float(text: Column) -> Column:
