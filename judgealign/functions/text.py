@@ -115,11 +115,15 @@ def report_patterns() -> dict[str, str]:
 
 
 def report_ratings(text: Column) -> Column:
-    """Map category -> rating for the categories found in a free-text evaluation."""
+    """Map category -> rating in a free-text evaluation, NULL for a category that is not found.
+
+    It is a plain map constructor without lambdas: exploding a lambda expression makes the optimizer infer the same
+    filter again and again.
+    """
     entries = []
     for category, pattern in report_patterns().items():
         entries += [F.lit(category), first_group(text, pattern).try_cast("double")]
-    return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
+    return F.create_map(*entries)
 
 
 def first_float(text: Column, marker_required: bool) -> Column:

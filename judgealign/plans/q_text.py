@@ -81,7 +81,9 @@ def _patterns_sql() -> str:
 
 @query("extract_report_patterns", sql(_patterns_sql(), "eval_texts"))
 def extract_report_patterns(spark, sf):
-    return X.eval_texts(spark, sf).select("id", F.explode(T.report_ratings(F.col("text"))).alias("category", "rating"))
+    return X.eval_texts(spark, sf).select("id", F.explode(T.report_ratings(F.col("text"))).alias("category", "rating")).where(
+        F.col("rating").isNotNull()
+    )
 
 
 @query(
@@ -92,8 +94,7 @@ def extract_report_patterns(spark, sf):
     ),
 )
 def rating_summary(spark, sf):
-    rated = X.eval_texts(spark, sf).select(T.report_ratings(F.col("text")).alias("ratings"))
-    return rounded(reports.rating_summary(rated, "ratings"), "mean", "std")
+    return rounded(reports.rating_summary(extract_report_patterns(spark, sf)), "mean", "std")
 
 
 @query(
@@ -503,7 +504,7 @@ def fewshot_conversations(spark, sf):
     selected = fewshot.similar(items, pool, ["char_profile", "char_style"], K)
     asked = items.select("item_id", F.col("char_profile").alias("prompt"), wav("item_id").alias("audio"))
     talks = fewshot.conversations(asked, selected, examples, texts.GENERAL, "You judge speech.")
-    return talks.select("item_id", F.posexplode("messages").alias("turn", "m")).select(
+    return talks.select("item_id", F.posexplode_outer("messages").alias("turn", "m")).select(
         "item_id", "turn", F.col("m.role").alias("role"), F.col("m.content")[0]["text"].alias("text"),
         F.get(F.col("m.content"), F.lit(1))["audio"].alias("audio"),
     )

@@ -224,15 +224,14 @@ def success_rates(df: DataFrame, score: Column, keys: list[str]) -> DataFrame:
     )
 
 
-def rating_summary(ratings: DataFrame, map_col: str) -> DataFrame:
-    """mean, deviation, min, max, count per category of a map of ratings."""
+def rating_summary(ratings: DataFrame, category: str = "category", rating: str = "rating") -> DataFrame:
+    """mean, deviation, min, max, count per category from rows ``(category, rating)``."""
     return (
-        ratings.select(F.explode(map_col).alias("category", "rating"))
-        .where(F.col("rating").isNotNull())
-        .groupBy("category")
+        ratings.where(F.col(rating).isNotNull())
+        .groupBy(F.col(category).alias("category"))
         .agg(
-            F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("std"), F.min("rating").alias("min"),
-            F.max("rating").alias("max"), F.count("rating").alias("count"),
+            F.avg(rating).alias("mean"), F.stddev_pop(rating).alias("std"), F.min(rating).alias("min"),
+            F.max(rating).alias("max"), F.count(rating).alias("count"),
         )
     )
 
