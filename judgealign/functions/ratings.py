@@ -40,6 +40,8 @@ def _bool(raw: Column) -> Column:
 
 def coerce(raw: Column, policy: str, gate: bool = False) -> Column:
     """One raw rating as a double; NULL means that the rating is dropped."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}; one of {POLICIES}")
     nan = F.lit(float("nan"))
     if policy in ("fill1", "fill1_bool"):
         flat = _flatten(raw)
@@ -51,9 +53,7 @@ def coerce(raw: Column, policy: str, gate: bool = False) -> Column:
         return F.when(raw == "N/A", 1.0).when(raw.isNotNull(), number)
     if policy == "drop_null_na1_gate":
         return F.when(raw == "N/A", 0.0 if gate else 1.0).when(raw.isNotNull(), number)
-    if policy == "fewshot_avg":
-        return F.when(raw.isNull() | (raw == "N/A"), 1.0).otherwise(number)
-    raise ValueError(f"unknown policy {policy!r}; one of {POLICIES}")
+    return F.when(raw.isNull() | (raw == "N/A"), 1.0).otherwise(number)  # fewshot_avg
 
 
 def clean(ratings: Column, policy: str, gate: bool = False) -> Column:

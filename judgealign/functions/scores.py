@@ -33,7 +33,7 @@ def parse_scores(
     tops = [f"_top{i}" for i in range(len(dims))]
 
     # one projection per step, so that each value is computed once and only referred to afterwards
-    parsed = df.select(*keep, *top, F.try_parse_json(X.strip_fences(F.col(response))).alias("_json"))
+    parsed = df.select(*keep, *top, X.strict_json(X.strip_fences(F.col(response))).alias("_json"))
     raw = parsed.select(
         *keep, *tops, *[F.try_variant_get("_json", f"$['{d}']", "variant").alias(f"_raw{i}") for i, d in enumerate(dims)]
     )

@@ -62,11 +62,25 @@ def strip_fences(response: Column) -> Column:
     return F.when(fenced, strip_blank(F.regexp_replace(no_json, r"(?U)```\s*", ""))).otherwise(response)
 
 
+def strict_json(text: Column) -> Column:
+    """The text as a VARIANT, NULL where it is not exactly one JSON value.
+
+    The parser itself stops after the first value and accepts whatever follows. A flat object that ends with its
+    only brace has nothing behind it. Any other text must also be valid as the single element of an array and
+    as the single value of an object: no tail is valid in both places.
+    """
+    value = F.try_parse_json(text)
+    flat = text.rlike(r"^[^{}]*\{[^{}]*\}\s*$")
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(flat, value).when(in_array & in_object, value)
+
+
 def first_fenced_json(response: Column) -> Column:
     """The first fenced block, or the whole text, where it is valid JSON; else NULL."""
     block = F.regexp_extract(response, r"(?s)```json(.*?)```", 1)
     text = strip_blank(F.when(response.rlike(r"(?s)```json(.*?)```"), block).otherwise(response))
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    return F.when(strict_json(text).isNotNull(), text)
 
 
 def as_float(text: Column) -> Column:

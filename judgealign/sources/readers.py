@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from judgealign import schemas
 from judgealign.functions.keys import result_key, truth_key
+from judgealign.functions.text import strict_json
 from judgealign.operators.align import last_wins
 
 CORRUPT = "_corrupt_record"
@@ -17,6 +18,20 @@ def _file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def _json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """Parsed lines in ``j`` (a bad line has its text in ``j._corrupt_record``), with the place of each line.
+
+    The lines are read as text and parsed in the plan, so that a bad line is recognised whatever columns are used.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(
+        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        _file_name().alias("source_file"),
+    )
+
+
 def read_items(spark: SparkSession, path: str | list[str], rubric: str = "realism", dedupe: bool = True) -> DataFrame:
     """Annotated items keyed by ``item_id``. Of several lines with one key the last one wins.
 
@@ -24,17 +39,8 @@ def read_items(spark: SparkSession, path: str | list[str], rubric: str = "realis
     inside a task grows in reading order, which is what ``monotonically_increasing_id`` gives.
     """
     schema = schemas.REALISM_ITEM if rubric == "realism" else schemas.ARCHETYPE_ITEM
-    df = spark.read.schema(schema).json(path)
-    df = df.withColumns(
-        {
-            "_file": F.col("_metadata.file_path"),
-            "_block": F.col("_metadata.file_block_start"),
-            "_row": F.monotonically_increasing_id(),
-            "item_id": truth_key(F.col("id")),
-        }
-    )
-    # an item without an id is no item; corrupt lines have none either
-    df = df.where(F.col("item_id").isNotNull())
+    df = _json_lines(spark, path, schema).select("j.*", "_file", "_block", F.monotonically_increasing_id().alias("_row"))
+    df = df.where(F.col(CORRUPT).isNull()).withColumn("item_id", truth_key(F.col("id")))
     if dedupe:
         df = last_wins(df, "item_id", ["_file", "_block", "_row"])
     return df.drop("_file", "_block", "_row", CORRUPT)
@@ -45,14 +51,14 @@ def read_results(
 ) -> DataFrame:
     """Judge results with ``item_id`` and ``source_file``; ``dims`` adds top-level score columns."""
     schema = schemas.judge_result_schema(dims) if dims else schemas.JUDGE_RESULT
-    df = spark.read.schema(schema).json(path).withColumn("source_file", _file_name())
-    good = df.where(F.col(CORRUPT).isNull())
-    return good.drop(CORRUPT).withColumn("item_id", result_key(F.col("audio_path"), F.col("id"), strict_keys))
+    df = _json_lines(spark, path, schema).select("j.*", "source_file")
+    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good.withColumn("item_id", result_key(F.col("audio_path"), F.col("id"), strict_keys))
 
 
 def corrupt_lines(spark: SparkSession, path: str | list[str], schema: T.StructType = schemas.JUDGE_RESULT) -> DataFrame:
     """Number of unreadable lines per file."""
-    df = spark.read.schema(schema).json(path).select(_file_name().alias("source_file"), CORRUPT)
+    df = _json_lines(spark, path, schema).select("source_file", f"j.{CORRUPT}")
     return df.groupBy("source_file").agg(F.count(CORRUPT).alias("bad_lines"), F.count("*").alias("lines"))
 
 
@@ -76,22 +82,15 @@ def missing_trials(results: DataFrame, trials: int = 5) -> list[int]:
 def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary") -> DataFrame:
     """A folder of JSON array files, one per dimension, with ``source_file``.
 
-    Truncated files are cut and read again, see :func:`salvage_arrays`. Every file is one task, as JSON arrays
-    cannot be split; write them once to parquet for repeated use.
+    Truncated files are cut, see :func:`salvage_arrays`. Every file is one task, as JSON arrays cannot be split;
+    write them once to parquet for repeated use.
     """
-    path = f"{directory.rstrip('/')}/*.json"
-    fields = list(schemas.DIMENSION_RESULT.fields) + [T.StructField(CORRUPT, T.StringType())]
-    df = spark.read.schema(T.StructType(fields)).option("multiLine", True).json(path)
-    df = df.withColumn("source_file", _file_name())
-    whole = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    broken = df.where(F.col(CORRUPT).isNotNull()).select("source_file").distinct()
-    texts = spark.read.text(path, wholetext=True).withColumn("source_file", _file_name())
-    saved = salvage_arrays(texts.join(broken, "source_file", "left_semi"), "value", schemas.DIMENSION_RESULT, salvage)
-    return whole.unionByName(saved)
+    texts = spark.read.text(f"{directory.rstrip('/')}/*.json", wholetext=True).withColumn("source_file", _file_name())
+    return salvage_arrays(texts, "value", schemas.DIMENSION_RESULT, salvage)
 
 
 def salvage_arrays(texts: DataFrame, text: str, schema: T.StructType, rule: str = "boundary") -> DataFrame:
-    """Objects of truncated JSON arrays, one row each, next to the other columns.
+    """Objects of JSON arrays, one row each, next to the other columns; truncated arrays are cut first.
 
     ``rule="last_comma"`` cuts at the last comma, closes the array and parses; a cut inside an object leaves
     nothing. ``rule="boundary"`` falls back to the last comma that follows a closing brace.
@@ -103,9 +102,9 @@ def salvage_arrays(texts: DataFrame, text: str, schema: T.StructType, rule: str
     def attempt(cut: Column) -> Column:
         closed = F.concat(cut, F.lit("]"))
         # validity is tested on the whole text, as a typed parse would accept a broken tail
-        return F.when(F.try_parse_json(closed).isNotNull(), F.from_json(closed, array, fail))
+        return F.when(strict_json(closed).isNotNull(), F.from_json(closed, array, fail))
 
-    plain = F.when(F.try_parse_json(value).isNotNull(), F.from_json(value, array, fail))
+    plain = F.when(strict_json(value).isNotNull(), F.from_json(value, array, fail))
     parsed = F.coalesce(plain, attempt(F.regexp_extract(value, r"(?s)^(.*),", 1)))
     if rule == "boundary":
         parsed = F.coalesce(parsed, attempt(F.regexp_extract(value, r"(?s)^(.*\})\s*,", 1)))
