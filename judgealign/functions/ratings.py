@@ -22,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from judgealign.functions.scores import nan_to_null
 from judgealign.functions.text import as_float, as_int, strip_blank
 
 POLICIES = ("fill1", "fill1_bool", "drop_null", "drop_null_na1", "drop_null_na1_gate", "fewshot_avg")
@@ -63,18 +62,27 @@ def clean(ratings: Column, policy: str, gate: bool = False) -> Column:
 
 def finish(mean: Column, policy: str) -> Column:
     """A mean of coerced ratings (NaN = undefined) as the policy's result."""
-    defined = nan_to_null(mean)
+    defined = F.nanvl(mean, F.lit(None).cast("double"))
     return F.bround(defined) if policy == "fewshot_avg" else defined
 
 
+def mean(values: Column) -> Column:
+    """Mean of the non-null elements of an array in one pass, NULL where there is none."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    return F.aggregate(
+        values,
+        start,
+        lambda acc, v: F.struct((acc["s"] + F.coalesce(v, F.lit(0.0))).alias("s"), (acc["n"] + v.isNotNull().cast("int")).alias("n")),
+        lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]),
+    )
+
+
 def mean_of(ratings: Column, policy: str) -> Column:
     """Mean of a list of raw ratings under a policy, NULL where undefined."""
-    values = clean(ratings, policy)
-    total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-    mean = finish(F.when(F.size(values) > 0, total / F.size(values)), policy)
+    result = finish(mean(F.transform(ratings, lambda r: coerce(r, policy))), policy)
     if policy == "fewshot_avg":
-        return F.when(F.size(ratings) == 0, 1.0).otherwise(mean)
-    return mean
+        return F.when(F.size(ratings) == 0, 1.0).otherwise(result)
+    return result
 
 
 def mean_or_null(coerced: Column, policy: str) -> Column:

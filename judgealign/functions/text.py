@@ -43,9 +43,6 @@ REPORT_TAGS = [
 ]
 # ------------------------------------------------------------------------------------------------------
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """First match, or NULL. An empty but matching group is NULL too."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -84,14 +81,14 @@ def first_fenced_json(response: Column) -> Column:
 
 
 def as_float(text: Column) -> Column:
-    """Decimal number with optional exponent, else NULL (type suffixes such as ``1d`` are no numbers)."""
-    t = strip_blank(text)
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    """Decimal number with optional exponent, else NULL (``1d``, ``inf`` and ``nan`` cast in SQL but are no numbers)."""
+    number = text.try_cast("double")
+    return F.when(number.isNotNull() & text.rlike(r"[0-9.]\s*$"), number)
 
 
 def as_int(text: Column) -> Column:
-    t = strip_blank(text)
-    return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint"))
+    """Whole number with optional sign and outer blanks, else NULL."""
+    return text.try_cast("bigint")
 
 
 def is_float_text(text: Column) -> Column:

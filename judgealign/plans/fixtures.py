@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgealign.schemas import ARCHETYPE_DIMS, REALISM_DIMS
+from judgealign.session import spread
 
 DIMS3 = ["quality", "emphasis", "fit"]
 
@@ -29,7 +30,7 @@ def ann_wide(spark: SparkSession, sf: str) -> DataFrame:
             f" else cast(1 + cast(round({v}) as bigint) % 5 as string) end"
         )
 
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")).select(
         F.col("l_orderkey").alias("item_id"),
         F.col("l_linenumber").alias("annotator"),
         F.expr(rating("l_quantity")).alias("quality"),
@@ -54,7 +55,7 @@ def judge(spark: SparkSession, sf: str) -> DataFrame:
              ', "fit": ', 1 + (o_orderkey + trial) % 4, '.5}',
              case when o_orderkey % 7 = 0 then concat(chr(10), '```') else '' end) end"""
     return (
-        table(spark, sf, "orders")
+        spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
         .select("o_orderkey", "o_custkey", "o_totalprice", F.explode(F.array(*[F.lit(t) for t in range(3)])).alias("trial"))
         .select(
             F.col("o_orderkey").alias("item_id"),
@@ -83,7 +84,7 @@ def gate_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def dimres(spark: SparkSession, sf: str) -> DataFrame:
     """One dimension per row, two predictors, three ratings."""
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id", "event_type", "user_id", "value")).select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("dim"),
         F.expr("case when event_id % 50 = 0 then null else 1 + cast(round(value) as bigint) % 5 end").alias("model_score"),
@@ -130,7 +131,7 @@ def gate_results(spark: SparkSession, sf: str) -> DataFrame:
     args = ["event_id + user_id", "event_id + 2 * user_id", "event_id * 3 + user_id", "event_id * 5 + 3 * user_id"]
     dim = F.when(is_gate, "content_pass").otherwise(F.col("event_type"))
     ratings = F.when(is_gate, F.array(*[vote(a) for a in args])).otherwise(F.array(*[score(a) for a in args]))
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id", "event_type", "user_id", "value")).select(
         F.col("event_id").cast("string").alias("id"),
         dim.alias("specific_dimension"),
         F.expr("cast(1 + cast(round(value) as bigint) % 5 as double)").alias("model_score"),
@@ -142,7 +143,7 @@ def gate_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Raw judge text in six shapes."""
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id", "event_type", "user_id")).select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("dim"),
         F.expr("""
@@ -157,7 +158,7 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 def eval_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Free-text evaluations with labelled ratings and tags."""
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id", "event_type", "user_id")).select(
         F.col("event_id").alias("id"),
         F.expr("""
           concat('Voice: ok', chr(10), 'Rhythmic Naturalness: ', 1 + event_id % 5, chr(10),
@@ -199,7 +200,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
         for j, (d, _, _) in enumerate(ARCHETYPE_DIMS[:3])
     ]
     cols.append(F.expr("array(" + ", ".join(_gate_expr()) + ")").alias("content_pass"))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("item_id"),
         F.col("text").alias("char_profile"),
         F.expr("concat(lang, ' ', source)").alias("char_style"),

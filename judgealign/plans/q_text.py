@@ -237,10 +237,6 @@ def separate_merge(spark, sf):
     return align.merge_dimensions(scored, X.DIMS3)
 
 
-_CUT = """select o_orderkey as k, concat('[{"id":"', o_orderkey, '","model_score":', 1 + o_custkey % 5, '},{"id":"', o_orderkey, 'b","model_score":2}',
-    case o_orderkey % 4 when 0 then ']' when 1 then ',{"id":' when 2 then ',{"id":"z","m' else '' end) as t"""
-
-
 def _salvage(spark, sf, rule: str) -> DataFrame:
     rows = X.table(spark, sf, "orders").selectExpr(*[c for c in (
         "o_orderkey as k",
@@ -253,18 +249,21 @@ def _salvage(spark, sf, rule: str) -> DataFrame:
     return salvage_arrays(rows, "t", schema, rule)
 
 
-def _salvage_sql(first: str, second: str) -> str:
-    return f"""select o_orderkey as k, cast(o_orderkey as varchar) as id, cast(1 + o_custkey % 5 as double) as model_score from orders where {first}
-        union all select o_orderkey, concat(o_orderkey, 'b'), 2.0 from orders where {second}"""
+def _salvage_sql(cut_inside: str, bracket_only: str) -> str:
+    """Expected objects per text: both, the first one or none, by the way the text ends."""
+    both = "[{'id': cast(o_orderkey as varchar), 'model_score': cast(1 + o_custkey % 5 as double)}, {'id': concat(o_orderkey, 'b'), 'model_score': 2.0::double}]"
+    kept = {"both": both, "first": f"{both}[1:1]", "none": f"{both}[1:0]"}
+    return f"""select k, o.id, o.model_score from (select o_orderkey as k, unnest(case o_orderkey % 4 when 0 then {both} when 1 then {both}
+        when 2 then {kept[cut_inside]} else {kept[bracket_only]} end) as o from orders)"""
 
 
-@query("salvage_boundary", _salvage_sql("true", "o_orderkey % 4 <> 3"))
+@query("salvage_boundary", _salvage_sql("both", "first"))
 def salvage_boundary(spark, sf):
     """Truncated arrays: whole objects before the cut are kept."""
     return _salvage(spark, sf, "boundary")
 
 
-@query("salvage_last_comma", _salvage_sql("o_orderkey % 4 in (0, 1)", "o_orderkey % 4 in (0, 1)"))
+@query("salvage_last_comma", _salvage_sql("none", "none"))
 def salvage_last_comma(spark, sf):
     """Truncated arrays by the last-comma rule: a cut inside an object leaves nothing."""
     return _salvage(spark, sf, "last_comma")

@@ -96,8 +96,10 @@ def prepare_folder(results: DataFrame, policy: str = "drop_null_na1", mapping: d
     is_gate = F.col("specific_dimension") == GATE_DIM
 
     def mean(values):
-        total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-        return R.finish(F.when(F.size(values) > 0, total / F.size(values)), policy)
+        return R.finish(R.mean(values), policy)
+
+    def coerced(r):
+        return F.transform(r, lambda x: R.coerce(x, policy))
 
     def vote(values):
         passes = F.size(F.filter(values, lambda v: v == 1))
@@ -113,9 +115,9 @@ def prepare_folder(results: DataFrame, policy: str = "drop_null_na1", mapping: d
     others = F.map_filter(F.col("ground_truth_ratings"), lambda k, _: k != CONFIDENCE_FIELD)
     averages = F.transform_values(
         others,
-        lambda k, r: F.when(k == GATE_DIM, vote(R.clean(r, policy, gate=True))).otherwise(mean(R.clean(r, policy)))
+        lambda k, r: F.when(k == GATE_DIM, vote(R.clean(r, policy, gate=True))).otherwise(mean(coerced(r)))
         if gate
-        else mean(R.clean(r, policy)),
+        else mean(coerced(r)),
     )
     keep = [c for c in ("id", "source_file") if c in results.columns]
     return (
