@@ -77,8 +77,13 @@ def truth_means_long(
     )
 
 
-def pair_up(pred: DataFrame, truth: DataFrame, dims: list[str], key: str = "item_id") -> DataFrame:
-    """Inner join of wide predictions and wide truths, then one row per dimension that both have."""
+def pair_up(
+    pred: DataFrame, truth: DataFrame, dims: list[str], key: str = "item_id", keep_unmatched: bool = False
+) -> DataFrame:
+    """Inner join of wide predictions and wide truths, then one row per dimension that both have.
+
+    ``keep_unmatched`` keeps predictions without a truth, with a NULL truth.
+    """
     has_trials = all(f"{d}_std" in pred.columns for d in dims)
     t = truth.select(key, *[F.col(d).alias(f"_t_{d}") for d in dims])
     cells = []
@@ -87,7 +92,9 @@ def pair_up(pred: DataFrame, truth: DataFrame, dims: list[str], key: str = "item
         if has_trials:
             fields += [F.col(f"{d}_std").alias("trial_std"), F.col(f"{d}_count").alias("trial_count")]
         cells.append(F.struct(*fields))
-    joined = pred.join(t, key, "inner").select(key, F.inline(F.array(*cells)))
+    joined = pred.join(t, key, "left" if keep_unmatched else "inner").select(key, F.inline(F.array(*cells)))
+    if keep_unmatched:
+        return joined
     return joined.where(F.col("truth").isNotNull() & F.col("pred").isNotNull())
 
 

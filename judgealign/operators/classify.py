@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgealign.functions.ratings import coerce, majority
-from judgealign.operators.ranks import auc
+from judgealign.operators.ranks import auc_of, class_counts
 
 
 def vote_counts(votes: DataFrame, key: str = "item_id", vote: str = "vote", policy: str = "fill1_bool") -> DataFrame:
@@ -28,23 +28,14 @@ def majority_vote(counts: DataFrame, tie: str) -> DataFrame:
     return counts.where(F.col("votes") > 0).withColumn("label", label)
 
 
-def confusion(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
-    """tp, fp, tn, fn, accuracy, precision, recall, f1 per group; a zero denominator gives 0."""
-    p, g = F.col(score) >= threshold, F.col(label)
-    counts = scored.where(F.col(score).isNotNull() & g.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.count_if(p & (g == 1)).alias("tp"),
-        F.count_if(p & (g == 0)).alias("fp"),
-        F.count_if(~p & (g == 0)).alias("tn"),
-        F.count_if(~p & (g == 1)).alias("fn"),
-    )
+def _confusion(counts: DataFrame, keys: list[str]) -> DataFrame:
     def ratio(a, b):
         return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
 
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return counts.select(
-        *keys, "n", "tp", "fp", "tn", "fn",
+        *keys, (tp + fp + tn + fn).alias("n"), "tp", "fp", "tn", "fn",
         ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"),
         precision.alias("precision"),
         recall.alias("recall"),
@@ -52,10 +43,29 @@ def confusion(scored: DataFrame, keys: list[str], score: str = "score", label: s
     )
 
 
+def confusion(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """tp, fp, tn, fn, accuracy, precision, recall, f1 per group; a zero denominator gives 0."""
+    p, g = F.col(score) >= threshold, F.col(label)
+    counts = scored.where(F.col(score).isNotNull() & g.isNotNull()).groupBy(*keys).agg(
+        F.count_if(p & (g == 1)).alias("tp"),
+        F.count_if(p & (g == 0)).alias("fp"),
+        F.count_if(~p & (g == 0)).alias("tn"),
+        F.count_if(~p & (g == 1)).alias("fn"),
+    )
+    return _confusion(counts, keys)
+
+
 def classification(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
-    """Confusion metrics and ROC AUC per group."""
-    areas = auc(scored, keys, score, label).select(*keys, "auc")
-    return confusion(scored, keys, score, label, threshold).join(areas, keys, "left")
+    """Confusion metrics and ROC AUC per group, both from the same compressed table of score values."""
+    values = class_counts(scored, keys, score, label)
+    p = F.col("v") >= threshold
+    counts = values.df.groupBy(*keys).agg(
+        F.sum(F.when(p, F.col("n1")).otherwise(0)).alias("tp"),
+        F.sum(F.when(p, F.col("n0")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~p, F.col("n0")).otherwise(0)).alias("tn"),
+        F.sum(F.when(~p, F.col("n1")).otherwise(0)).alias("fn"),
+    )
+    return _confusion(counts, keys).join(auc_of(values, keys).select(*keys, "auc"), keys, "left")
 
 
 def confusion_matrix(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -75,10 +85,11 @@ def per_label_accuracy(df: DataFrame, keys: list[str], pred: str = "pred", truth
         F.sum(F.coalesce(hit, F.lit(0))).alias("_hits"), F.count("*").alias("n")
     )
     acc = F.col("_hits") / F.col("n")
-    labels = per.select(*keys, "label", acc.alias("accuracy"), "n")
-    overall = per.groupBy(*keys).agg((F.sum("_hits") / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
-    average = per.groupBy(*keys).agg(F.avg(acc).alias("accuracy"), F.sum("n").alias("n"))
-    return (
-        labels.unionByName(overall.withColumn("label", F.lit("overall")))
-        .unionByName(average.withColumn("label", F.lit("average")))
+    # each label row also counts for the two summaries, so the rows behind are read once
+    rows = per.select(
+        *keys, F.explode(F.array("label", F.lit("overall"), F.lit("average"))).alias("label"), "_hits", "n", acc.alias("_acc")
+    )
+    by_rows = F.sum("_hits") / F.sum("n")
+    return rows.groupBy(*keys, "label").agg(
+        F.when(F.col("label") == "average", F.avg("_acc")).otherwise(by_rows).alias("accuracy"), F.sum("n").alias("n")
     )

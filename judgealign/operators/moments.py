@@ -57,11 +57,17 @@ def merge_moments(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_overall(sums: DataFrame, keys: list[str], dim: str = "dim", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Add the pooled group of all dimensions. ``exclude`` keeps gate dimensions out of the pool."""
-    pool = sums.where(~F.col(dim).isin(list(exclude))) if exclude else sums
-    others = [k for k in keys if k != dim]
-    overall = pool.groupBy(*others).agg(*_merge()).withColumn(dim, F.lit(OVERALL))
-    return sums.unionByName(overall)
+    """Add the pooled group of all dimensions. ``exclude`` keeps gate dimensions out of the pool.
+
+    Each row of sums goes to its own group and to the pool, and the groups are added up once more: the rows
+    behind the sums are read once.
+    """
+    label = F.array(F.col(dim), F.lit(OVERALL))
+    if exclude:
+        label = F.when(F.col(dim).isin(list(exclude)), F.array(dim)).otherwise(label)
+    others = [c for c in sums.columns if c != dim]
+    doubled = sums.select(*others, F.explode(label).alias(dim))
+    return merge_moments(doubled, keys)
 
 
 def correlation(n: Column, sp: Column, sg: Column, spp: Column, sgg: Column, spg: Column, constant: Column) -> Column:

@@ -165,14 +165,20 @@ def spearman(cells: Compressed, keys: list[str]) -> DataFrame:
     return metrics(moments(centred, keys, weight="n")).select(*keys, "n", F.col("pearson").alias("spearman"))
 
 
-def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", few_cells: int = FEW_CELLS) -> DataFrame:
-    """ROC AUC per group by rank sums; NULL where only one class is present."""
-    values = compress(
+def class_counts(
+    scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", few_cells: int = FEW_CELLS
+) -> Compressed:
+    """``(keys, v, n1, n0)``: positives and negatives per score value."""
+    return compress(
         scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(*keys, (F.col(score).cast("double") + 0.0).alias("v"))
         .agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")),
         few_cells,
     )
+
+
+def auc_of(values: Compressed, keys: list[str]) -> DataFrame:
+    """ROC AUC per group by rank sums; NULL where only one class is present."""
     ranked = running_counts(values.df, keys, "v", ["n0"], values.few)
     won = F.col("n1") * (F.col("before_n0") + F.col("n0") / 2)
     return ranked.groupBy(*keys).agg(
@@ -180,3 +186,8 @@ def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "
         F.sum("n0").alias("negatives"),
         F.try_divide(F.sum(won), F.sum("n1").cast("double") * F.sum("n0")).alias("auc"),
     )
+
+
+def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", few_cells: int = FEW_CELLS) -> DataFrame:
+    """ROC AUC per group of scored rows."""
+    return auc_of(class_counts(scored, keys, score, label, few_cells), keys)

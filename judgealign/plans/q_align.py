@@ -161,10 +161,9 @@ def trial_consistency(spark, sf):
 )
 def trial_summary(spark, sf):
     """Trial counts over all items, matched or not, and the mean deviation over dimensions."""
-    counts = reports.trial_counts(trial_wide(spark, sf), "quality_count")
-    mean_std = reports.consistency_summary(reports.trial_consistency(trial_pairs(spark, sf)))
-    out = counts.withColumn("avg_std_across_dimensions", mean_std.scalar())
-    return rounded(out, "avg_trial_count", "std_trial_count", "avg_std_across_dimensions")
+    truth = align.truth_means_wide(X.ann_wide(spark, sf), DIMS3, "fill1")
+    everything = align.pair_up(trial_wide(spark, sf), truth, DIMS3, keep_unmatched=True)
+    return rounded(reports.trial_summary(everything, "quality"), "avg_trial_count", "std_trial_count", "avg_std_across_dimensions")
 
 
 @query(

@@ -49,15 +49,22 @@ def trial_consistency(pairs: DataFrame) -> DataFrame:
     )
 
 
-def trial_counts(trials: DataFrame, count_col: str) -> DataFrame:
-    """Mean and deviation of the number of usable trials over all items, matched or not: one row."""
-    return trials.agg(F.avg(count_col).alias("avg_trial_count"), F.stddev_pop(count_col).alias("std_trial_count"))
+def trial_summary(all_pairs: DataFrame, count_dim: str, exclude: tuple[str, ...] = (GATE_DIM,)) -> DataFrame:
+    """Mean and deviation of the number of usable trials, mean trial deviation over dimensions: one row.
 
-
-def consistency_summary(per_dim: DataFrame, exclude: tuple[str, ...] = (GATE_DIM,)) -> DataFrame:
-    """Mean of the per-dimension trial deviations, gate dimensions left out: one row."""
-    return per_dim.where(~F.col("dim").isin(list(exclude))).agg(
-        F.avg("trial_std_mean").alias("avg_std_across_dimensions")
+    ``all_pairs`` comes from ``pair_up(..., keep_unmatched=True)``: counts are over all items, deviations over the
+    matched ones. The counts are those of one dimension, gate dimensions do not enter the deviations.
+    """
+    per_dim = all_pairs.groupBy("dim").agg(
+        F.avg("trial_count").alias("_avg"),
+        F.stddev_pop("trial_count").alias("_std"),
+        F.avg(F.when(F.col("truth").isNotNull(), F.col("trial_std"))).alias("_dev"),
+    )
+    own = F.col("dim") == count_dim
+    return per_dim.agg(
+        F.max(F.when(own, F.col("_avg"))).alias("avg_trial_count"),
+        F.max(F.when(own, F.col("_std"))).alias("std_trial_count"),
+        F.avg(F.when(~F.col("dim").isin(list(exclude)), F.col("_dev"))).alias("avg_std_across_dimensions"),
     )
 
 
