@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgealign.functions import ratings as R
+from judgealign.functions import text as X
+from judgealign.functions.keys import nested_or_top
+from judgealign.functions.scores import range_check
+from judgealign.schemas import CONFIDENCE_FIELD, dim_map
 
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -151,3 +155,57 @@ def first_source(df: DataFrame, sources: list[str]) -> Column:
 def pending(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFrame:
     """Items that have no stored result yet."""
     return items.join(done.select(key), key, "left_anti")
+
+
+def rename_dims(df: DataFrame, rubric: str, dim: str = "dim") -> DataFrame:
+    """Add the annotation field of each prediction dimension; an unknown dimension keeps its name."""
+    names = dim_map(df.sparkSession).where(F.col("rubric") == rubric).select(F.col("dim").alias(dim), "gt_field")
+    joined = df.join(F.broadcast(names), dim, "left")
+    return joined.withColumn("gt_field", F.coalesce("gt_field", dim))
+
+
+def validate(df: DataFrame, rubric: str, dim: str = "dim", score: str = "score") -> DataFrame:
+    """Add ``reason``: why a score breaks the form of its dimension (missing, range, fraction, unknown), else NULL."""
+    forms = dim_map(df.sparkSession).where(F.col("rubric") == rubric).select(F.col("dim").alias(dim), "lo", "hi")
+    joined = df.join(F.broadcast(forms), dim, "left")
+    reason = F.when(F.col("lo").isNull(), "unknown").otherwise(range_check(F.col(score), F.col("lo"), F.col("hi")))
+    return joined.withColumn("reason", reason).drop("lo", "hi")
+
+
+def result_records(items: DataFrame, outputs: DataFrame, fields: list[str], key: str = "item_id") -> DataFrame:
+    """Dimension-result records: the item, the raw output, its score, and all ratings as a map.
+
+    ``outputs`` has ``(key, specific_dimension, raw_model_output, probability_score)``. Texts that are missing
+    become '', rating lists that are missing become empty. The join is on the item key, never by position.
+    """
+    texts = [n for n in ("original_id", "char_profile", "char_style", "transcript", "local_scene") if n != key]
+    ratings = F.create_map(
+        *[
+            x
+            for f in [*fields, CONFIDENCE_FIELD]
+            for x in (F.lit(f), F.coalesce(nested_or_top(items, f).cast("array<string>"), F.array().cast("array<string>")))
+        ]
+    )
+    known = items.select(
+        key,
+        *[(F.coalesce(F.col(t), F.lit("")) if t in items.columns else F.lit("")).alias(t) for t in texts],
+        ratings.alias("ground_truth_ratings"),
+    )
+    raw = F.col("raw_model_output")
+    scored = outputs.select(
+        key, "specific_dimension", "raw_model_output", "probability_score",
+        F.lit("specific_dimension").alias("evaluation_type"),
+        X.answer_score(raw).alias("model_score"),
+        F.coalesce(X.answer_text(raw), F.lit("No valid score found")).alias("evaluation_text"),
+    )
+    return scored.join(known, key)
+
+
+def flatten_map(df: DataFrame, column: str, keys: list[str], prefix: str) -> DataFrame:
+    """Map entries as columns ``<prefix><key>``, as CSV files need them."""
+    return df.select(*[c for c in df.columns if c != column], *[F.col(column)[k].alias(f"{prefix}{k}") for k in keys])
+
+
+def preview_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The first n rows of a report in a given order."""
+    return df.orderBy(*order).limit(n)

@@ -6,6 +6,9 @@ with prompt variations join a small table. All random choices are seeded (:mod:`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +142,17 @@ def multiple_choice(items: DataFrame, key: str = "item_id") -> DataFrame:
     )
 
 
+def dispatch(items: DataFrame, builders: dict[str, Callable[[DataFrame], DataFrame]], default: str = "ROLE") -> DataFrame:
+    """Training rows of mixed items: each item goes to the builder of its ``dataset_name`` (NULL counts as ``default``).
+
+    An item of an unknown kind gives no row. Each kind is one filtered read; keep the items partitioned by
+    ``dataset_name``, then a read touches only the files of its kind.
+    """
+    kind = F.coalesce(F.col("dataset_name"), F.lit(default))
+    parts = [build(items.where(kind == name)).withColumn("dataset_name", F.lit(name)) for name, build in builders.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def message_text(prompt: Column) -> Column:
     """The text part of a training row's user message."""
     return prompt[0]["content"][1]["text"]

@@ -697,3 +697,72 @@ def finite_mask(spark, sf):
     return rounded(moments.metrics(sums).select("dim", "n", "pearson"), "pearson")
 
 
+
+
+_AP = """select predictor, dim, pred, truth from (
+      select 'Model' as predictor, dim, model_score as pred, truth from gt where truth is not null and dim <> 'content_pass'
+      union all select 'Probability', dim, probability_score, truth from gt where truth is not null and dim <> 'content_pass')"""
+_AGE = f"select predictor, {_CLASS}, {q6(_AUC)} as auc from rk group by predictor"
+
+
+@query(
+    "archetype_summary",
+    sql(
+        "select m.dim, greatest(m.n, p.n) as count, "
+        + ", ".join(f"{q6(f'{t}.{m}')} as {n}_{m}" for m in ("pearson", "spearman", "mae", "rmse") for t, n in (("m", "model"), ("p", "prob")))
+        + ", " + ", ".join([_better("pearson", ">", "abs"), _better("spearman", ">", "abs"), _better("mae", "<"), _better("rmse", "<")])
+        + ", " + ", ".join(f"null::double as {n}_{m}" for m in ("accuracy", "precision", "recall", "f1", "auc") for n in ("model", "prob"))
+        + ", " + ", ".join(f"null::varchar as better_{m}" for m in ("accuracy", "precision", "recall", "f1", "auc"))
+        + " from pm m join pm p on m.dim = p.dim and m.predictor = 'Model' and p.predictor = 'Probability' union all by name select 'content_pass' as dim, greatest(m.n, p.n) as count, "
+        + ", ".join(f"{t}.{m} as {n}_{m}" for m in ("accuracy", "precision", "recall", "f1", "auc") for t, n in (("m", "model"), ("p", "prob")))
+        + ", " + ", ".join(_better(m, ">") for m in ("accuracy", "precision", "recall", "f1", "auc"))
+        + " from ge m join ge p on m.predictor = 'Model' and p.predictor = 'Probability'",
+        "gate_rows", gv=_GATE_VALS, gt=_GATE_TRUTH, ap=_AP,
+        pp="select * from ap union all select predictor, 'OVERALL', pred, truth from ap", pr=_PR, pm=_PM,
+        s="""select 'Model' as predictor, (model_score - 1) / 4 as score, cast(truth as int) as label from gt where dim = 'content_pass' and truth is not null
+             union all select 'Probability', probability_score, cast(truth as int) from gt where dim = 'content_pass' and truth is not null""",
+        rk="select *, rank() over (partition by predictor order by score) + (count(*) over (partition by predictor, score) - 1) / 2.0 as rk from s",
+        ge=_AGE,
+    ),
+)
+def archetype_summary(spark, sf):
+    """Scored dimensions and the gate in one summary, each with its own metrics and winner flags."""
+    rows = reports.prepare_folder(X.gate_results(spark, sf), "drop_null_na1_gate", {"none": "none"})
+    out = reports.archetype_summary(rows)
+    names = ["pearson", "spearman", "mae", "rmse", "accuracy", "precision", "recall", "f1", "auc"]
+    return rounded(out, *[f"{t}_{m}" for m in names for t in ("model", "prob")])
+
+
+@query(
+    "dimension_fields",
+    "select p_partkey as id, case p_type when 'PROMO' then 'pitch_variation' when 'SMALL' then 'local_story_fit' else p_type end as gt_field from part",
+)
+def dimension_fields(spark, sf):
+    """Annotation fields of prediction dimensions; unknown dimensions keep their names."""
+    dim = F.when(F.col("p_type") == "PROMO", "pitch_dynamics").when(F.col("p_type") == "SMALL", "local_scene_fit").otherwise(F.col("p_type"))
+    df = X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), dim.alias("dim"))
+    return align.rename_dims(df, "realism").select("id", "gt_field")
+
+
+@query(
+    "result_records",
+    sql(
+        r"""select o.id, o.dim, i.char_style, '' as transcript, case when a is not null then coalesce(try_cast(nullif(regexp_extract(a, '(\d+)', 1), '') as bigint), 1) end as model_score,
+            coalesce(a, 'No valid score found') as evaluation_text, coalesce(array_to_string(list_transform(i.rhythmic_naturalness, lambda r: coalesce(r, '-')), ','), '') as ratings, cast(3 as int) as n_lists
+        from (select *, case when regexp_matches(raw_output, '(?s)answer>(.*?)</answer>') then regexp_replace(regexp_extract(raw_output, '(?s)answer>(.*?)</answer>', 1), '^\s+|\s+$', '', 'g') end as a from outputs) o
+        join items i on i.item_id = o.id""",
+        "outputs", "items",
+    ),
+)
+def result_records(spark, sf):
+    """Raw outputs with their item's texts and ratings."""
+    outputs = X.outputs(spark, sf).select(
+        F.col("id").alias("item_id"), F.col("dim").alias("specific_dimension"), F.col("raw_output").alias("raw_model_output"),
+        F.lit(None).cast("double").alias("probability_score"),
+    )
+    records = align.result_records(X.items(spark, sf), outputs, ["rhythmic_naturalness", "emotion_accuracy"])
+    own = F.col("ground_truth_ratings")["rhythmic_naturalness"]
+    return records.select(
+        F.col("item_id").alias("id"), F.col("specific_dimension").alias("dim"), "char_style", "transcript", "model_score",
+        "evaluation_text", F.array_join(own, ",", "-").alias("ratings"), F.size("ground_truth_ratings").alias("n_lists"),
+    )

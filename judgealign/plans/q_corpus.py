@@ -227,6 +227,38 @@ def corpus_multiple_choice(spark, sf):
     return _rows(corpus.multiple_choice(X.choices(spark, sf)))
 
 
+_KIND = "case item_id % 4 when 0 then 'Arche' when 1 then 'RoleAllFixOrder' when 2 then null else 'ROLE' end"
+
+
+def _kind_sql(sub: str, name: str, test: str) -> str:
+    return f"select item_id, '{name}' as dataset_name, solution from ({sub}) where {test}"
+
+
+@query(
+    "corpus_dispatch",
+    " union all ".join([
+        _kind_sql(_single_sql(_DIMS, texts.REALISM), "ROLE", "item_id % 4 in (2, 3)"),
+        _kind_sql(_all_sql(False, False), "RoleAllFixOrder", "item_id % 4 = 1"),
+        _kind_sql(_single_sql(_ARCHE, texts.ARCHETYPE, arche=True), "Arche", "item_id % 4 = 0"),
+    ]),
+)
+def corpus_dispatch(spark, sf):
+    """Mixed items, each to the builder of its kind; no kind means ROLE."""
+    items = X.items(spark, sf).withColumn("dataset_name", F.expr(_KIND))
+    audio = F.col("wav_path")
+    rows = corpus.dispatch(
+        items,
+        {
+            "ROLE": lambda d: corpus.single_dimension(d, _fields(_DIMS), texts.REALISM, SEED, user_column(), audio),
+            "RoleAllFixOrder": lambda d: corpus.all_dimensions(d, _fields(_DIMS), _LABELS, texts.GENERAL_DETAILED, SEED, user_column(), audio),
+            "Arche": lambda d: corpus.single_dimension(
+                d, _fields(_ARCHE), texts.ARCHETYPE, SEED, user_column(), audio, policy="pick_one_arche"
+            ),
+        },
+    )
+    return rows.select("item_id", "dataset_name", "solution")
+
+
 @query(
     "repeat_sampler",
     f"""select ((i // 16 * 2 + r) * 16 + i % 16) * 3 + c as position, o_orderkey

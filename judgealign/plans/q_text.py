@@ -185,6 +185,18 @@ def validate_scores(spark, sf):
     return df.select("id", "dim", S.range_check(F.col("s"), F.lit(1), F.lit(5)).alias("reason"))
 
 
+@query(
+    "validate_form",
+    """select p_partkey as id, case when p_type in ('SMALL', 'LARGE') then 'unknown' when s < (case when p_type = 'PROMO' then 0 else 1 end) or s > (case when p_type = 'PROMO' then 1 else 5 end) then 'range' end as reason
+        from (select p_partkey, p_type, p_size % 8 as s from part)""",
+)
+def validate_form(spark, sf):
+    """Scores against the form of their dimension: gate 0..1, scores 1..5."""
+    dim = F.when(F.col("p_type").isin("SMALL", "LARGE"), "other").when(F.col("p_type") == "PROMO", "content_pass").otherwise("audio_quality")
+    df = X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), dim.alias("dim"), (F.col("p_size") % 8).alias("score"))
+    return align.validate(df, "archetype").select("id", "reason")
+
+
 _TOKENS = [4, 5, 6, 7, 8]
 
 

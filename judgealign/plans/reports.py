@@ -185,6 +185,33 @@ def gate_report(prepared: DataFrame, dim: str = GATE_DIM) -> DataFrame:
     return classify.classification(gate, ["predictor"])
 
 
+def archetype_summary(prepared: DataFrame, include_gate: bool = False) -> DataFrame:
+    """Summary rows of the archetype folder report: errors and correlations per scored dimension and pooled, and
+    classification of the gate. ``include_gate`` pools the 0/1 gate votes with the 1..5 scores."""
+    pairs = predictor_pairs(prepared)
+    exclude = () if include_gate else (GATE_DIM,)
+    report = agreement_report(pairs, ["predictor", "dim"], exclude=exclude, min_n=2).where(F.col("dim") != GATE_DIM)
+    scored = compare_predictors(report, ["pearson", "spearman"], ["mae", "rmse"])
+    gate = gate_report(prepared).withColumn("dim", F.lit(GATE_DIM))
+    voted = compare_predictors(gate, ["accuracy", "precision", "recall", "f1", "auc"], [], absolute=())
+    return scored.unionByName(voted, allowMissingColumns=True)
+
+
+# values that other tools report where a metric is undefined: (correlations, errors)
+SENTINELS = {"zero_inf": (0.0, float("inf")), "nan": (float("nan"), float("nan")), "zero": (0.0, 0.0)}
+
+
+def legacy_sentinels(report: DataFrame, form: str, correlations: list[str], errors: list[str]) -> DataFrame:
+    """Undefined metrics (NULL) as the fixed values of an older form."""
+    corr, err = SENTINELS[form]
+    return report.withColumns(
+        {
+            **{c: F.coalesce(F.col(c), F.lit(corr)) for c in correlations},
+            **{c: F.coalesce(F.col(c), F.lit(err)) for c in errors},
+        }
+    )
+
+
 # ---- prediction statistics, audits -----------------------------------------------------------------------------
 
 

@@ -28,6 +28,11 @@ ARCHETYPE_DIMS = [
     ("appropriateness", "appropriateness", "Appropriateness"),
     ("content_pass", "content_pass", "ContentPass"),
 ]
+# scored fields of the other output forms (all 1..5)
+OTHER_FORMS = {
+    "audio_quality": ["clarity", "noise_level", "balance", "production_quality", "overall_score"],
+    "emotion_analysis": ["emotion_intensity"],
+}
 GATE_DIM = "content_pass"
 CONFIDENCE_FIELD = "annotator_confidence_rating"
 OVERALL = "OVERALL"
@@ -44,11 +49,13 @@ def dim_map_rows() -> list[tuple]:
         for i, (dim, field, label) in enumerate(dims):
             gate = dim == GATE_DIM
             rows.append((rubric, dim, field, label, i, 0 if gate else 1, 1 if gate else 5))
+    for form, names in OTHER_FORMS.items():
+        rows += [(form, n, n, n, i, 1, 5) for i, n in enumerate(names)]
     return rows
 
 
 def dim_map(spark: SparkSession) -> DataFrame:
-    """One row per rubric dimension: annotation field, label, order and score range (fixed, 15 rows)."""
+    """One row per rubric dimension: annotation field, label, order and score range (fixed, a few rows)."""
     return spark.createDataFrame(
         dim_map_rows(), "rubric string, dim string, gt_field string, label string, ord int, lo int, hi int"
     )

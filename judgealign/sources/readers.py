@@ -196,3 +196,19 @@ def latest_per(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFram
 def read_rubric_table(spark: SparkSession, path: str) -> DataFrame:
     """Prompt texts: ``(rubric, dim, ord, version, text)`` with version ``simple`` or ``detailed``."""
     return spark.read.schema("rubric string, dim string, ord int, version string, text string").json(path)
+
+
+def read_phrasings(spark: SparkSession, path: str) -> DataFrame:
+    """Rubric phrasings: ``(dim, ord, variant, name, description, scale_1 .. scale_5)``, variant 0.. per dimension."""
+    scales = ", ".join(f"scale_{i} string" for i in range(1, 6))
+    return spark.read.schema(f"dim string, ord int, variant bigint, name string, description string, {scales}").json(path)
+
+
+def read_variations(spark: SparkSession, path: str) -> DataFrame:
+    """Prompt variations: ``(id, dimension_name, prompt_text)``."""
+    return spark.read.schema("id string, dimension_name string, prompt_text string").json(path)
+
+
+def read_mcq_items(spark: SparkSession, path: str) -> DataFrame:
+    """Multiple-choice items as JSON lines."""
+    return spark.read.schema(schemas.MCQ_ITEM).json(path)
