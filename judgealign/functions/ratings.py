@@ -27,10 +27,10 @@ from judgealign.functions.text import as_float, as_int, strip_blank
 POLICIES = ("fill1", "fill1_bool", "drop_null", "drop_null_na1", "drop_null_na1_gate", "fewshot_avg")
 
 
-def _flatten(raw: Column) -> Column:
+def _first_element(raw: Column) -> Column:
     """``[4]`` -> ``4``, ``[]`` -> ``1``."""
     inner = strip_blank(F.regexp_replace(F.split(raw, ",")[0], r"[\[\]\"]", ""))
-    return F.when(raw.startswith("["), F.when(inner == "", "1").otherwise(inner)).otherwise(raw)
+    return F.when(inner == "", "1").otherwise(inner)
 
 
 def _bool(raw: Column) -> Column:
@@ -43,9 +43,11 @@ def coerce(raw: Column, policy: str, gate: bool = False) -> Column:
         raise ValueError(f"unknown policy {policy!r}; one of {POLICIES}")
     nan = F.lit(float("nan"))
     if policy in ("fill1", "fill1_bool"):
-        flat = _flatten(raw)
-        return F.coalesce(_bool(flat), as_int(flat).cast("double"), F.lit(1.0))
-    number = F.coalesce(_bool(raw), as_float(raw), nan)
+        # the usual whole number first; a nested list costs more and is rare
+        inner = _first_element(raw)
+        nested = F.when(raw.startswith("["), F.coalesce(as_int(inner).cast("double"), _bool(inner)))
+        return F.coalesce(as_int(raw).cast("double"), _bool(raw), nested, F.lit(1.0))
+    number = F.coalesce(as_float(raw), _bool(raw), nan)
     if policy == "drop_null":
         return F.when(raw.isNotNull(), number)
     if policy == "drop_null_na1":

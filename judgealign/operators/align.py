@@ -153,8 +153,8 @@ def first_source(df: DataFrame, sources: list[str]) -> Column:
 
 
 def pending(items: DataFrame, done: DataFrame, key: str = "item_id") -> DataFrame:
-    """Items that have no stored result yet."""
-    return items.join(done.select(key), key, "left_anti")
+    """Items that have no stored result yet. Copies of a key are combined before the shuffle."""
+    return items.join(done.select(key).distinct(), key, "left_anti")
 
 
 def rename_dims(df: DataFrame, rubric: str, dim: str = "dim") -> DataFrame:

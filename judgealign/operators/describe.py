@@ -18,18 +18,11 @@ def count_values(
 ) -> Compressed:
     """``(keys, v, n)`` of the defined values; ``overall_dim`` also pools that key."""
     v = F.col(value).cast("double")
-    counted = (
-        df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, (v + 0.0).alias("v")).agg(F.count("*").alias("n"))
-    )
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + 0.0).alias("v"))
     if overall_dim is not None:
         others = [k for k in keys if k != overall_dim]
-        counted = (
-            counted.select(*others, F.explode(F.array(overall_dim, F.lit(OVERALL))).alias(overall_dim), "v", "n")
-            .groupBy(*others, overall_dim, "v")
-            .agg(F.sum("n").alias("n"))
-            .select(*keys, "v", "n")
-        )
-    return compress(counted, few_cells)
+        rows = rows.select(*others, F.explode(F.array(overall_dim, F.lit(OVERALL))).alias(overall_dim), "v")
+    return compress(rows.groupBy(*keys, "v").agg(F.count("*").alias("n")), few_cells)
 
 
 def quantiles(values: Compressed, keys: list[str], qs: dict[str, float]) -> DataFrame:

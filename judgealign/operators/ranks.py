@@ -41,10 +41,20 @@ class Compressed:
         self.df.unpersist()
 
 
+_KEPT: list[Compressed] = []
+
+
+def release_kept() -> None:
+    """Drop all kept compressed tables, once the reports that read them are written."""
+    while _KEPT:
+        _KEPT.pop().release()
+
+
 def compress(df: DataFrame, few_cells: int = FEW_CELLS) -> Compressed:
     """Keep a compressed table and count it. The count computes the input once; later reads use the kept rows."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return Compressed(kept, kept.count() <= few_cells)
+    _KEPT.append(Compressed(kept, kept.count() <= few_cells))
+    return _KEPT[-1]
 
 
 def value_cells(value: Column) -> tuple[Column, Column]:
@@ -105,24 +115,20 @@ def count_pairs(
     pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", overall: bool = True,
     exclude: tuple[str, ...] = (), few_cells: int = FEW_CELLS,
 ) -> Compressed:
-    """Compress pairs to ``(keys, x, y, n)``; with ``overall`` also for all dimensions pooled."""
-    cells = (
-        pairs.where(F.col(pred).isNotNull() & F.col(truth).isNotNull())
-        .groupBy(*keys, (F.col(pred).cast("double") + 0.0).alias("x"), (F.col(truth).cast("double") + 0.0).alias("y"))
-        .agg(F.count("*").alias("n"))
-    )
+    """Compress pairs to ``(keys, x, y, n)``; with ``overall`` also for all dimensions pooled.
+
+    A row counts for its dimension and for the pool in one aggregation: equal cells are combined map-side, so
+    the second copy costs no second shuffle.
+    """
+    x, y = F.col(pred).cast("double") + 0.0, F.col(truth).cast("double") + 0.0
+    rows = pairs.where(F.col(pred).isNotNull() & F.col(truth).isNotNull()).select(*keys, x.alias("x"), y.alias("y"))
     if overall:
         label = F.array("dim", F.lit(OVERALL))
         if exclude:
             label = F.when(F.col("dim").isin(list(exclude)), F.array("dim")).otherwise(label)
         others = [k for k in keys if k != "dim"]
-        cells = (
-            cells.select(*others, F.explode(label).alias("dim"), "x", "y", "n")
-            .groupBy(*others, "dim", "x", "y")
-            .agg(F.sum("n").alias("n"))
-            .select(*keys, "x", "y", "n")
-        )
-    return compress(cells, few_cells)
+        rows = rows.select(*others, F.explode(label).alias("dim"), "x", "y")
+    return compress(rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), few_cells)
 
 
 def average_ranks(cells: Compressed, keys: list[str], value: str) -> DataFrame:

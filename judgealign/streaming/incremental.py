@@ -27,7 +27,7 @@ def append_new(batch: DataFrame, path: str, key: str | list[str] = "item_id") ->
     keys = [key] if isinstance(key, str) else key
     fresh = batch.dropDuplicates(keys)
     if _exists(batch.sparkSession, path):
-        done = batch.sparkSession.read.parquet(path).select(*keys)
+        done = batch.sparkSession.read.parquet(path).select(*keys).distinct()
         fresh = fresh.join(done, keys, "left_anti")
     fresh.write.mode("append").parquet(path)
 
@@ -52,11 +52,21 @@ def stream_rows(
 
 
 def run_increment(
-    stream: DataFrame, out: str, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame], key: str | list[str] = "item_id"
+    stream: DataFrame, out: str, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame],
+    key: str | list[str] = "item_id", across_batches: bool = True,
 ) -> StreamingQuery:
-    """Evaluate everything that has arrived and not been evaluated, then stop."""
-    def step(batch: DataFrame, _: int) -> None:
-        append_new(evaluate(batch), out, key)
+    """Evaluate everything that has arrived and not been evaluated, then stop.
+
+    ``across_batches`` compares each batch with the keys of the whole output. Where a key is known to arrive only
+    once, ``False`` saves that read: a batch then replaces its own folder, so only replays are guarded against.
+    """
+    keys = [key] if isinstance(key, str) else key
+
+    def step(batch: DataFrame, number: int) -> None:
+        if across_batches:
+            append_new(evaluate(batch), out, keys)
+        else:
+            evaluate(batch).dropDuplicates(keys).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(step)

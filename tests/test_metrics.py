@@ -186,3 +186,25 @@ def test_attempts(spark):
     df = spark.createDataFrame(rows, "item_id string, attempt int, score double, response string, fallback double")
     got = {r.item_id: (r.score, r.succeeded) for r in align.merge_attempts(df, fallback="fallback").collect()}
     assert got == {"a": (4.0, True), "b": (1.0, True), "c": (2.5, False), "d": (3.0, False)}
+
+
+def test_legacy_sentinels(spark):
+    df = spark.createDataFrame([(None, None), (0.5, 1.0)], "pearson double, mae double")
+    rows = reports.legacy_sentinels(df, "zero_inf", ["pearson"], ["mae"]).collect()
+    assert [tuple(r) for r in rows] == [(0.0, float("inf")), (0.5, 1.0)]
+
+
+def test_flatten_and_preview(spark):
+    df = spark.createDataFrame([("b", {"x": 1.0}), ("a", {"y": 2.0})], "id string, m map<string,double>")
+    flat = align.flatten_map(df, "m", ["x", "y"], "gt_avg_")
+    assert flat.columns == ["id", "gt_avg_x", "gt_avg_y"]
+    assert [tuple(r) for r in align.preview_rows(flat, ["id"], 1).collect()] == [("a", None, 2.0)]
+
+
+def test_kept_tables_are_released(spark):
+    df = _frame(spark, {"a": ([1, 2, 3], [1, 2, 2])})
+    cells = ranks.count_pairs(df, ["dim"])
+    assert cells.df.is_cached
+    ranks.release_kept()
+    assert not cells.df.is_cached
+    assert {r.dim for r in ranks.spearman(cells, ["dim"]).collect()} == {"a", "OVERALL"}

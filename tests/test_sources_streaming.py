@@ -174,6 +174,33 @@ def test_stream_increment_equals_batch_and_is_idempotent(spark, tmp_path):
     assert run("fresh") == [("a", 2.0), ("b", 1.0)]
 
 
+def test_stream_without_cross_batch_check(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(3):
+        _lines(f"{src}/{i}.json", [{"item_id": f"k{i}"}, {"item_id": f"k{i}"}])
+    stream = incremental.stream_rows(spark, src, _parse_datatype_string("item_id string"), files=1)
+    incremental.run_increment(stream, out, str(tmp_path / "cp"), lambda d: d, across_batches=False).awaitTermination()
+    assert sorted(r.item_id for r in spark.read.parquet(out).collect()) == ["k0", "k1", "k2"]
+
+
+def test_dispatch_leaves_unknown_kinds_out(spark):
+    df = spark.createDataFrame([(1, None), (2, "A"), (3, "B")], "item_id int, dataset_name string")
+    rows = corpus.dispatch(df, {"ROLE": lambda d: d.select("item_id"), "A": lambda d: d.select("item_id")}).collect()
+    assert sorted((r.item_id, r.dataset_name) for r in rows) == [(1, "ROLE"), (2, "A")]
+
+
+def test_validate_and_records(spark):
+    df = spark.createDataFrame([("content_pass", 2.0), ("audio_quality", 3.0), ("zzz", 3.0), ("audio_quality", None)], "dim string, score double")
+    assert sorted(str(r.reason) for r in align.validate(df, "archetype").collect()) == ["None", "missing", "range", "unknown"]
+    items = spark.createDataFrame([("a", ["1"])], "item_id string, pitch_variation array<string>")
+    outs = spark.createDataFrame([("a", "pitch_dynamics", "none", 2.5)], "item_id string, specific_dimension string, raw_model_output string, probability_score double")
+    r = align.result_records(items, outs, ["pitch_variation", "dynamic_range"]).first()
+    assert (r.model_score, r.evaluation_text, r.transcript) == (None, "No valid score found", "")
+    assert r.ground_truth_ratings == {"pitch_variation": ["1"], "dynamic_range": [], "annotator_confidence_rating": []}
+
+
 def test_stream_moments_equal_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [{"dim": "ab"[i % 2], "pred": float(i % 5), "truth": float(i % 3 + 1)} for i in range(30)]
