@@ -80,15 +80,20 @@ def first_fenced_json(response: Column) -> Column:
     return F.when(strict_json(text).isNotNull(), text)
 
 
+# A cast that fails costs far more than a pattern test, so the pattern comes first. It also refuses what casts in
+# SQL but is no number in text (``1d``, ``inf``, ``nan``).
+_FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_INT = r"^\s*[+-]?\d+\s*$"
+
+
 def as_float(text: Column) -> Column:
-    """Decimal number with optional exponent, else NULL (``1d``, ``inf`` and ``nan`` cast in SQL but are no numbers)."""
-    number = text.try_cast("double")
-    return F.when(number.isNotNull() & text.rlike(r"[0-9.]\s*$"), number)
+    """Decimal number with optional exponent and outer blanks, else NULL."""
+    return F.when(text.rlike(_FLOAT), text.try_cast("double"))
 
 
 def as_int(text: Column) -> Column:
     """Whole number with optional sign and outer blanks, else NULL."""
-    return text.try_cast("bigint")
+    return F.when(text.rlike(_INT), text.try_cast("bigint"))
 
 
 def is_float_text(text: Column) -> Column:

@@ -13,8 +13,11 @@ def vote_counts(votes: DataFrame, key: str = "item_id", vote: str = "vote", poli
     """Passes, fails and total of the kept votes per item (text votes go through a rating policy)."""
     v = F.col(vote)
     if dict(votes.dtypes)[vote] == "boolean":
-        v = v.cast("string")
-    value = coerce(v, policy, gate=True)
+        value = F.when(v, 1.0).when(~v, 0.0)
+        if not policy.startswith("drop"):
+            value = F.coalesce(value, F.lit(1.0))
+    else:
+        value = coerce(v, policy, gate=True)
     return votes.select(key, value.alias("_v")).groupBy(key).agg(
         F.count_if(F.col("_v") == 1).alias("passes"),
         F.count_if(F.col("_v") == 0).alias("fails"),
