@@ -28,12 +28,12 @@ def count_values(
 def quantiles(values: Compressed, keys: list[str], qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours, one column per entry of ``qs``."""
     if values.few:
-        ranked = running_counts(values.df, keys, "v", ["n"], True).withColumn(
+        ranked = running_counts(values.df, keys, "v", ["n"], values).withColumn(
             "_total", F.sum("n").over(Window.partitionBy(*keys))
         )
     else:
         totals = values.df.groupBy(*keys).agg(F.sum("n").alias("_total"))
-        ranked = running_counts(values.df, keys, "v", ["n"]).join(totals, keys)
+        ranked = running_counts(values.df, keys, "v", ["n"], values).join(totals, keys)
 
     def at(position: Column) -> Column:
         inside = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))

@@ -3,10 +3,11 @@
 Let C be the number of pairs that both sides order the same way. All untied pairs split into C and the
 discordant D, and n0 - Tx - Ty + Txy counts the untied ones, so C alone is enough.
 
-C is counted bit by bit over the dense rank of y: two different ranks first differ at exactly one bit, where
-the smaller has 0 and the larger has 1 under equal higher bits. Per bit, each y=1 row adds the number of y=0
-rows with the same higher bits and a smaller x, which is a running count over x (:func:`running_counts`).
-The work is rows times log2(distinct y), fully partitioned; no window holds a whole dimension.
+C is counted digit by digit over the dense rank of y (base 8): two different ranks first differ at exactly one
+digit, where the smaller rank has the smaller digit under equal higher digits. Per digit place, each row adds
+the number of rows with the same higher digits, a smaller digit and a smaller x, which are running counts over
+x (:func:`running_counts`). The work is rows times the number of digits, fully partitioned; no window holds a
+whole dimension.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from judgealign.operators.ranks import Compressed, average_ranks, running_counts
 # exact for up to 1e19 pairs in one product; a sum of products may have 38 digits
 _EXACT = "decimal(38,0)"
 
+_DIGIT_BITS = 3
+_BASE = 1 << _DIGIT_BITS
+
 
 def _choose2(n: Column) -> Column:
     d = n.cast("decimal(19,0)")
@@ -35,19 +39,23 @@ def concordant(cells: Compressed, keys: list[str], y_ranks: DataFrame) -> DataFr
     else:
         top = y_ranks.groupBy(*keys).agg(F.max("dense").alias("_top"))
         ranked = cells.df.join(y_ranks.select(*keys, "y", F.col("dense").alias("_yk")), [*keys, "y"]).join(top, keys)
-    bits = F.greatest(F.length(F.bin("_top")) - 1, F.lit(0))
-    levels = ranked.select(*keys, "x", "n", "_yk", F.explode(F.sequence(F.lit(0), bits)).alias("_bit"))
-    is_one = F.expr("shiftright(_yk, _bit) & 1") == 1
+    bits = F.greatest(F.length(F.bin("_top")), F.lit(1))
+    last = F.ceil(bits / _DIGIT_BITS).cast("int") - 1
+    levels = ranked.select(*keys, "x", "n", "_yk", F.explode(F.sequence(F.lit(0), last)).alias("_level"))
+    digit = F.expr(f"shiftright(_yk, {_DIGIT_BITS} * _level) & {_BASE - 1}")
     per_x = (
-        levels.select(*keys, "x", "n", "_bit", F.expr("shiftright(_yk, _bit + 1)").alias("_high"), is_one.alias("_one"))
-        .groupBy(*keys, "_bit", "_high", "x")
-        .agg(
-            F.sum(F.when(F.col("_one"), F.col("n")).otherwise(0)).alias("ones"),
-            F.sum(F.when(~F.col("_one"), F.col("n")).otherwise(0)).alias("zeros"),
+        levels.select(
+            *keys, "x", "n", "_level", F.expr(f"shiftright(_yk, {_DIGIT_BITS} * (_level + 1))").alias("_high"), digit.alias("_digit")
         )
+        .groupBy(*keys, "_level", "_high", "x")
+        .agg(*[F.sum(F.when(F.col("_digit") == d, F.col("n")).otherwise(0)).alias(f"_n{d}") for d in range(_BASE)])
     )
-    counted = running_counts(per_x, [*keys, "_bit", "_high"], "x", ["zeros"], cells.few)
-    product = F.col("ones").cast("decimal(19,0)") * F.col("before_zeros").cast("decimal(19,0)")
+    counted = running_counts(per_x, [*keys, "_level", "_high"], "x", [f"_n{d}" for d in range(_BASE - 1)], cells)
+    product, smaller = F.lit(0).cast(_EXACT), F.lit(0).cast("bigint")
+    for d in range(1, _BASE):
+        smaller = smaller + F.col(f"before__n{d - 1}")
+        pairs = F.col(f"_n{d}").cast("decimal(19,0)") * smaller.cast("decimal(19,0)")
+        product = F.when(F.col(f"_n{d}") > 0, (product + pairs).cast(_EXACT)).otherwise(product)
     return counted.groupBy(*keys).agg(F.sum(product).cast(_EXACT).alias("concordant"))
 
 

@@ -5,10 +5,10 @@ task. Rows are first compressed to cells (group, x, y, count), which are kept (m
 every statistic reads them, and counted:
 
 * few cells (:data:`FEW_CELLS`, the case of whole-number scores and trial means): plain windows per group;
-* many cells: counts of smaller values come from three levels of small windows: coarse value cells, fine
-  cells inside a coarse cell, values inside a fine cell. The cells are a fixed monotone function of the
-  value, so no bounds are sampled, a recomputed task repeats them, and coarse and fine windows have at most
-  4096 rows each.
+* many cells: counts of smaller values come from levels of small windows. Two levels (value cells, values
+  inside a cell) up to :data:`MANY_CELLS`; three levels (coarse cells, fine cells, values) beyond. The cells
+  are a fixed monotone function of the value, so no bounds are sampled and a recomputed task repeats them; a
+  window over cells has at most 65,536 or 4,096 rows.
 
 Both ways are exact and give the same numbers.
 """
@@ -29,12 +29,16 @@ _FINE = 4096
 # up to so many rows in a compressed table its groups are ranked by one window each
 FEW_CELLS = 200_000
 
+# up to so many rows two levels are enough: even if all values fell into one cell, one task could sort them
+MANY_CELLS = 50_000_000
+
 
 @dataclass
 class Compressed:
     """A compressed table that is read several times, and whether it is small."""
 
     df: DataFrame
+    rows: int
     few: bool
 
     def release(self) -> None:
@@ -53,61 +57,65 @@ def release_kept() -> None:
 def compress(df: DataFrame, few_cells: int = FEW_CELLS) -> Compressed:
     """Keep a compressed table and count it. The count computes the input once; later reads use the kept rows."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _KEPT.append(Compressed(kept, kept.count() <= few_cells))
+    rows = kept.count()
+    _KEPT.append(Compressed(kept, rows, rows <= few_cells))
     return _KEPT[-1]
 
 
-def value_cells(value: Column) -> tuple[Column, Column]:
-    """(coarse, fine) cell numbers; both never decrease with the value.
+def _squash(value: Column) -> Column:
+    """The value on (-1, 1) by 1 - 1/(1+|v|), never decreasing.
 
-    The value is squashed into (-1, 1) by 1 - 1/(1+|v|), where every step is monotone in floating point, so
-    an outlier of any size cannot squeeze the scores into one cell: 1..5 alone covers 2.8 million fine cells.
+    Every step is monotone in floating point, and an outlier of any size cannot squeeze the scores into one cell:
+    1..5 alone covers a sixth of the range.
     """
     size = F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.abs(value))
-    squashed = F.when(value < 0, -size).otherwise(size)
-    fine = F.floor((squashed + 1.0) * float(_FINE * _FINE // 2)).cast("bigint")
+    return F.when(value < 0, -size).otherwise(size)
+
+
+def value_cells(value: Column) -> tuple[Column, Column]:
+    """(coarse, fine) cell numbers for three levels."""
+    fine = F.floor((_squash(value) + 1.0) * float(_FINE * _FINE // 2)).cast("bigint")
     return F.floor(fine / _FINE).cast("bigint"), fine
 
 
+def _before(cols: list[str], order: str, measure: str) -> Column:
+    """Sum of a measure over the earlier rows of a window."""
+    w = Window.partitionBy(*cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(measure).over(w), F.lit(0))
+
+
 def running_counts(
-    values: DataFrame, groups: list[str], value: str, measures: list[str], few: bool = False
+    values: DataFrame, groups: list[str], value: str, measures: list[str], size: Compressed | None = None
 ) -> DataFrame:
     """Add ``before_<m>``: the sum of measure ``m`` over the smaller values of the group.
 
-    ``values`` has one row per (group, value). ``few`` states that the table is known to be small.
+    ``values`` has one row per (group, value). ``size`` is the compressed table behind it, whose number of rows
+    decides on the number of levels.
     """
-    if few:
-        w = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return values.select(
-            *[f"`{c}`" for c in values.columns],
-            *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"before_{m}") for m in measures],
+    own = [f"`{c}`" for c in values.columns]
+    if size is not None and size.few:
+        return values.select(*own, *[_before(groups, value, m).alias(f"before_{m}") for m in measures])
+
+    v = F.col(value).cast("double")
+    if size is not None and size.rows <= MANY_CELLS:
+        cell = [*groups, "_c1"]
+        cells = values.withColumn("_c1", F.floor((_squash(v) + 1.0) * 32768.0).cast("bigint"))
+        sums = cells.groupBy(*cell).agg(*[F.sum(m).alias(f"_g_{m}") for m in measures])
+        start = sums.select(*cell, *[_before(groups, "_c1", f"_g_{m}").alias(f"_b2_{m}") for m in measures])
+    else:
+        cell = [*groups, "_c1", "_c2"]
+        coarse, fine = value_cells(v)
+        cells = values.withColumns({"_c1": coarse, "_c2": fine})
+        fine_sums = cells.groupBy(*cell).agg(*[F.sum(m).alias(f"_f_{m}") for m in measures])
+        coarse_sums = fine_sums.groupBy(*groups, "_c1").agg(*[F.sum(f"_f_{m}").alias(f"_g_{m}") for m in measures])
+        coarse_start = coarse_sums.select(
+            *groups, "_c1", *[_before(groups, "_c1", f"_g_{m}").alias(f"_b1_{m}") for m in measures]
         )
-    before_rows = (Window.unboundedPreceding, -1)
-
-    def earlier(cols, order, m):
-        w = Window.partitionBy(*cols).orderBy(order).rowsBetween(*before_rows)
-        return F.coalesce(F.sum(m).over(w), F.lit(0))
-
-    coarse, fine = value_cells(F.col(value).cast("double"))
-    cells = values.withColumns({"_c1": coarse, "_c2": fine})
-    fine_sums = cells.groupBy(*groups, "_c1", "_c2").agg(*[F.sum(m).alias(f"_f_{m}") for m in measures])
-    coarse_sums = fine_sums.groupBy(*groups, "_c1").agg(*[F.sum(f"_f_{m}").alias(f"_g_{m}") for m in measures])
-    coarse_start = coarse_sums.select(
-        *groups, "_c1", *[earlier(groups, "_c1", f"_g_{m}").alias(f"_b1_{m}") for m in measures]
-    )
-    fine_start = fine_sums.join(coarse_start, [*groups, "_c1"]).select(
-        *groups,
-        "_c1",
-        "_c2",
-        *[(F.col(f"_b1_{m}") + earlier([*groups, "_c1"], "_c2", f"_f_{m}")).alias(f"_b2_{m}") for m in measures],
-    )
-    out = cells.join(fine_start, [*groups, "_c1", "_c2"])
-    return out.select(
-        *[f"`{c}`" for c in values.columns],
-        *[
-            (F.col(f"_b2_{m}") + earlier([*groups, "_c1", "_c2"], value, m)).alias(f"before_{m}")
-            for m in measures
-        ],
+        start = fine_sums.join(coarse_start, [*groups, "_c1"]).select(
+            *cell, *[(F.col(f"_b1_{m}") + _before([*groups, "_c1"], "_c2", f"_f_{m}")).alias(f"_b2_{m}") for m in measures]
+        )
+    return cells.join(start, cell).select(
+        *own, *[(F.col(f"_b2_{m}") + _before(cell, value, m)).alias(f"before_{m}") for m in measures]
     )
 
 
@@ -134,7 +142,7 @@ def count_pairs(
 def average_ranks(cells: Compressed, keys: list[str], value: str) -> DataFrame:
     """``(keys, value, n, rank, dense)`` per distinct value: average rank of ties, and 0-based dense rank."""
     values = cells.df.groupBy(*keys, value).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("bigint"))
-    counted = running_counts(values, keys, value, ["n", "one"], cells.few)
+    counted = running_counts(values, keys, value, ["n", "one"], cells)
     return counted.select(
         *keys,
         value,
@@ -185,7 +193,7 @@ def class_counts(
 
 def auc_of(values: Compressed, keys: list[str]) -> DataFrame:
     """ROC AUC per group by rank sums; NULL where only one class is present."""
-    ranked = running_counts(values.df, keys, "v", ["n0"], values.few)
+    ranked = running_counts(values.df, keys, "v", ["n0"], values)
     won = F.col("n1") * (F.col("before_n0") + F.col("n0") / 2)
     return ranked.groupBy(*keys).agg(
         F.sum("n1").alias("positives"),

@@ -50,9 +50,13 @@ def _with_pool(groups):
     return out
 
 
-@pytest.mark.parametrize("few", [0, 10**9])
+WAYS = [(10**9, 10**9), (0, 10**9), (0, 0)]  # plain windows, two levels, three levels
+
+
+@pytest.mark.parametrize("few, many", WAYS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_spearman_and_kendall(spark, few, seed):
+def test_spearman_and_kendall(spark, monkeypatch, few, many, seed):
+    monkeypatch.setattr(ranks, "MANY_CELLS", many)
     groups = _data(seed)
     cells = ranks.count_pairs(_frame(spark, groups), ["dim"], few_cells=few)
     assert cells.few == bool(few)
@@ -110,8 +114,9 @@ def test_p_values(r, n, p):
     assert correlation_p(1.0, n) == 0.0 and math.isnan(correlation_p(0.5, 2))
 
 
-@pytest.mark.parametrize("few", [0, 10**9])
-def test_quantiles_and_description(spark, few):
+@pytest.mark.parametrize("few, many", WAYS)
+def test_quantiles_and_description(spark, monkeypatch, few, many):
+    monkeypatch.setattr(ranks, "MANY_CELLS", many)
     groups = {d: (p, p) for d, (p, _) in _data(4).items()}
     values = describe.count_values(_frame(spark, groups), ["dim"], "pred", overall_dim="dim", few_cells=few)
     got = {r.dim: r for r in describe.describe(values, ["dim"]).collect()}
@@ -133,8 +138,9 @@ def test_histogram_matches_numpy(spark):
     assert [(r.bin, r["count"]) for r in rows if r.dim == "c"] == [(10, 2)]
 
 
-@pytest.mark.parametrize("few", [0, 10**9])
-def test_auc(spark, few):
+@pytest.mark.parametrize("few, many", WAYS)
+def test_auc(spark, monkeypatch, few, many):
+    monkeypatch.setattr(ranks, "MANY_CELLS", many)
     rng = np.random.default_rng(6)
     s, y = rng.integers(0, 20, 200) / 20, rng.integers(0, 2, 200)
     df = spark.createDataFrame([("a", float(a), int(b)) for a, b in zip(s, y)] + [("b", 0.3, 1)], "dim string, score double, label int")
