@@ -9,10 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from judgealign.session import ship
+from judgealign.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -60,7 +62,6 @@ def correlation_p(r: float, n: float) -> float:
 
 def p_value(r: Column, n: Column) -> Column:
     """p-value column; NULL where undefined."""
-    ship(SparkSession.active())
 
     @F.pandas_udf("double")
     def compute(rs: pd.Series, ns: pd.Series) -> pd.Series:

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from judgealign.session import ship, spread
+from judgealign.session import ship_with_tasks, spread
+
+ship_with_tasks(__name__)
 
 RESULT = "model_name string, response string, audio_path string, prompt string, error boolean"
 
@@ -25,7 +27,6 @@ def run_judge(
     that is an exception, or a call that raises, becomes a record with ``error`` set and ``Error: ...`` as its
     response; the other rows go on. If a whole batch raises, its rows are tried one at a time.
     """
-    ship(requests.sparkSession)
     types = dict(requests.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + RESULT
 

@@ -14,10 +14,12 @@ from judgealign.plans.fixtures import sql
 from judgealign.plans.q_align import q6, rounded
 from judgealign.plans.q_text import _ANSWER, SEED, lit, num, user_column
 from judgealign.schemas import ARCHETYPE_DIMS, REALISM_DIMS
-from judgealign.session import shared_dir
+from judgealign.session import shared_dir, ship_with_tasks
 from judgealign.sources import readers
 from judgealign.streaming import incremental
 
+ship_with_tasks(__name__)
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

@@ -7,10 +7,11 @@ size or a partition count.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
-import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,24 +51,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-_SHIPPED: set[str] = set()
+def ship_with_tasks(module: str) -> None:
+    """Send a module's functions inside the tasks that use them.
 
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application.
-
-    The few operators with Python inside tasks call it, so executors need no installed copy.
+    Executors then need no installed copy of this package for its few operators with Python inside tasks.
     """
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="judgealign-ship-"), "judgealign_package.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, files in os.walk(package):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(archive)
-    _SHIPPED.add(context.applicationId)
+    cloudpickle.register_pickle_by_value(sys.modules[module])
