@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from judgealign.llm import q_rules
+from judgealign.llm import q_corpus, q_rules
 
-QUERIES = {**q_rules.QUERIES}
-ORACLES = {**q_rules.ORACLES}
+QUERIES = {**q_rules.QUERIES, **q_corpus.QUERIES}
+ORACLES = {**q_rules.ORACLES, **q_corpus.ORACLES}

@@ -23,6 +23,14 @@ class Scratch:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def put(self, name: str, data: bytes) -> str:
+        """Write a small file and return its path."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        stream.write(data)
+        stream.close()
+        return path.toString()
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         for name in names:
