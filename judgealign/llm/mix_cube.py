@@ -3,8 +3,8 @@
 Targets come from the weights (capped at ``max_repeats`` times a source's size, the excess shared again by weight).
 A source with rate r = target / size takes every document floor(r) times and draws one more copy with inclusion
 probability r - floor(r). The draw is balanced: the flight phase moves the probabilities of three documents at a
-time through the null space of the two constraints (words and number of documents) until one of them is 0 or 1.
-Long documents go first, so the few that stay undecided are short.
+time through the null space of the two constraints (words and number of documents) until one of them is 0 or 1. The
+walk goes from long to short documents, and what the draw of a long one wins or loses is spread over shorter ones.
 Flights run in bounded blocks of a source; at most two documents of a block stay undecided, and these meet in the
 blocks of the next level, until a source has one block. There the landing decides the last documents by the
 nearest word total.
@@ -36,6 +36,8 @@ ship_with_tasks(__name__)
 #: Documents in a block of the flight phase.
 BLOCK = 4096
 NEAR = 1e-9
+#: The last block of a source is drawn anew, at most so often, until its words are as close as this share.
+DRAWS, CLOSE = 32, 0.002
 
 
 def n_words(text: Column) -> Column:
@@ -61,7 +63,7 @@ def source_targets(sources: DataFrame, weights: Column | None = None, total: Col
     return rows.withColumn("level", F.max("x").over(whole)).select("source", "source_size", "n", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def walk(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Move inclusion probabilities through the null space of (size, 1) until at most two are fractional."""
     p = p.tolist()
     size = size.tolist()
@@ -85,6 +87,31 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array([0.0 if v <= NEAR else 1.0 if v >= 1 - NEAR else v for v in p])
 
 
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide all but at most two documents; ``size`` is in falling order.
+
+    The walk takes the longer half of what is left, again and again. The one or two long documents that it leaves are
+    drawn by their probability, and the words won or lost by that are spread over the probabilities of all shorter
+    documents, so that the totals hold to within the shortest ones.
+    """
+    p, owed, at = p.copy(), 0.0, 0
+    while at < len(p):
+        end = len(p) if len(p) - at <= 8 else at + (len(p) - at) // 2
+        mass = size[at:].sum()
+        if owed and mass:
+            moved = np.clip(p[at:] + owed / mass, 0, 1)
+            owed -= float(((moved - p[at:]) * size[at:]).sum())
+            p[at:] = moved
+        p[at:end] = walk(p[at:end], size[at:end], rng)
+        if end < len(p):
+            for k in at + np.flatnonzero((p[at:end] > 0) & (p[at:end] < 1)):
+                drawn = float(rng.random() < p[k])
+                owed += float((p[k] - drawn) * size[k])
+                p[k] = drawn
+        at = end
+    return p
+
+
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Decide the last fractional documents: the outcome with the nearest word total, then the nearest count."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
@@ -104,9 +131,18 @@ def _fly(level: int):
         name = f"{level}|{rows['source'].iloc[0]!r}|{rows['block'].iloc[0]}"
         rng = np.random.Generator(np.random.PCG64(zlib.crc32(name.encode())))
         size = (rows["size"] * rows["copies"]).to_numpy(float)
-        p = flight(rows["p"].to_numpy(float), size, rng)
-        if rows["n_blocks"].iloc[0] == 1:
-            p = landing(p, size)
+        given = rows["p"].to_numpy(float)
+        if rows["n_blocks"].iloc[0] > 1:
+            p = flight(given, size, rng)
+        else:
+            best, words = np.inf, float((given * size).sum())
+            for _ in range(DRAWS):
+                drawn = landing(flight(given, size, rng), size)
+                off = abs(float((drawn * size).sum()) - words)
+                if off < best:
+                    best, p = off, drawn
+                if off <= CLOSE * words:
+                    break
         return rows.assign(p=p)[["doc_id", "tk", "source", "size", "copies", "place", "p"]]
 
     return run
