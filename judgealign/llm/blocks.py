@@ -61,25 +61,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) -> Iterator[pa.Table]:
-    """Tables of at least ``rows`` rows (but the last) that never cut a run of equal keys, from sorted batches."""
+    """Tables of about ``rows`` rows that never cut a run of equal keys, from sorted batches.
+
+    A table is larger only where one run is; what is held is one batch and the run that it left open.
+    """
     held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        count += batch.num_rows
-        if count < rows:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        end = np.ones(count - 1, bool)
+
+    def pieces(whole: pa.Table, last: bool) -> Iterator[pa.Table]:
+        change = np.zeros(max(0, whole.num_rows - 1), bool)
         for name in key:
             values = whole.column(name).to_numpy()
-            end &= values[1:] == values[:-1]
-        cuts = np.flatnonzero(~end) + 1
-        if len(cuts):
-            yield whole.slice(0, int(cuts[-1]))
-            whole = whole.slice(int(cuts[-1]))
-        held, count = whole.to_batches(), whole.num_rows
-    if count:
-        yield pa.Table.from_batches(held).combine_chunks()
+            change |= values[1:] != values[:-1]
+        bounds = np.r_[np.flatnonzero(change) + 1, [whole.num_rows] if last else []].astype(np.int64)
+        start = 0
+        while len(bounds) and start < bounds[-1]:
+            end = int(bounds[min(np.searchsorted(bounds, start + rows), len(bounds) - 1)])
+            yield whole.slice(start, end - start).combine_chunks()
+            start = end
+        held[:] = whole.slice(start).to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            yield from pieces(pa.Table.from_batches(held).combine_chunks(), False)
+    if held:
+        yield from pieces(pa.Table.from_batches(held).combine_chunks(), True)
+
+
+def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows is connected with."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[left], label[right])
+        after = label.copy()
+        np.minimum.at(after, left, low)
+        np.minimum.at(after, right, low)
+        after = np.minimum(after, after[after])
+        if (after == label).all():
+            return label
+        label = after

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgealign.llm.blocks import groups, table
+from judgealign.llm.blocks import groups, spanning, table
 from judgealign.llm.components import components
 from judgealign.llm.store import Scratch
 from judgealign.session import ship_with_tasks
@@ -84,24 +84,10 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least row that each of n rows is connected with."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        after = label.copy()
-        np.minimum.at(after, left, low)
-        np.minimum.at(after, right, low)
-        after = np.minimum(after, after[after])
-        if (after == label).all():
-            return label
-        label = after
-
-
 def _windows(threshold: float, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        for whole in groups(batches, ["block"], 1):
+        for whole in groups(batches, ["block"], 2000):
             blocks = whole.column("block").to_numpy()
             cuts = np.r_[0, np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -148,7 +134,7 @@ def _sorted_pass(classes: DataFrame, numbers: list[int], scratch: Scratch, thres
 def _counted(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("n", pa.int64())])
-        for whole in groups(batches, ["component", "low", "high"], 1):
+        for whole in groups(batches, ["component", "low", "high"], 2000):
             keys = np.stack([whole.column(c).to_numpy() for c in ("component", "low", "high")])
             cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, keys.shape[1]]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):

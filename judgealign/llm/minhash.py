@@ -5,9 +5,12 @@
    ``BANDS`` bands of ``ROWS`` values each are hashed to bucket keys. At the threshold of 0.8 a pair misses all bands
    with a probability of 5e-5, and any other path of links joins it as well.
 2. Equal sets are one node from here on, so exact copies, however many, cost one row per bucket and task.
-3. Only buckets with two different sets matter. First every member is compared with the least node of its bucket;
-   links give components. Then only members of one bucket that are still in different components are compared, so no
-   link between components is lost and a group of near copies is not compared pair by pair.
+3. Only buckets with two different sets matter. Every member is compared with the pivot of its bucket, the node that
+   meets the most others; links give components. Jaccard distance is a metric, so a link has both ends in the loose
+   circle of a pivot (three times the allowed distance) if it has one in its tight circle (twice that). Hence two
+   kinds of groups hold all links that are still open: the circles, and what is outside of the tight circle in a
+   bucket. A group that still has several components is cut into blocks of bounded size; pairs of blocks are
+   compared inside tasks, which return a spanning set of the links between components, never the pairs.
 4. A pair is confirmed on both full sets: 100 * intersection >= 80 * union.
 
 Set operations use 64-bit hashes of shingles. A hot bucket is summed before its shuffle, its joins can be split.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgealign.llm.blocks import SPACE, body_of, mix, slices, table
+from judgealign.llm.blocks import SPACE, body_of, groups, mix, slices, spanning, table
 from judgealign.llm.components import components
 from judgealign.llm.store import Scratch, keyed, same_doc
 from judgealign.session import ship_with_tasks
@@ -34,6 +37,8 @@ from judgealign.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 ROWS, BANDS = 5, 25
+#: Shingles in a block of sets that are compared with each other, and sets from which on a shingle is frequent there.
+BLOCK_ITEMS, FREQUENT = 1_000_000, 24
 PERMUTATIONS = (ROWS * BANDS + 1) // 2
 _DRAW = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _DRAW.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -148,25 +153,88 @@ def _sets(size: int):
     return run
 
 
-def _confirm(percent: int):
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles that the two sets of a pair share."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("common", pa.int64()), ("n_u", pa.int64()), ("n_v", pa.int64())])
+    for batch in batches:
+        common = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            both = np.concatenate((a.values.to_numpy(), b.values.to_numpy()))
+            both.sort(kind="stable")
+            common.append(int((both[1:] == both[:-1]).sum()))
+        yield table(schema, u=batch.column("u"), v=batch.column("v"), common=common, n_u=batch.column("a").value_lengths(), n_v=batch.column("b").value_lengths())
+
+
+def common_counts(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shared items of all pairs of sets in a block, as a square of counts.
+
+    Only items of two sets and more count. Frequent ones are columns of a matrix that is multiplied with itself in
+    slices; for rare ones the few pairs are added up.
+    """
+    m = len(sizes)
+    out = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    first = np.flatnonzero(np.r_[True, items[1:] != items[:-1]]) if len(items) else np.zeros(0, np.int64)
+    runs = np.diff(np.r_[first, len(items)])
+    for step in range(1, FREQUENT):
+        starts = first[(runs > step) & (runs <= FREQUENT)]
+        lengths = runs[(runs > step) & (runs <= FREQUENT)] - step
+        at = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(starts) else np.zeros(0, np.int64)
+        np.add.at(out, (owner[at], owner[at + step]), 1)
+    out += out.T
+    wide = np.flatnonzero(runs > FREQUENT)
+    for k in range(0, len(wide), 2048):
+        part = wide[k : k + 2048]
+        at = np.repeat(first[part] - np.r_[0, np.cumsum(runs[part])[:-1]], runs[part]) + np.arange(runs[part].sum())
+        flags = np.zeros((m, len(part)), np.float32)
+        flags[owner[at], np.repeat(np.arange(len(part)), runs[part])] = 1
+        out += flags @ flags.T
+    return out
+
+
+def _across(percent: int):
+    """Links between different components inside pairs of blocks; only a spanning set of them is returned."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield table(schema, u=batch.column("u"), v=batch.column("v")).filter(pa.array(keep, pa.bool_()))
+        for whole in groups(batches, ["g", "low", "high"], 2000):
+            keys = np.stack([whole.column(c).to_numpy() for c in ("g", "low", "high")])
+            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, keys.shape[1]]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = whole.slice(a, b - a)
+                node, part_of, side = (part.column(c).to_numpy() for c in ("node", "c", "side"))
+                if b - a < 2 or (part_of == part_of[0]).all():
+                    continue
+                lists = part.column("items").combine_chunks()
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                common = common_counts(lists.flatten().to_numpy(), sizes)
+                near = 100 * common >= percent * (sizes[:, None] + sizes - common)
+                near &= part_of[:, None] != part_of
+                if keys[1, a] != keys[2, a]:
+                    near &= side[:, None] != side
+                left, right = np.nonzero(np.triu(near, 1))
+                label = spanning(b - a, left, right)
+                moved = np.flatnonzero(label != np.arange(b - a))
+                yield table(schema, u=node[moved], v=node[label[moved]])
 
     return run
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Set sizes that can reach the threshold at all."""
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+def _links_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components ``c`` of the nodes of each group ``g``, by pairs of blocks of bounded size."""
+    sizes = placed.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("sides"), F.min("c").alias("low"), F.max("c").alias("high"))
+    torn = sizes.filter("low <> high").select("g", "sides")
+    dealt = placed.join(torn, "g").join(sets, "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select("g", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "c", "items")
+    key = ["g", "low", "high"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_across(percent), "u long, v long")
+
+
+def _near(percent: int, n_u: str = "n_u", n_v: str = "n_v") -> Column:
+    return 100 * F.col("common") >= percent * (F.col(n_u) + F.col(n_v) - F.col("common"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -185,31 +253,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     sets = whole.join(nodes, same_doc(whole, nodes)).select(nodes["node"], whole["body"])
     sets = scratch.keep(sets.mapInArrow(_sets(size), "node long, items array<long>"), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
-        both = both.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
-        return both.select("u", "v", "a", "b").mapInArrow(_confirm(percent), "u long, v long")
-
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p")).select("bucket", F.col("p.node").alias("u"), F.col("p.n").alias("n_u"))
-    first = members.join(pivots, "bucket").filter((F.col("node") != F.col("u")) & _close("n", "n_u", percent))
-    first = scratch.keep(first.select("u", F.col("node").alias("v")).distinct(), "pairs")
-    links = scratch.keep(confirmed(first), "links")
+    # every member against the pivot of its bucket: the node that meets the most others
+    degree = members.join(members.groupBy("bucket").agg(F.count("*").alias("m")), "bucket").groupBy("node").agg(F.sum("m").alias("degree"))
+    ranked = members.join(degree, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p")).select("bucket", F.col("p.node").alias("u"), F.col("p.n").alias("n_u"))
+    spokes = scratch.keep(members.join(pivots, "bucket").select("bucket", "node", "n", "u", "n_u"), "spokes")
+    apart = 100 - percent
+    tight, loose = max(1, 100 - 2 * apart), max(1, 100 - 3 * apart)
+    alike = 100 * F.least("n", "n_u") >= loose * F.greatest("n", "n_u")
+    pairs = spokes.filter((F.col("node") != F.col("u")) & alike).select("u", F.col("node").alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
+    both = both.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").select("u", "v", "a", "b")
+    pairs = scratch.keep(both.mapInArrow(_shared, "u long, v long, common long, n_u long, n_v long"), "pairs")
+    links = scratch.keep(pairs.filter(_near(percent)).select("u", "v"), "links")
     joined = components(links, scratch, "first")
-    placed = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    torn = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    torn = scratch.keep(placed.join(torn, "bucket"), "torn")
-    other = torn.select("bucket", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
-    rest = torn.withColumnsRenamed({"node": "u", "n": "n_u", "c": "c_u"}).join(other, "bucket")
-    rest = rest.filter((F.col("c_u") != F.col("c_v")) & (F.col("u") < F.col("v")) & _close("n_u", "n_v", percent))
-    rest = scratch.keep(rest.select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "rest")
-    more = scratch.keep(confirmed(rest), "more")
-    joined = components(links.union(more), scratch, "all")
+
+    # what may still link lies in one circle of a pivot, or in one bucket outside of the inner circle
+    circles = components(pairs.filter(_near(loose)).select("u", "v"), scratch, "circles")
+    circles = circles.select(F.col("component").alias("g"), "node").join(nodes.select("node", "n"), "node")
+    inner = pairs.filter(_near(tight)).select("u", F.col("v").alias("node"))
+    outside = spokes.filter("node <> u").join(inner, ["u", "node"], "left_anti").select(F.xxhash64("bucket").alias("g"), "node", "n")
+    more = []
+    for name, grouped in (("circle", circles), ("bucket", outside)):
+        placed = grouped.join(joined, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("c"))
+        placed = scratch.keep(placed, f"{name}_nodes")
+        more.append(scratch.keep(_links_across(placed, sets, percent), f"{name}_links"))
+    joined = components(links.union(more[0]).union(more[1]), scratch, "all")
+
     classes = signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"))
     known = nodes.select("s1", "s2", "n", "node").join(joined, "node")
     classes = scratch.keep(classes.join(known, ["s1", "s2", "n"], "left").select("s1", "s2", "n", "least", "component"), "classes")
     tops = classes.filter("component is not null").groupBy("component").agg(F.min("least").alias("top"))
     classes = classes.join(tops, "component", "left").select("s1", "s2", "n", F.coalesce("top", "least").alias("component_id"))
-    scratch.drop("placed", "torn", "sets")
+    scratch.drop("placed", "sets", "spokes")
     found = signed.select("doc_id", "tk", "n", "s1", "s2").join(classes, ["s1", "s2", "n"])
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from judgealign.session import shared_dir
 
 
+#: Bytes of an Arrow batch in written steps.
+BATCH_SETTING, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+
+
 class Scratch:
     """A folder of written tables below ``spark.checkpoint.dir``; a written table cuts the lineage.
 
@@ -18,9 +22,18 @@ class Scratch:
         self.spark, self.root = spark, shared_dir(spark, name)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the frame that reads it."""
-        schema = df.schema
-        df.write.parquet(f"{self.root}/{name}")
+        """Write ``df`` once and return the frame that reads it.
+
+        While it is written, batches for Python functions stay below ``BATCH``, so two tasks of an executor share little
+        memory with the JVM beside them.
+        """
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(BATCH_SETTING)
+        conf.set(BATCH_SETTING, BATCH)
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(BATCH_SETTING, before)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def put(self, name: str, data: bytes) -> str:
