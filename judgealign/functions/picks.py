@@ -17,8 +17,8 @@ def digest(seed: int, *keys) -> Column:
 
 
 def number(seed: int, *keys) -> Column:
-    """The first 8 hex digits of the digest as a number below 2**32."""
-    return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("bigint")
+    """The first 15 hex digits of the digest as a number below 2**60: no table has more rows than it can draw from."""
+    return F.conv(F.substring(digest(seed, *keys), 1, 15), 16, 10).cast("bigint")
 
 
 def below(n: Column, seed: int, *keys) -> Column:

@@ -21,6 +21,7 @@ def parse_scores(
 
     * a key that is missing scores ``default`` for that dimension only;
     * text that is not a JSON object, or one present value that is no number, resets the whole row to ``default``;
+    * of equal keys the last one counts, and a bare NaN or Infinity is a number (in ``float`` mode);
     * ``mode="int"`` truncates numbers and accepts only whole-number strings, ``"float"`` keeps fractions;
     * where the response itself is NULL, the row's own columns named like the dimensions are the scores,
       and a dimension without such a column stays NULL (that trial then drops out for that dimension).
@@ -33,15 +34,21 @@ def parse_scores(
     tops = [f"_top{i}" for i in range(len(dims))]
 
     # one projection per step, so that each value is computed once and only referred to afterwards
-    parsed = df.select(*keep, *top, X.strict_json(X.strip_fences(F.col(response))).alias("_json"))
+    texts = df.select(*keep, *top, X.strip_fences(F.col(response)).alias("_text"))
+    parsed = texts.withColumn("_json", X.strict_json(F.col("_text")))
+    odd = F.col("_json").isNull() & F.col("_text").rlike(r"^\s*\{")
+    parsed = parsed.select(*keep, *tops, "_json", F.when(odd, X.loose_object(F.col("_text"))).alias("_loose"))
     raw = parsed.select(
-        *keep, *tops, *[F.try_variant_get("_json", f"$['{d}']", "variant").alias(f"_raw{i}") for i, d in enumerate(dims)]
+        *keep,
+        *tops,
+        *[F.try_variant_get("_json", f"$['{d}']", "variant").alias(f"_raw{i}") for i, d in enumerate(dims)],
+        *[_hits("_loose", d).alias(f"_odd{i}") for i, d in enumerate(dims)],
     )
     values = raw.select(
         *keep,
         *tops,
-        *[F.col(f"_raw{i}").isNotNull().alias(f"_has{i}") for i in range(len(dims))],
-        *[_number(F.col(f"_raw{i}"), mode).alias(f"_val{i}") for i in range(len(dims))],
+        *[(F.col(f"_raw{i}").isNotNull() | F.coalesce(F.size(f"_odd{i}") > 0, F.lit(False))).alias(f"_has{i}") for i in range(len(dims))],
+        *[F.coalesce(_number(F.col(f"_raw{i}"), mode), _loose_number(F.col(f"_odd{i}"), mode)).alias(f"_val{i}") for i in range(len(dims))],
     )
     sound = [~F.col(f"_has{i}") | F.col(f"_val{i}").isNotNull() for i in range(len(dims))]
     checked = values.withColumn("_ok", reduce(lambda a, b: a & b, sound))
@@ -65,6 +72,22 @@ def _number(raw: Column, mode: str) -> Column:
     return F.when(number.isNotNull() & ~as_text.rlike(r"\d\.?[dDfF]\s*$"), number)
 
 
+def _hits(entries: str, key: str) -> Column:
+    """The map entries of a key in order."""
+    return F.filter(entries, lambda e: e["key"] == F.lit(key))
+
+
+def _loose_number(hits: Column, mode: str) -> Column:
+    """The last value of a key in an object with repeated keys or bare NaN, as a number."""
+    value = F.regexp_replace(F.try_element_at(hits, F.lit(-1))["value"], r'^"(NaN|-?Infinity)"$', "$1")
+    plain = F.when(~value.rlike(r"\d\.?[dDfF]\s*$"), value.try_cast("double"))
+    number = F.when(value == "true", 1.0).when(value == "false", 0.0).otherwise(plain)
+    if mode == "float":
+        return number
+    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), whole)
+
+
 def separate_score(response: Column, error: Column, default: float = 1.0) -> Column:
     """Score of a one-dimension call: ``default`` for an error or a non-numeric answer."""
     number = F.coalesce(X.as_float(response), F.lit(float(default)))

@@ -73,6 +73,18 @@ def strict_json(text: Column) -> Column:
     return F.when(flat, value).when(in_array & in_object, value)
 
 
+def loose_object(text: Column) -> Column:
+    """Entries ``(key, value as text)`` of one JSON object that may repeat keys or hold bare NaN and Infinity.
+
+    NULL where the text is not exactly one such object, by the test of :func:`strict_json`. Strings and tokens look
+    alike in the values, so the text ``"true"`` counts as the token.
+    """
+    kind = "map<string,string>"
+    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>").isNotNull()
+    in_object = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"struct<v:{kind}>")["v"].isNotNull()
+    return F.when(in_array & in_object, F.map_entries(F.from_json(text, kind)))
+
+
 def first_fenced_json(response: Column) -> Column:
     """The first fenced block, or the whole text, where it is valid JSON; else NULL."""
     block = F.regexp_extract(response, r"(?s)```json(.*?)```", 1)
@@ -80,6 +92,14 @@ def first_fenced_json(response: Column) -> Column:
     return F.when(strict_json(text).isNotNull(), text)
 
 
+def normal_answer(response: Column) -> Column:
+    """A JSON answer in one form (no blanks, keys in order); text that is not JSON stays as it is."""
+    block = F.regexp_extract(response, r"(?s)```json(.*?)(```|$)", 1)
+    fenced = response.rlike(r"```json")
+    value = strict_json(strip_blank(F.when(fenced, block).otherwise(response)))
+    return F.coalesce(F.to_json(value), response)
+
+
 # A cast that fails costs far more than a pattern test, so the pattern comes first. It also refuses what casts in
 # SQL but is no number in text (``1d``, ``inf``, ``nan``).
 _FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"

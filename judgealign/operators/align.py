@@ -172,9 +172,12 @@ def validate(df: DataFrame, rubric: str, dim: str = "dim", score: str = "score")
     return joined.withColumn("reason", reason).drop("lo", "hi")
 
 
-def result_records(items: DataFrame, outputs: DataFrame, fields: list[str], key: str = "item_id") -> DataFrame:
+def result_records(items: DataFrame, outputs: DataFrame, fields: list[str], key: str = "item_id", dims: list[str] | None = None) -> DataFrame:
     """Dimension-result records: the item, the raw output, its score, and all ratings as a map.
 
+    With ``dims`` the records are comprehensive: ``dimension_scores`` maps every dimension to its tagged score (NULL
+    without a tag), and ``outputs`` needs ``(key, raw_model_output)`` only.
+
     ``outputs`` has ``(key, specific_dimension, raw_model_output, probability_score)``. Texts that are missing
     become '', rating lists that are missing become empty. The join is on the item key, never by position.
     """
@@ -192,6 +195,10 @@ def result_records(items: DataFrame, outputs: DataFrame, fields: list[str], key:
         ratings.alias("ground_truth_ratings"),
     )
     raw = F.col("raw_model_output")
+    if dims:
+        scores = F.transform_values(X.tagged_scores(raw, dims), lambda _, v: v.cast("double"))
+        every = outputs.select(key, "raw_model_output", F.lit("comprehensive").alias("evaluation_type"), scores.alias("dimension_scores"))
+        return every.join(known, key)
     scored = outputs.select(
         key, "specific_dimension", "raw_model_output", "probability_score",
         F.lit("specific_dimension").alias("evaluation_type"),

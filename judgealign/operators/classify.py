@@ -58,9 +58,15 @@ def confusion(scored: DataFrame, keys: list[str], score: str = "score", label: s
     return _confusion(counts, keys)
 
 
-def classification(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
-    """Confusion metrics and ROC AUC per group, both from the same compressed table of score values."""
-    values = class_counts(scored, keys, score, label)
+def classification(
+    scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5,
+    bounded: bool = False,
+) -> DataFrame:
+    """Confusion metrics and ROC AUC per group, both from the same compressed table of score values.
+
+    ``bounded`` says that there is a bounded number of score values.
+    """
+    values = class_counts(scored, keys, score, label, bounded)
     p = F.col("v") >= threshold
     counts = values.df.groupBy(*keys).agg(
         F.sum(F.when(p, F.col("n1")).otherwise(0)).alias("tp"),

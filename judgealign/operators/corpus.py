@@ -6,9 +6,6 @@ with prompt variations join a small table. All random choices are seeded (:mod:`
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,31 +47,47 @@ def _ratings_map(fields: dict[str, Column]) -> Column:
     return F.create_map(*[x for d, c in fields.items() for x in (F.lit(d), c)])
 
 
+def _row(dim: Column, variation: Column, prompt: Column, solution: Column) -> Column:
+    return F.struct(dim.alias("dim"), variation.alias("variation"), prompt.alias("prompt"), solution.alias("solution"))
+
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _flat(items: DataFrame, key: str, row: Column, *names: str) -> DataFrame:
+    return items.select(key, row.alias("_r")).select(key, *[F.col(f"_r.{n}").alias(n) for n in names])
+
+
+def single_dimension_row(
+    fields: dict[str, Column], rubric: Rubric, seed: int, user: Column, audio: Column, extra: str = "",
+    caption: Column | None = None, policy: str = "pick_one", key: str = "item_id",
+) -> Column:
+    """One random dimension and one random rating (kinds ROLE, Arche; with ``extra`` and ``caption`` RoleCaption and
+    RoleEmotion)."""
+    k = F.col(key)
+    dim = pick_dim(list(fields), seed, k)
+    rating = pick_rating(_ratings_map(fields)[dim], policy, seed, k, dim)
+    body = F.concat(P.rubric_lookup(dim, rubric, True), F.lit("\n\n"), user, F.lit(f"\n\n{extra}" if extra else ""))
+    solution = answer(rating)
+    if caption is not None:
+        solution = with_thought(caption.cast("string"), solution)
+    return _row(dim, _null(), P.user_message(audio, P.question_prompt(body)), solution)
+
+
 def single_dimension(
     items: DataFrame, fields: dict[str, Column], rubric: Rubric, seed: int, user: Column, audio: Column,
     extra: str = "", caption: Column | None = None, policy: str = "pick_one", key: str = "item_id",
 ) -> DataFrame:
-    """One random dimension and one random rating per item (kinds ROLE, Arche; with ``extra`` and ``caption``
-    RoleCaption and RoleEmotion)."""
-    k = F.col(key)
-    chosen = items.select(
-        key, user.alias("_user"), audio.alias("_audio"), (caption if caption is not None else F.lit(None)).cast("string").alias("_cap"),
-        pick_dim(list(fields), seed, k).alias("dim"), _ratings_map(fields).alias("_m"),
-    )
-    rating = pick_rating(F.col("_m")[F.col("dim")], policy, seed, k, F.col("dim"))
-    body = F.concat(P.rubric_lookup(F.col("dim"), rubric, True), F.lit("\n\n"), F.col("_user"), F.lit(f"\n\n{extra}" if extra else ""))
-    solution = answer(rating)
-    return chosen.select(
-        key, "dim",
-        P.user_message(F.col("_audio"), P.question_prompt(body)).alias("prompt"),
-        (with_thought(F.col("_cap"), solution) if caption is not None else solution).alias("solution"),
-    )
+    """Rows of :func:`single_dimension_row`."""
+    row = single_dimension_row(fields, rubric, seed, user, audio, extra, caption, policy, key)
+    return _flat(items, key, row, "dim", "prompt", "solution")
 
 
-def all_dimensions(
-    items: DataFrame, fields: dict[str, Column], labels: dict[str, str], general: str, seed: int, user: Column,
-    audio: Column, flexible: bool = False, consistent: bool = False, key: str = "item_id",
-) -> DataFrame:
+def all_dimensions_row(
+    fields: dict[str, Column], labels: dict[str, str], general: str, seed: int, user: Column, audio: Column,
+    flexible: bool = False, consistent: bool = False, key: str = "item_id",
+) -> Column:
     """All dimensions in one answer ``[Label]score...``.
 
     ``flexible`` permutes the dimensions per item. ``consistent`` takes one annotator position for all dimensions,
@@ -87,70 +100,96 @@ def all_dimensions(
         order = picks.permute(order, seed, "order", k)
     sizes = [F.size(F.filter(c, lambda r: r.isNotNull())) for c in fields.values()]
     most = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
-    prepared = items.select(
-        key, user.alias("_user"), audio.alias("_audio"), order.alias("_order"), _ratings_map(fields).alias("_m"),
-        F.coalesce(picks.below(most, seed, "annotator", k), F.lit(0)).cast("int").alias("_at"),
-    )
-    if consistent:
-        def score(d):
-            r = F.get(F.col("_m")[d], F.col("_at"))
-            return F.when(r == "N/A", "1").otherwise(F.coalesce(r, F.lit("1")))
-    else:
-        def score(d):
-            return pick_rating(F.col("_m")[d], "pick_one", seed, k, d)
+    ratings = _ratings_map(fields)
     label = F.create_map(*[F.lit(x) for d in dims for x in (d, labels[d])])
-    parts = F.transform("_order", lambda d: F.concat(F.lit("["), label[d], F.lit("]"), score(d)))
-    body = F.concat(F.col("_user"), F.lit(f"\n\n{general}"))
-    return prepared.select(
-        key,
-        P.user_message(F.col("_audio"), P.question_prompt(body)).alias("prompt"),
-        answer(F.array_join(parts, "")).alias("solution"),
-    )
 
+    def text(at: Column) -> Column:
+        def score(d: Column) -> Column:
+            if not consistent:
+                return pick_rating(ratings[d], "pick_one", seed, k, d)
+            r = F.get(ratings[d], at)
+            return F.when(r == "N/A", "1").otherwise(F.coalesce(r, F.lit("1")))
 
-def with_variation(
-    items: DataFrame, fields: dict[str, Column], variations: DataFrame, seed: int, user: Column, audio: Column,
-    extra: str = "", caption: Column | None = None, key: str = "item_id",
+        return F.array_join(F.transform(order, lambda d: F.concat(F.lit("["), label[d], F.lit("]"), score(d))), "")
+
+    # the position is drawn once per row: the lambda binds it
+    drawn = F.coalesce(picks.below(most, seed, "annotator", k), F.lit(0)).cast("int")
+    scores = F.get(F.transform(F.array(drawn), text), F.lit(0)) if consistent else text(F.lit(0))
+    body = F.concat(user, F.lit(f"\n\n{general}"))
+    return _row(_null(), _null(), P.user_message(audio, P.question_prompt(body)), answer(scores))
+
+
+def all_dimensions(
+    items: DataFrame, fields: dict[str, Column], labels: dict[str, str], general: str, seed: int, user: Column,
+    audio: Column, flexible: bool = False, consistent: bool = False, key: str = "item_id",
 ) -> DataFrame:
-    """One random prompt variation per item (kinds RoleReasoning, RoleVariation; with ``extra`` and ``caption``
-    RoleVariationCaption). ``variations`` has ``(id, dimension_name, prompt_text)``."""
-    k = F.col(key)
+    """Rows of :func:`all_dimensions_row`."""
+    row = all_dimensions_row(fields, labels, general, seed, user, audio, flexible, consistent, key)
+    return _flat(items, key, row, "prompt", "solution")
+
+
+def join_variations(items: DataFrame, variations: DataFrame, seed: int, key: str = "item_id", how: str = "left") -> DataFrame:
+    """Items with one random prompt variation each, in the column ``_variation``.
+
+    ``variations`` has ``(id, dimension_name, prompt_text)``; with an empty table the column is NULL.
+    """
     numbered = global_index(variations, F.substring(F.md5("id"), 1, 2), [F.md5("id"), "id"], "_v")
+    numbered = numbered.select("_v", F.struct("id", "dimension_name", "prompt_text").alias("_variation"))
     size = variations.agg(F.count("*")).scalar()
-    prepared = items.select(
-        key, user.alias("_user"), audio.alias("_audio"),
-        (caption if caption is not None else F.lit(None)).cast("string").alias("_cap"),
-        _ratings_map(fields).alias("_r"), size.alias("_m"),
-    ).withColumn("_v", picks.below(F.col("_m"), seed, "variation", k))
-    joined = prepared.join(numbered, "_v")
-    rating = pick_rating(F.col("_r")[F.col("dimension_name")], "pick_one", seed, k, F.col("dimension_name"))
-    text = F.concat(F.col("prompt_text"), F.lit("\n\n"), F.col("_user"), F.lit(f"\n\n{extra}" if extra else ""), F.lit("\n\n"))
+    own = [F.col(f"`{c}`") for c in items.columns]
+    drawn = items.select(*own, size.alias("_m")).withColumn("_v", picks.below(F.col("_m"), seed, "variation", F.col(key)))
+    return drawn.join(numbered, "_v", how).select(*own, "_variation")
+
+
+def variation_row(
+    fields: dict[str, Column], seed: int, user: Column, audio: Column, extra: str = "", caption: Column | None = None,
+    key: str = "item_id",
+) -> Column:
+    """The item's prompt variation (kinds RoleReasoning, RoleVariation; with ``extra`` and ``caption``
+    RoleVariationCaption), over :func:`join_variations`."""
+    v, k = F.col("_variation"), F.col(key)
+    rating = pick_rating(_ratings_map(fields)[v["dimension_name"]], "pick_one", seed, k, v["dimension_name"])
+    text = F.concat(v["prompt_text"], F.lit("\n\n"), user, F.lit(f"\n\n{extra}" if extra else ""), F.lit("\n\n"))
     solution = answer(rating)
-    return joined.select(
-        key, F.col("dimension_name").alias("dim"), F.col("id").alias("variation"),
-        P.user_message(F.col("_audio"), text).alias("prompt"),
-        (with_thought(F.col("_cap"), solution) if caption is not None else solution).alias("solution"),
-    )
+    if caption is not None:
+        solution = with_thought(caption.cast("string"), solution)
+    return _row(v["dimension_name"], v["id"], P.user_message(audio, text), solution)
+
+
+def with_variation(
+    items: DataFrame, fields: dict[str, Column], variations: DataFrame, seed: int, user: Column, audio: Column,
+    extra: str = "", caption: Column | None = None, key: str = "item_id",
+) -> DataFrame:
+    """Rows of :func:`variation_row`; no rows where there is no variation."""
+    joined = join_variations(items, variations, seed, key, "inner")
+    row = variation_row(fields, seed, user, audio, extra, caption, key)
+    return _flat(joined, key, row, "dim", "variation", "prompt", "solution")
+
+
+def multiple_choice_row() -> Column:
+    """Multiple choice (kind AVQA) from ``question_text, multi_choice, answer, audio_path``."""
+    prompt = P.user_message(F.col("audio_path"), P.choice_prompt(F.col("question_text"), F.col("multi_choice")))
+    return _row(_null(), _null(), prompt, P.choice_solution(F.col("multi_choice"), F.col("answer")))
 
 
 def multiple_choice(items: DataFrame, key: str = "item_id") -> DataFrame:
-    """Multiple-choice rows (kind AVQA) from ``question_text, multi_choice, answer, audio_path``."""
-    return items.select(
-        key,
-        P.user_message(F.col("audio_path"), P.choice_prompt(F.col("question_text"), F.col("multi_choice"))).alias("prompt"),
-        P.choice_solution(F.col("multi_choice"), F.col("answer")).alias("solution"),
-    )
+    """Rows of :func:`multiple_choice_row`."""
+    return _flat(items, key, multiple_choice_row(), "prompt", "solution")
 
 
-def dispatch(items: DataFrame, builders: dict[str, Callable[[DataFrame], DataFrame]], default: str = "ROLE") -> DataFrame:
-    """Training rows of mixed items: each item goes to the builder of its ``dataset_name`` (NULL counts as ``default``).
+def dispatch(items: DataFrame, kinds: dict[str, Column], default: str = "ROLE", key: str = "item_id") -> DataFrame:
+    """Training rows of mixed items: the row expression of each item's ``dataset_name`` (NULL counts as ``default``).
 
-    An item of an unknown kind gives no row. Each kind is one filtered read; keep the items partitioned by
-    ``dataset_name``, then a read touches only the files of its kind.
+    ``kinds`` maps names to the row expressions above; one projection evaluates the one that applies, so the items are
+    read once. An item of an unknown kind stays, with a NULL prompt and solution. Returns ``(<key>, dataset_name, dim,
+    variation, prompt, solution)``.
     """
     kind = F.coalesce(F.col("dataset_name"), F.lit(default))
-    parts = [build(items.where(kind == name)).withColumn("dataset_name", F.lit(name)) for name, build in builders.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    chosen = None
+    for name, row in kinds.items():
+        chosen = F.when(kind == name, row) if chosen is None else chosen.when(kind == name, row)
+    rows = items.select(key, kind.alias("dataset_name"), chosen.alias("_r"))
+    return rows.select(key, "dataset_name", "_r.dim", "_r.variation", "_r.prompt", "_r.solution")
 
 
 def message_text(prompt: Column) -> Column:

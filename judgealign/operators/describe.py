@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgealign.operators.ranks import FEW_CELLS, Compressed, compress, running_counts
+from judgealign.operators.ranks import Compressed, running_counts
 from judgealign.schemas import OVERALL
 
 
 def count_values(
-    df: DataFrame, keys: list[str], value: str, overall_dim: str | None = None, few_cells: int = FEW_CELLS
+    df: DataFrame, keys: list[str], value: str, overall_dim: str | None = None, bounded: bool = False
 ) -> Compressed:
     """``(keys, v, n)`` of the defined values; ``overall_dim`` also pools that key."""
     v = F.col(value).cast("double")
@@ -22,18 +22,18 @@ def count_values(
     if overall_dim is not None:
         others = [k for k in keys if k != overall_dim]
         rows = rows.select(*others, F.explode(F.array(overall_dim, F.lit(OVERALL))).alias(overall_dim), "v")
-    return compress(rows.groupBy(*keys, "v").agg(F.count("*").alias("n")), few_cells)
+    return Compressed(rows.groupBy(*keys, "v").agg(F.count("*").alias("n")), bounded)
 
 
 def quantiles(values: Compressed, keys: list[str], qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours, one column per entry of ``qs``."""
-    if values.few:
-        ranked = running_counts(values.df, keys, "v", ["n"], values).withColumn(
+    if values.bounded:
+        ranked = running_counts(values.df, keys, "v", ["n"], True).withColumn(
             "_total", F.sum("n").over(Window.partitionBy(*keys))
         )
     else:
         totals = values.df.groupBy(*keys).agg(F.sum("n").alias("_total"))
-        ranked = running_counts(values.df, keys, "v", ["n"], values).join(totals, keys)
+        ranked = running_counts(values.df, keys, "v", ["n"]).join(totals, keys)
 
     def at(position: Column) -> Column:
         inside = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from judgealign.session import ship_with_tasks, spread
+from judgealign.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -20,19 +20,23 @@ def run_judge(
     model_name: str,
     keys: tuple[str, ...] = ("item_id",),
     batch: int = 100,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Judge ``(keys..., prompt, audio_path)`` rows.
 
     ``open_judge`` is called once per partition and returns ``judge(prompts, audio_paths) -> answers``. An answer
     that is an exception, or a call that raises, becomes a record with ``error`` set and ``Error: ...`` as its
-    response; the other rows go on. If a whole batch raises, its rows are tried one at a time.
+    response; the other rows go on. If a whole batch raises, its rows are tried one at a time. A judge that returns
+    fewer answers than prompts leaves the missing ones as error records; surplus answers are ignored. ``partitions``
+    deals the requests anew before the calls.
     """
     types = dict(requests.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + RESULT
 
     def call(judge, prompts: list[str], paths: list[str]) -> list:
         try:
-            return list(judge(prompts, paths))
+            answers = list(judge(prompts, paths))[: len(prompts)]
+            return answers + [ValueError("no answer")] * (len(prompts) - len(answers))
         except Exception as error:  # noqa: BLE001 - failures are data here
             if len(prompts) == 1:
                 return [error]
@@ -54,4 +58,5 @@ def run_judge(
             out["error"] = failed
             yield out
 
-    return spread(requests.select(*keys, "prompt", "audio_path")).mapInPandas(work, schema)
+    rows = requests.select(*keys, "prompt", "audio_path")
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(work, schema)

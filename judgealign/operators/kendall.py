@@ -31,7 +31,7 @@ def _choose2(n: Column) -> Column:
 
 def concordant(cells: Compressed, keys: list[str], y_ranks: DataFrame) -> DataFrame:
     """Concordant pairs per group from cells ``(keys, x, y, n)``."""
-    if cells.few:
+    if cells.bounded:
         group = Window.partitionBy(*keys)
         ranked = cells.df.select(
             *keys, "x", "n", (F.dense_rank().over(group.orderBy("y")) - 1).cast("bigint").alias("_yk")
@@ -50,7 +50,7 @@ def concordant(cells: Compressed, keys: list[str], y_ranks: DataFrame) -> DataFr
         .groupBy(*keys, "_level", "_high", "x")
         .agg(*[F.sum(F.when(F.col("_digit") == d, F.col("n")).otherwise(0)).alias(f"_n{d}") for d in range(_BASE)])
     )
-    counted = running_counts(per_x, [*keys, "_level", "_high"], "x", [f"_n{d}" for d in range(_BASE - 1)], cells)
+    counted = running_counts(per_x, [*keys, "_level", "_high"], "x", [f"_n{d}" for d in range(_BASE - 1)], cells.bounded)
     product, smaller = F.lit(0).cast(_EXACT), F.lit(0).cast("bigint")
     for d in range(1, _BASE):
         smaller = smaller + F.col(f"before__n{d - 1}")
@@ -67,7 +67,7 @@ def _tied(cells: Compressed, keys: list[str], value: str) -> DataFrame:
 
 def kendall(cells: Compressed, keys: list[str]) -> DataFrame:
     """tau-b per group from compressed pairs, with the pair counts; NULL for a constant side."""
-    y_ranks = None if cells.few else average_ranks(cells, keys, "y")
+    y_ranks = None if cells.bounded else average_ranks(cells, keys, "y")
     conc = concordant(cells, keys, y_ranks)
     totals = cells.df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(_choose2(F.col("n"))).alias("_txy"))
     joined = totals.join(_tied(cells, keys, "x"), keys).join(_tied(cells, keys, "y"), keys).join(conc, keys)

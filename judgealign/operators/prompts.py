@@ -16,6 +16,7 @@ from judgealign.functions import picks
 
 # ---- fixed values: prompt formats -----------------------------------------------------------------------
 USER_FORMAT = "Global Profile: %s, Local Scene: %s, Available Traits: %s"
+ARCHETYPE_FORMAT = "Prompt’s role & scene: %s"
 QUESTION_FORMAT = "Please evaluate the audio based on the following criteria:\n\n%s\n\nOutput the answer in <answer> </answer>."
 CHOICE_FORMAT = "%s Please choose the answer from the following options: %s. Output the final answer in <answer> </answer>."
 # -----------------------------------------------------------------------------------------------------------
@@ -58,6 +59,11 @@ def user_prompt(profile: Column, scene: Column, traits: Column) -> Column:
     return F.format_string(USER_FORMAT, profile, scene, traits)
 
 
+def archetype_prompt(question: Column, heading: bool = True) -> Column:
+    """The question of an archetype item: under its heading for a judge, alone for training rows."""
+    return F.format_string(ARCHETYPE_FORMAT, question) if heading else question
+
+
 def question_prompt(body: Column) -> Column:
     return F.format_string(QUESTION_FORMAT, body)
 

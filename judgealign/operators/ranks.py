@@ -1,81 +1,46 @@
 """Rank statistics without sorting a whole dimension in one task.
 
-There are few dimensions and many rows, so a window partitioned by dimension would put a dimension on one
-task. Rows are first compressed to cells (group, x, y, count), which are kept (memory, then disk) because
-every statistic reads them, and counted:
-
-* few cells (:data:`FEW_CELLS`, the case of whole-number scores and trial means): plain windows per group;
-* many cells: counts of smaller values come from levels of small windows. Two levels (value cells, values
-  inside a cell) up to :data:`MANY_CELLS`; three levels (coarse cells, fine cells, values) beyond. The cells
-  are a fixed monotone function of the value, so no bounds are sampled and a recomputed task repeats them; a
-  window over cells has at most 65,536 or 4,096 rows.
-
-Both ways are exact and give the same numbers.
+There are few dimensions and many rows, so a window partitioned by dimension would put a dimension on one task.
+Rows are first compressed to cells (group, x, y, count) by a combining aggregate. Counts of smaller values then come
+from three levels of windows over the bits of the value: the top 22 bits of its order-preserving bit pattern, the
+next 21 bits, the values that share both. No window can hold more than 2**22 rows, wherever the values lie and
+however many there are; nothing is sampled, so a recomputed task repeats the cells.
+
+Scores of a rating scale and means of a few trials have a bounded number of distinct values. A caller that knows this
+says so (``bounded=True``), and groups are ranked by one window each. Both ways are exact and give the same numbers.
+Everything here is lazy: the compressed table is computed when a report is, once per report where Spark reuses the
+exchange.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgealign.operators.moments import metrics, moments
 from judgealign.schemas import OVERALL
 
-_FINE = 4096
-
-# up to so many rows in a compressed table its groups are ranked by one window each
-FEW_CELLS = 200_000
-
-# up to so many rows two levels are enough: even if all values fell into one cell, one task could sort them
-MANY_CELLS = 50_000_000
-
 
 @dataclass
 class Compressed:
-    """A compressed table that is read several times, and whether it is small."""
+    """A compressed table, and whether its groups have a bounded number of rows."""
 
     df: DataFrame
-    rows: int
-    few: bool
-
-    def release(self) -> None:
-        self.df.unpersist()
-
-
-_KEPT: list[Compressed] = []
-
-
-def release_kept() -> None:
-    """Drop all kept compressed tables, once the reports that read them are written."""
-    while _KEPT:
-        _KEPT.pop().release()
+    bounded: bool
 
 
-def compress(df: DataFrame, few_cells: int = FEW_CELLS) -> Compressed:
-    """Keep a compressed table and count it. The count computes the input once; later reads use the kept rows."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = kept.count()
-    _KEPT.append(Compressed(kept, rows, rows <= few_cells))
-    return _KEPT[-1]
-
-
-def _squash(value: Column) -> Column:
-    """The value on (-1, 1) by 1 - 1/(1+|v|), never decreasing.
-
-    Every step is monotone in floating point, and an outlier of any size cannot squeeze the scores into one cell:
-    1..5 alone covers a sixth of the range.
-    """
-    size = F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.abs(value))
-    return F.when(value < 0, -size).otherwise(size)
-
-
-def value_cells(value: Column) -> tuple[Column, Column]:
-    """(coarse, fine) cell numbers for three levels."""
-    fine = F.floor((_squash(value) + 1.0) * float(_FINE * _FINE // 2)).cast("bigint")
-    return F.floor(fine / _FINE).cast("bigint"), fine
+def order_bits(value: Column) -> Column:
+    """The bit pattern of a double as a whole number in the order of the values (its own inverse for negative ones)."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(F.greatest(size, F.lit(2.2250738585072014e-308))))
+    low = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    exponent = F.greatest(F.least(low, F.lit(1023)), F.lit(-1022)).cast("int")
+    mantissa = (size / F.pow(F.lit(2.0), exponent) - 1.0) * float(1 << 52)
+    bits = F.shiftleft((exponent + 1023).cast("bigint"), 52) + mantissa.cast("bigint")
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise(bits)
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
 def _before(cols: list[str], order: str, measure: str) -> Column:
@@ -84,36 +49,23 @@ def _before(cols: list[str], order: str, measure: str) -> Column:
     return F.coalesce(F.sum(measure).over(w), F.lit(0))
 
 
-def running_counts(
-    values: DataFrame, groups: list[str], value: str, measures: list[str], size: Compressed | None = None
-) -> DataFrame:
+def running_counts(values: DataFrame, groups: list[str], value: str, measures: list[str], bounded: bool = False) -> DataFrame:
     """Add ``before_<m>``: the sum of measure ``m`` over the smaller values of the group.
 
-    ``values`` has one row per (group, value). ``size`` is the compressed table behind it, whose number of rows
-    decides on the number of levels.
+    ``values`` has one row per (group, value); ``bounded`` says that a group has a bounded number of them.
     """
     own = [f"`{c}`" for c in values.columns]
-    if size is not None and size.few:
+    if bounded:
         return values.select(*own, *[_before(groups, value, m).alias(f"before_{m}") for m in measures])
-
-    v = F.col(value).cast("double")
-    if size is not None and size.rows <= MANY_CELLS:
-        cell = [*groups, "_c1"]
-        cells = values.withColumn("_c1", F.floor((_squash(v) + 1.0) * 32768.0).cast("bigint"))
-        sums = cells.groupBy(*cell).agg(*[F.sum(m).alias(f"_g_{m}") for m in measures])
-        start = sums.select(*cell, *[_before(groups, "_c1", f"_g_{m}").alias(f"_b2_{m}") for m in measures])
-    else:
-        cell = [*groups, "_c1", "_c2"]
-        coarse, fine = value_cells(v)
-        cells = values.withColumns({"_c1": coarse, "_c2": fine})
-        fine_sums = cells.groupBy(*cell).agg(*[F.sum(m).alias(f"_f_{m}") for m in measures])
-        coarse_sums = fine_sums.groupBy(*groups, "_c1").agg(*[F.sum(f"_f_{m}").alias(f"_g_{m}") for m in measures])
-        coarse_start = coarse_sums.select(
-            *groups, "_c1", *[_before(groups, "_c1", f"_g_{m}").alias(f"_b1_{m}") for m in measures]
-        )
-        start = fine_sums.join(coarse_start, [*groups, "_c1"]).select(
-            *cell, *[(F.col(f"_b1_{m}") + _before([*groups, "_c1"], "_c2", f"_f_{m}")).alias(f"_b2_{m}") for m in measures]
-        )
+    bits = order_bits(F.col(value).cast("double"))
+    cells = values.withColumns({"_c1": F.shiftright(bits, 42), "_c2": F.shiftright(bits, 21)})
+    cell = [*groups, "_c1", "_c2"]
+    fine = cells.groupBy(*cell).agg(*[F.sum(m).alias(f"_f_{m}") for m in measures])
+    coarse = fine.groupBy(*groups, "_c1").agg(*[F.sum(f"_f_{m}").alias(f"_g_{m}") for m in measures])
+    begins = coarse.select(*groups, "_c1", *[_before(groups, "_c1", f"_g_{m}").alias(f"_b1_{m}") for m in measures])
+    start = fine.join(begins, [*groups, "_c1"]).select(
+        *cell, *[(F.col(f"_b1_{m}") + _before([*groups, "_c1"], "_c2", f"_f_{m}")).alias(f"_b2_{m}") for m in measures]
+    )
     return cells.join(start, cell).select(
         *own, *[(F.col(f"_b2_{m}") + _before(cell, value, m)).alias(f"before_{m}") for m in measures]
     )
@@ -121,7 +73,7 @@ def running_counts(
 
 def count_pairs(
     pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", overall: bool = True,
-    exclude: tuple[str, ...] = (), few_cells: int = FEW_CELLS,
+    exclude: tuple[str, ...] = (), bounded: bool = False,
 ) -> Compressed:
     """Compress pairs to ``(keys, x, y, n)``; with ``overall`` also for all dimensions pooled.
 
@@ -136,13 +88,13 @@ def count_pairs(
             label = F.when(F.col("dim").isin(list(exclude)), F.array("dim")).otherwise(label)
         others = [k for k in keys if k != "dim"]
         rows = rows.select(*others, F.explode(label).alias("dim"), "x", "y")
-    return compress(rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), few_cells)
+    return Compressed(rows.groupBy(*keys, "x", "y").agg(F.count("*").alias("n")), bounded)
 
 
 def average_ranks(cells: Compressed, keys: list[str], value: str) -> DataFrame:
     """``(keys, value, n, rank, dense)`` per distinct value: average rank of ties, and 0-based dense rank."""
     values = cells.df.groupBy(*keys, value).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("bigint"))
-    counted = running_counts(values, keys, value, ["n", "one"], cells)
+    counted = running_counts(values, keys, value, ["n", "one"], cells.bounded)
     return counted.select(
         *keys,
         value,
@@ -154,7 +106,7 @@ def average_ranks(cells: Compressed, keys: list[str], value: str) -> DataFrame:
 
 def _ranked_cells(cells: Compressed, keys: list[str]) -> DataFrame:
     """Cells with the average ranks of both sides and the mean rank of the group."""
-    if cells.few:
+    if cells.bounded:
         group = Window.partitionBy(*keys)
 
         def rank(v: str) -> Column:
@@ -180,20 +132,20 @@ def spearman(cells: Compressed, keys: list[str]) -> DataFrame:
 
 
 def class_counts(
-    scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", few_cells: int = FEW_CELLS
+    scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", bounded: bool = False
 ) -> Compressed:
     """``(keys, v, n1, n0)``: positives and negatives per score value."""
-    return compress(
+    return Compressed(
         scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(*keys, (F.col(score).cast("double") + 0.0).alias("v"))
         .agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")),
-        few_cells,
+        bounded,
     )
 
 
 def auc_of(values: Compressed, keys: list[str]) -> DataFrame:
     """ROC AUC per group by rank sums; NULL where only one class is present."""
-    ranked = running_counts(values.df, keys, "v", ["n0"], values)
+    ranked = running_counts(values.df, keys, "v", ["n0"], values.bounded)
     won = F.col("n1") * (F.col("before_n0") + F.col("n0") / 2)
     return ranked.groupBy(*keys).agg(
         F.sum("n1").alias("positives"),
@@ -202,6 +154,6 @@ def auc_of(values: Compressed, keys: list[str]) -> DataFrame:
     )
 
 
-def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", few_cells: int = FEW_CELLS) -> DataFrame:
+def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "label", bounded: bool = False) -> DataFrame:
     """ROC AUC per group of scored rows."""
-    return auc_of(class_counts(scored, keys, score, label, few_cells), keys)
+    return auc_of(class_counts(scored, keys, score, label, bounded), keys)

@@ -228,7 +228,7 @@ def fewshot_items(spark: SparkSession, sf: str) -> DataFrame:
     """Unlabelled documents are the items to judge."""
     labels = table(spark, sf, "labels").select("doc_id").distinct()
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents"))
         .join(labels, "doc_id", "left_anti")
         .select(
             F.col("doc_id").alias("item_id"), F.col("text").alias("char_profile"),

@@ -81,7 +81,8 @@ _RANKED = """select dim, rank() over (partition by dim order by pred) + (count(*
     sql(f"select dim, count(*) as n, {q6('corr(rp, rg)')} as spearman from ranked group by dim", "pairs", pooled=_POOLED, ranked=_RANKED),
 )
 def align_spearman(spark, sf):
-    cells = ranks.count_pairs(trial_pairs(spark, sf), ["dim"])
+    """Means of three trials on a rating scale: a bounded number of values."""
+    cells = ranks.count_pairs(trial_pairs(spark, sf), ["dim"], bounded=True)
     return rounded(ranks.spearman(cells, ["dim"]), "spearman")
 
 
@@ -104,8 +105,8 @@ def _tau_sql(source_views: tuple[str, ...], pooled: str) -> str:
 
 @query("align_kendall", _tau_sql(("pairs",), _POOLED))
 def align_kendall(spark, sf):
-    """Discrete scores: few distinct values."""
-    cells = ranks.count_pairs(trial_pairs(spark, sf), ["dim"])
+    """Means of three trials on a rating scale: a bounded number of values."""
+    cells = ranks.count_pairs(trial_pairs(spark, sf), ["dim"], bounded=True)
     return rounded(kendall(cells, ["dim"]).select("dim", "n", "kendall"), "kendall")
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_types
 
 from judgealign.functions import text as T
-from judgealign.operators import align, corpus, rewards
+from judgealign.operators import align, corpus, moments, rewards
 from judgealign.operators.judge import run_judge
+from judgealign.operators.prompts import archetype_prompt
 from judgealign.plans import fixtures as X
 from judgealign.plans import texts
 from judgealign.plans.fixtures import sql
@@ -77,9 +79,10 @@ def _list(options: list[str]) -> str:
 
 
 def _single_sql(dims, rubric, extra="", caption=None, arche=False) -> str:
+    user = "char_profile" if arche else _USER
     dim = f"({_list(dims)})[{num(lit('dim'), 'item_id')} % {len(dims)} + 1]"
     ratings = _case("dim", {d: d for d in dims})
-    body = f"concat({_case('dim', {d: lit(rubric.text(d, True)) for d in dims})}, chr(10), chr(10), {_USER}{', ' + lit(chr(10) * 2 + extra) if extra else ''})"
+    body = f"concat({_case('dim', {d: lit(rubric.text(d, True)) for d in dims})}, chr(10), chr(10), {user}{', ' + lit(chr(10) * 2 + extra) if extra else ''})"
     rating = _pick_arche("ratings", "dim") if arche else _pick_one("ratings", "dim")
     solution = f"concat('<answer>', {rating}, '</answer>')"
     if caption:
@@ -116,7 +119,7 @@ def corpus_role_emotion(spark, sf):
 @query("corpus_archetype", _single_sql(_ARCHE, texts.ARCHETYPE, arche=True))
 def corpus_archetype(spark, sf):
     rows = corpus.single_dimension(
-        X.items(spark, sf), _fields(_ARCHE), texts.ARCHETYPE, SEED, user_column(), F.col("wav_path"), policy="pick_one_arche"
+        X.items(spark, sf), _fields(_ARCHE), texts.ARCHETYPE, SEED, archetype_prompt(F.col("char_profile"), heading=False), F.col("wav_path"), policy="pick_one_arche"
     )
     return _rows(rows, "dim")
 
@@ -229,36 +232,78 @@ def corpus_multiple_choice(spark, sf):
     return _rows(corpus.multiple_choice(X.choices(spark, sf)))
 
 
-_KIND = "case item_id % 4 when 0 then 'Arche' when 1 then 'RoleAllFixOrder' when 2 then null else 'ROLE' end"
+_KINDS = [
+    "AVQA", "ROLE", "RoleAllFixOrder", "RoleAllFixOrderConsistent", "RoleAllFlexOrder", "RoleAllFlexOrderConsistent",
+    "RoleCaption", "RoleEmotion", "RoleReasoning", "RoleVariation", "RoleVariationCaption", "Arche", None, "Other",
+]
+_KIND = "case item_id % 14 " + " ".join(f"when {i} then {lit(k) if k else 'null'}" for i, k in enumerate(_KINDS)) + " end"
 
 
-def _kind_sql(sub: str, name: str, test: str) -> str:
-    return f"select item_id, '{name}' as dataset_name, solution from ({sub}) where {test}"
+def _kind_sql(name: str, sub: str, dim: str = "null::varchar", variation: str = "null::varchar") -> str:
+    numbers = ", ".join(str(i) for i, k in enumerate(_KINDS) if (k or "ROLE") == name)
+    return (
+        f"select item_id, '{name}' as dataset_name, {dim} as dim, {variation} as variation, text_md5, solution"
+        f" from ({sub}) where item_id % 14 in ({numbers})"
+    )
+
+
+_CHOICE_SQL = """select doc_id as item_id, md5(concat('Which audio shows ', doc_id, '? Please choose the answer from the following options: [''',
+    lang, ''', ''', source, ''']. Output the final answer in <answer> </answer>.')) as text_md5,
+    concat('<answer>', case when doc_id % 2 = 0 then lang else source end, '</answer>') as solution from documents"""
 
 
 @query(
     "corpus_dispatch",
     " union all ".join([
-        _kind_sql(_single_sql(_DIMS, texts.REALISM), "ROLE", "item_id % 4 in (2, 3)"),
-        _kind_sql(_all_sql(False, False), "RoleAllFixOrder", "item_id % 4 = 1"),
-        _kind_sql(_single_sql(_ARCHE, texts.ARCHETYPE, arche=True), "Arche", "item_id % 4 = 0"),
+        _kind_sql("AVQA", _CHOICE_SQL),
+        _kind_sql("ROLE", _single_sql(_DIMS, texts.REALISM), "dim"),
+        *[_kind_sql(f"RoleAll{'Flex' if flex else 'Fix'}Order{'Consistent' if same else ''}", _all_sql(flex, same)) for flex in (False, True) for same in (False, True)],
+        _kind_sql("RoleCaption", _single_sql(_DIMS, texts.REALISM, texts.CAPTION, "caption"), "dim"),
+        _kind_sql("RoleEmotion", _single_sql(_DIMS, texts.REALISM, texts.EMOTION, "caption"), "dim"),
+        _kind_sql("RoleReasoning", _variation_sql(), "dim", "variation"),
+        _kind_sql("RoleVariation", _variation_sql(), "dim", "variation"),
+        _kind_sql("RoleVariationCaption", _variation_sql(texts.CAPTION, "caption"), "dim", "variation"),
+        _kind_sql("Arche", _single_sql(_ARCHE, texts.ARCHETYPE, arche=True), "dim"),
+        "select doc_id, 'Other', null, null, null, null from documents where doc_id % 14 = 13",
     ]),
 )
 def corpus_dispatch(spark, sf):
-    """Mixed items, each to the builder of its kind; no kind means ROLE."""
-    items = X.items(spark, sf).withColumn("dataset_name", F.expr(_KIND))
-    audio = F.col("wav_path")
-    rows = corpus.dispatch(
-        items,
+    """Mixed items of all kinds, an unset kind (ROLE) and an unknown one (kept, without a prompt), in one scan."""
+    items = X.items(spark, sf).withColumns(
         {
-            "ROLE": lambda d: corpus.single_dimension(d, _fields(_DIMS), texts.REALISM, SEED, user_column(), audio),
-            "RoleAllFixOrder": lambda d: corpus.all_dimensions(d, _fields(_DIMS), _LABELS, texts.GENERAL_DETAILED, SEED, user_column(), audio),
-            "Arche": lambda d: corpus.single_dimension(
-                d, _fields(_ARCHE), texts.ARCHETYPE, SEED, user_column(), audio, policy="pick_one_arche"
-            ),
-        },
+            "dataset_name": F.expr(_KIND),
+            "audio_path": F.col("wav_path"),
+            "question_text": F.expr("concat('Which video shows ', item_id, '?')"),
+            "multi_choice": F.split("char_style", " "),
+            "answer": F.expr("cast(item_id % 2 as int)"),
+        }
     )
-    return rows.select("item_id", "dataset_name", "solution")
+    user, audio, cap = user_column(), F.col("wav_path"), F.col("caption")
+    fields = _fields(_DIMS)
+
+    def single(extra="", caption=None):
+        return corpus.single_dimension_row(fields, texts.REALISM, SEED, user, audio, extra, caption)
+
+    def every(flexible, consistent):
+        general = texts.GENERAL if flexible else texts.GENERAL_DETAILED
+        return corpus.all_dimensions_row(fields, _LABELS, general, SEED, user, audio, flexible, consistent)
+
+    kinds = {
+        "AVQA": corpus.multiple_choice_row(),
+        "ROLE": single(),
+        "RoleAllFixOrder": every(False, False),
+        "RoleAllFixOrderConsistent": every(False, True),
+        "RoleAllFlexOrder": every(True, False),
+        "RoleAllFlexOrderConsistent": every(True, True),
+        "RoleCaption": single(texts.CAPTION, cap),
+        "RoleEmotion": single(texts.EMOTION, cap),
+        "RoleReasoning": corpus.variation_row(fields, SEED, user, audio),
+        "RoleVariation": corpus.variation_row(fields, SEED, user, audio),
+        "RoleVariationCaption": corpus.variation_row(fields, SEED, user, audio, texts.CAPTION, cap),
+        "Arche": corpus.single_dimension_row(_fields(_ARCHE), texts.ARCHETYPE, SEED, archetype_prompt(F.col("char_profile"), heading=False), audio, policy="pick_one_arche"),
+    }
+    rows = corpus.dispatch(corpus.join_variations(items, variations(spark, sf), SEED), kinds)
+    return rows.select("item_id", "dataset_name", "dim", "variation", F.md5(corpus.message_text(F.col("prompt"))).alias("text_md5"), "solution")
 
 
 @query(
@@ -394,8 +439,8 @@ def checkpoint_latest(spark, sf):
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
-    schema = X.table(spark, sf, name).schema
-    return incremental.stream_rows(spark, sf, schema, "parquet", glob=f"{name}.parquet")
+    """The table, a file or a folder of part files, as a stream."""
+    return incremental.stream_rows(spark, f"{sf}/{name}.parquet*", X.table(spark, sf, name).schema, "parquet")
 
 
 _RAW = """case event_id % 6 when 0 then concat('<think>ok</think><answer> ', 1 + event_id % 5, ' </answer>')
@@ -421,7 +466,15 @@ def stream_increment(spark, sf):
 
     for run in ("a", "b"):  # the second run has a new checkpoint, so it sees every file again
         incremental.run_increment(_stream(spark, sf, "events"), f"{base}/out", f"{base}/cp-{run}", evaluate).awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    schema = T_types.StructType().add("item_id", "long").add("score", "long")
+    return incremental.stored(spark, f"{base}/out", schema)
+
+
+def _stream_pairs(spark, sf) -> DataFrame:
+    return _stream(spark, sf, "events").select(
+        F.col("event_type").alias("dim"), F.expr("round(1 + (value - 4 * floor(value / 4)), 4)").alias("pred"),
+        F.expr("cast(1 + (event_id + user_id) % 5 as double)").alias("truth"),
+    )
 
 
 @query(
@@ -435,15 +488,26 @@ def stream_increment(spark, sf):
 def stream_moments(spark, sf):
     """Agreement kept up from the sums of each arriving batch."""
     base = shared_dir(spark, "moments")
-    pairs = _stream(spark, sf, "events").select(
-        F.col("event_type").alias("dim"), F.expr("round(1 + (value - 4 * floor(value / 4)), 4)").alias("pred"),
-        F.expr("cast(1 + (event_id + user_id) % 5 as double)").alias("truth"),
-    )
-    incremental.run_moments(pairs, f"{base}/out", f"{base}/cp", ["dim"]).awaitTermination()
+    incremental.run_moments(_stream_pairs(spark, sf), f"{base}/out", f"{base}/cp", ["dim"]).awaitTermination()
     out = incremental.running_metrics(spark, f"{base}/out", ["dim"])
     return rounded(out.select("dim", "n", "pearson", "mae"), "pearson", "mae")
 
 
+@query("stream_moments_table", ORACLES["stream_moments"])
+def stream_moments_table(spark, sf):
+    """The same moments as one streaming aggregate in complete mode."""
+    base = shared_dir(spark, "moments-table")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    table = incremental.moments_table(_stream_pairs(spark, sf), ["dim"])
+    writer = table.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{base}/cp")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    out = moments.metrics(moments.with_overall(spark.read.parquet(f"{base}/out"), ["dim"]))
+    return rounded(out.select("dim", "n", "pearson", "mae"), "pearson", "mae")
+
+
 def _open_stub():
     """A deterministic judge: a score from the prompt length; some prompts fail."""
     def judge(prompts, paths):

@@ -37,7 +37,7 @@ def lit(text: str) -> str:
 
 def num(*parts: str, seed: int = SEED) -> str:
     """The pick number of :mod:`judgealign.functions.picks` in SQL; parts are SQL expressions."""
-    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 15) as bigint)"
 
 
 # ---- extraction ---------------------------------------------------------------------------------------------
@@ -430,10 +430,8 @@ def fewshot_similar(spark, sf):
 
 @query("fewshot_similar_sharded", sql("select * from sel", "fewshot_items", "fewshot_pool", **_SIMILAR))
 def fewshot_similar_sharded(spark, sf):
-    """The same through the way of large pools: the size limit is a third of the pool."""
-    pool = X.fewshot_pool(spark, sf)
-    limit = max(1, (fewshot._chars(pool, ["char_profile", "char_style"]) + 2) // 3)
-    return fewshot.similar(X.fewshot_items(spark, sf), pool, ["char_profile", "char_style"], K, pool_limit=limit)
+    """The same with many small shards and two slices of the items."""
+    return fewshot.similar(X.fewshot_items(spark, sf), X.fewshot_pool(spark, sf), ["char_profile", "char_style"], K, shards=7, slices=2)
 
 
 _RND = ", ".join(f"{num(lit('fewshot'), 'item_id', str(j))} % (m - {j}) as d{j}" for j in range(3))
@@ -486,17 +484,18 @@ def fewshot_gold(spark, sf):
     return fewshot.gold_scores(X.items(spark, sf), {d: F.col(d) for d in _GOLD_DIMS})
 
 
-_EX = f"concat('## **Few-shot Example ', rank, '**', chr(10), chr(10), '**Example Input:** ', e.char_profile, chr(10), chr(10), 'Please listen to this audio and provide your evaluation:')"
-_CUR = "concat('## **Current Evaluation**', chr(10), chr(10), '**Current Input:** ', char_profile, chr(10), chr(10), 'Now please evaluate this audio and provide your response in the same JSON format as the examples above:')"
+_W = {k: lit(v).replace("\n", "' || chr(10) || '") for k, v in fewshot.WORDING.items()}
+_EX = f"concat({_W['example']}, rank, {_W['listen']}, e.char_profile)"
+_CUR = f"concat({_W['current']}, char_profile)"
 
 
 @query(
     "fewshot_conversations",
     sql(
         f"""select item_id, 0 as turn, 'system' as role, 'You judge speech.' as text, null::varchar as audio from fewshot_items
-            union all select item_id, 1, 'user', concat({lit(texts.GENERAL)}, chr(10), chr(10), 'I will provide you with 3 few-shot examples, followed by the current evaluation task.'), null from fewshot_items
+            union all select item_id, 1, 'user', concat({lit(texts.GENERAL)}, {_W['intro']}, 3), null from fewshot_items
             union all select s.item_id, 2 * s.rank, 'user', {_EX}, concat('audio/', s.example_id, '.wav') from sel s join fewshot_pool e on e.example_id = s.example_id
-            union all select s.item_id, 2 * s.rank + 1, 'assistant', concat('**Example Output:** {{"quality":', l.quality, ',"toxic":', l.toxic, '}}'), null from sel s join labels l on l.doc_id = s.example_id
+            union all select s.item_id, 2 * s.rank + 1, 'assistant', concat({_W['gold']}, '{{"quality":', l.quality, ',"toxic":', l.toxic, '}}'), null from sel s join labels l on l.doc_id = s.example_id
             union all select item_id, 8, 'user', {_CUR}, concat('audio/', item_id, '.wav') from fewshot_items""",
         "fewshot_items", "fewshot_pool", **_SIMILAR,
     ),

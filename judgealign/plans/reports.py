@@ -155,11 +155,11 @@ def better(model: Column, prob: Column, larger: bool = True) -> Column:
     return F.when(F.coalesce(wins & ~F.isnan(model) & ~F.isnan(prob), F.lit(False)), "Model").otherwise("Probability")
 
 
-def compare_predictors(report: DataFrame, larger: list[str], smaller: list[str], absolute: tuple[str, ...] = ("pearson", "spearman")) -> DataFrame:
-    """Both predictors side by side per dimension with winner flags."""
+def compare_predictors(report: DataFrame, larger: list[str], smaller: list[str], absolute: tuple[str, ...] = ("pearson", "spearman"), plain: list[str] | None = None) -> DataFrame:
+    """Both predictors side by side per dimension with winner flags; ``plain`` columns get no flag."""
     names = [*larger, *smaller]
     aggs = []
-    for m in names:
+    for m in [*names, *(plain or [])]:
         for tag, predictor in (("model", "Model"), ("prob", "Probability")):
             aggs.append(F.max(F.when(F.col("predictor") == predictor, F.col(m))).alias(f"{tag}_{m}"))
     wide = report.groupBy("dim").agg(F.max("n").alias("count"), *aggs)
@@ -251,6 +251,39 @@ def counts_by_dim(df: DataFrame, file_col: str | None = None) -> DataFrame:
     return df.groupBy("dim").agg(*aggs).orderBy(F.desc("records"), "dim")
 
 
+def usable_score() -> Column:
+    """1 where a record was evaluated, else NULL: a score in one dimension, or a map of scores with any entry."""
+    single = (F.col("evaluation_type") == "specific_dimension") & (F.coalesce("specific_dimension", F.lit("")) != "")
+    return F.when(F.when(single, F.col("model_score").isNotNull()).otherwise(F.coalesce(F.size("dimension_scores") > 0, F.lit(False))), 1)
+
+
+def with_any_score(df: DataFrame) -> DataFrame:
+    """Records with a model score or a probability score."""
+    return df.where(F.coalesce(F.col("model_score").cast("double"), F.col("probability_score").cast("double")).isNotNull())
+
+
+def category_fields() -> dict[str, str]:
+    """Annotation field of each category of a free-text evaluation that has one."""
+    fields = {d: f for d, f, _ in REALISM_DIMS}
+    own = {f: f for f in fields.values()}
+    return {**own, **fields, "emotional_accuracy": "emotion_accuracy"}
+
+
+def category_pairs(ratings: DataFrame, truth: DataFrame) -> DataFrame:
+    """Correlation of each category ``(id, category, rating)`` with its own field ``(id, field, truth)`` over all records."""
+    entries = [F.lit(x) for c, f in category_fields().items() for x in (c, f)]
+    known = ratings.withColumn("field", F.create_map(*entries)[F.col("category")]).where(F.col("field").isNotNull())
+    pairs = known.join(truth, ["id", "field"]).withColumn("pair", F.concat("category", F.lit("_vs_"), "field"))
+    return moments.metrics(moments.moments(pairs, ["pair"], "rating", "truth")).select("pair", "n", "pearson")
+
+
+def heatmap_predictors(report: DataFrame) -> DataFrame:
+    """Pearson and Spearman of both predictors as ``(dim, metric, value)``, one row per cell of the four-column table."""
+    short = F.when(F.col("predictor") == "Model", "Model").otherwise("Prob")
+    cells = [F.struct(F.concat(short, F.lit(f"_{label}")).alias("metric"), F.col(m).alias("value")) for label, m in (("Pearson", "pearson"), ("Spearman", "spearman"))]
+    return report.where(F.col("dim") != OVERALL).select("dim", F.inline(F.array(*cells)))
+
+
 def success_rates(df: DataFrame, score: Column, keys: list[str]) -> DataFrame:
     """Usable and failed evaluations and the success rate."""
     ok = F.count_if(score.isNotNull())

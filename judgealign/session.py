@@ -34,21 +34,24 @@ def build_session(app: str = "judgealign", cpus: int | str = "*", shuffle_partit
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Only a session of one machine (``local[...]``) may go without that setting; it gets a temporary folder. On a cluster
+    its absence is an error, as executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"judgealign-{name}-")
     return f"{base.rstrip('/')}/judgealign-{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before expensive work per row.
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a file scan with fewer splits than cores before expensive work per row.
 
-    A large table has more splits than cores and stays as it is.
+    For scans only: the splits of other plans cannot be known without running them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
 def ship_with_tasks(module: str) -> None:

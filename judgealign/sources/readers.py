@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +49,13 @@ def read_items(spark: SparkSession, path: str | list[str], rubric: str = "realis
 
 
 def read_results(
-    spark: SparkSession, path: str | list[str], dims: list[str] | None = None, strict_keys: bool = False
+    spark: SparkSession, path: str | list[str], dims: list[str] | None = None, strict_keys: bool = False,
+    path_column: str | None = None,
 ) -> DataFrame:
-    """Judge results with ``item_id`` and ``source_file``; ``dims`` adds top-level score columns."""
+    """Judge results with ``item_id`` and ``source_file``; ``dims`` adds top-level score columns, ``path_column`` the path."""
     schema = schemas.judge_result_schema(dims) if dims else schemas.JUDGE_RESULT
-    df = _json_lines(spark, path, schema).select("j.*", "source_file")
+    place = [F.col("_file").alias(path_column)] if path_column else []
+    df = _json_lines(spark, path, schema).select("j.*", "source_file", *place)
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return good.withColumn("item_id", result_key(F.col("audio_path"), F.col("id"), strict_keys))
 
@@ -62,12 +66,30 @@ def corrupt_lines(spark: SparkSession, path: str | list[str], schema: T.StructTy
     return df.groupBy("source_file").agg(F.count(CORRUPT).alias("bad_lines"), F.count("*").alias("lines"))
 
 
+def _children(spark: SparkSession, directory: str) -> list[str]:
+    """Names in a folder, from the file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    return sorted(s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
+
+
 def read_trials(spark: SparkSession, directory: str, model: str, trials: int = 5, dims: list[str] | None = None,
                 strict_keys: bool = False) -> DataFrame:
-    """``<model>_trial<k>.jsonl`` files of a folder, k in 1..trials, with the trial number. At least one must exist."""
-    pattern = f"{directory.rstrip('/')}/{model}_trial[1-{trials}].jsonl"
-    df = read_results(spark, pattern, dims, strict_keys)
-    return df.withColumn("trial", F.regexp_extract("source_file", r"_trial(\d+)", 1).cast("int"))
+    """``<model>_trial<k>.jsonl`` files (or folders of part files) of a folder, k in 1..trials, with the trial number.
+
+    At least one must exist.
+    """
+    base = directory.rstrip("/")
+    name = re.compile(re.escape(model) + r"_trial(\d+)\.jsonl")
+    found = [n for n in _children(spark, base) if (m := name.fullmatch(n)) and 1 <= int(m[1]) <= trials]
+    if not found:
+        raise FileNotFoundError(f"no trial 1..{trials} of {model} in {directory}")
+    df = read_results(spark, [f"{base}/{_plain(n)}" for n in found], dims, strict_keys, path_column="_path")
+    return df.withColumn("trial", F.regexp_extract("_path", r"_trial(\d+)\.jsonl", 1).cast("int")).drop("_path")
+
+
+def _plain(name: str) -> str:
+    """A file name without the meaning of glob characters."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
 
 
 def missing_trials(results: DataFrame, trials: int = 5) -> list[int]:
@@ -79,14 +101,22 @@ def missing_trials(results: DataFrame, trials: int = 5) -> list[int]:
 # ---- folders of JSON arrays ------------------------------------------------------------------------------
 
 
-def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary") -> DataFrame:
+def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary", pattern: str = "*.json") -> DataFrame:
     """A folder of JSON array files, one per dimension, with ``source_file``.
 
-    Truncated files are cut, see :func:`salvage_arrays`. Every file is one task, as JSON arrays cannot be split;
-    write them once to parquet for repeated use.
+    An intact file is streamed record by record. Of a truncated one the reader returns the text, which is cut, see
+    :func:`salvage_arrays`. Every file is one task, as JSON arrays cannot be split; write them once to parquet for
+    repeated use.
     """
-    texts = spark.read.text(f"{directory.rstrip('/')}/*.json", wholetext=True).withColumn("source_file", _file_name())
-    return salvage_arrays(texts, "value", schemas.DIMENSION_RESULT, salvage)
+    names = [f.name for f in schemas.DIMENSION_RESULT.fields]
+    schema = T.StructType([*schemas.DIMENSION_RESULT.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
+    rows = reader.json(f"{directory.rstrip('/')}/{pattern}").withColumn("source_file", _file_name())
+    # a record with a value of the wrong type has its other fields; a file that ends early has none
+    empty = F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNull()
+    record = F.array(F.struct(*[F.col(f"`{n}`") for n in names]))
+    cut = F.when(F.col(CORRUPT).isNotNull() & empty, _salvaged(F.col(CORRUPT), schemas.DIMENSION_RESULT, salvage)).otherwise(record)
+    return rows.select("source_file", F.explode(cut).alias("_o")).select(*[F.col(f"_o.`{n}`") for n in names], "source_file")
 
 
 def salvage_arrays(texts: DataFrame, text: str, schema: T.StructType, rule: str = "boundary") -> DataFrame:
@@ -95,24 +125,22 @@ def salvage_arrays(texts: DataFrame, text: str, schema: T.StructType, rule: str
     ``rule="last_comma"`` cuts at the last comma, closes the array and parses; a cut inside an object leaves
     nothing. ``rule="boundary"`` falls back to the last comma that follows a closing brace.
     """
-    value = F.col(text)
-    array = T.ArrayType(schema)
-    fail = {"mode": "PERMISSIVE"}
+    others = [c for c in texts.columns if c != text]
+    names = [f.name for f in schema.fields]
+    parsed = _salvaged(F.col(text), schema, rule)
+    return texts.select(*others, F.explode(parsed).alias("_o")).select(*[F.col(f"_o.`{n}`") for n in names], *others)
 
-    def attempt(cut: Column) -> Column:
-        closed = F.concat(cut, F.lit("]"))
-        # validity is tested on the whole text, as a typed parse would accept a broken tail
-        return F.when(strict_json(closed).isNotNull(), F.from_json(closed, array, fail))
 
-    plain = F.when(strict_json(value).isNotNull(), F.from_json(value, array, fail))
-    parsed = F.coalesce(plain, attempt(F.regexp_extract(value, r"(?s)^(.*),", 1)))
+def _salvaged(value: Column, schema: T.StructType, rule: str) -> Column:
+    """The objects of an array text: the first cut that is valid JSON is parsed once with the schema."""
+    cuts = [value, F.concat(F.regexp_extract(value, r"(?s)^(.*),", 1), F.lit("]"))]
     if rule == "boundary":
-        parsed = F.coalesce(parsed, attempt(F.regexp_extract(value, r"(?s)^(.*\})\s*,", 1)))
+        cuts.append(F.concat(F.regexp_extract(value, r"(?s)^(.*\})\s*,", 1), F.lit("]")))
     elif rule != "last_comma":
         raise ValueError(f"unknown rule {rule!r}")
-    others = [c for c in texts.columns if c != text]
-    names = [f.name for f in schema.fields]
-    return texts.select(*others, F.explode(parsed).alias("_o")).select(*[F.col(f"_o.`{n}`") for n in names], *others)
+    # validity is tested on the whole text, as a typed parse would accept a broken tail
+    valid = F.coalesce(*[F.when(strict_json(c).isNotNull(), c) for c in cuts])
+    return F.from_json(valid, T.ArrayType(schema), {"mode": "PERMISSIVE"})
 
 
 # ---- logs and checkpoints -----------------------------------------------------------------------------------
@@ -143,7 +171,7 @@ def leaderboard(accuracies: DataFrame, key: str = "iter") -> DataFrame:
 def read_accuracy_logs(spark: SparkSession, directory: str) -> DataFrame:
     """``test_<iter>/eval_mmau_mini.txt`` logs as one row per iteration."""
     lines = spark.read.text(f"{directory.rstrip('/')}/test_*/eval_mmau_mini.txt")
-    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"/test_([^/]*)/eval_mmau_mini\.txt", 1)
     return parse_accuracy_lines(lines.select(F.element_at(F.split(run, "_"), -1).alias("iter"), "value"))
 
 
@@ -155,7 +183,7 @@ def read_checkpoints(
     df = checkpoint_summary(
         df.withColumns(
             {
-                "file": F.col("_metadata.file_name"),
+                "file": F.regexp_extract(F.col("_metadata.file_path"), r"/(checkpoint_[^/]*\.json)", 1),
                 "size": F.col("_metadata.file_size"),
                 "modified": F.col("_metadata.file_modification_time"),
             }
@@ -184,7 +212,11 @@ def checkpoint_summary(df: DataFrame) -> DataFrame:
 
 def older_than(df: DataFrame, days: int, column: str = "modified") -> DataFrame:
     """Rows older than a number of days."""
-    return df.where(F.col(column) < F.current_timestamp() - F.make_interval(days=F.lit(days)))
+    return df.where(is_older(column, days))
+
+
+def is_older(column: str, days: int) -> Column:
+    return F.col(column) < F.current_timestamp() - F.make_interval(days=F.lit(days))
 
 
 def latest_per(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 _MODES = {"error": "errorifexists", "skip": "ignore", "force": "overwrite", "append": "append"}
@@ -48,7 +48,13 @@ def write_report(report: DataFrame, path: str, if_exists: str = "force") -> None
 
 
 def write_variations(variations: DataFrame, path: str, if_exists: str = "force") -> DataFrame:
-    """Prompt variations as JSON lines; returns their metadata row (count and date)."""
-    variations.write.mode(_MODES[if_exists]).json(path)
-    written = variations.sparkSession.read.json(path)
-    return written.agg(F.count("*").alias("total_variations"), F.current_date().alias("generation_date"))
+    """Prompt variations as JSON lines; returns their metadata row (count and date), counted while writing.
+
+    Where nothing is written (``skip`` of an existing folder), the given rows are counted.
+    """
+    seen = Observation()
+    variations.observe(seen, F.count(F.lit(1)).alias("total")).write.mode(_MODES[if_exists]).json(path)
+    if if_exists == "skip":
+        return variations.agg(F.count("*").alias("total_variations"), F.current_date().alias("generation_date"))
+    one = variations.sparkSession.range(1)
+    return one.select(F.lit(seen.get["total"]).cast("bigint").alias("total_variations"), F.current_date().alias("generation_date"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,20 +17,40 @@ from judgealign.operators.align import pending
 from judgealign.operators.moments import merge_moments, metrics, moments, with_overall
 
 
+#: Hash parts of an output and the column that holds them: a batch reads only the parts it touches.
+PARTS, PART = 64, "_key_part"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_new(batch: DataFrame, path: str, key: str | list[str] = "item_id") -> None:
-    """Append the rows whose key is not stored yet."""
+def append_new(batch: DataFrame, path: str, key: str | list[str] = "item_id", order: list[str] | None = None) -> None:
+    """Append the rows whose key is not stored yet.
+
+    Of several rows with one key the least by ``order`` (default: by the whole row as text) is stored, so a replay
+    stores the same one. The output is partitioned by a hash of the key, and only the parts that the batch touches are
+    read for the keys stored before.
+    """
     keys = [key] if isinstance(key, str) else key
-    fresh = batch.dropDuplicates(keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    rank = F.struct(*([F.col(c) for c in order] if order else []), F.to_json(row))
+    fresh = batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, rank).alias("_r")).select("_r.*")
+    fresh = fresh.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
     if _exists(batch.sparkSession, path):
-        done = batch.sparkSession.read.parquet(path).select(*keys).distinct()
-        fresh = fresh.join(done, keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+        touched = [r[0] for r in fresh.select(PART).distinct().collect()]  # at most PARTS numbers
+        done = batch.sparkSession.read.parquet(path).where(F.col(PART).isin(touched)).select(*keys, PART).distinct()
+        fresh = fresh.join(done, [*keys, PART], "left_anti").select(*fresh.columns)
+    fresh.write.mode("append").partitionBy(PART).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of an incremental output; an empty frame where nothing has arrived yet."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path).drop(PART).select(*schema.names)
 
 
 def evaluate_pending(
@@ -110,6 +131,6 @@ def compact(spark: SparkSession, out: str, target: str, keys: list[str]) -> None
 
 
 __all__ = [
-    "append_new", "compact", "evaluate_pending", "moments_table", "run_increment", "run_moments",
+    "append_new", "stored", "compact", "evaluate_pending", "moments_table", "run_increment", "run_moments",
     "running_metrics", "stream_rows",
 ]

@@ -61,7 +61,7 @@ def main() -> int:
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     names = sys.argv[1:] or list(catalog.QUERIES)
-    spark = build_session("oracle", cpus=8)
+    spark = build_session("oracle", cpus=os.environ.get("CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     failed = []
     for name in names:

@@ -50,16 +50,14 @@ def _with_pool(groups):
     return out
 
 
-WAYS = [(10**9, 10**9), (0, 10**9), (0, 0)]  # plain windows, two levels, three levels
+WAYS = [True, False]  # plain windows, three levels over the bits
 
 
-@pytest.mark.parametrize("few, many", WAYS)
+@pytest.mark.parametrize("bounded", WAYS)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_spearman_and_kendall(spark, monkeypatch, few, many, seed):
-    monkeypatch.setattr(ranks, "MANY_CELLS", many)
+def test_spearman_and_kendall(spark, bounded, seed):
     groups = _data(seed)
-    cells = ranks.count_pairs(_frame(spark, groups), ["dim"], few_cells=few)
-    assert cells.few == bool(few)
+    cells = ranks.count_pairs(_frame(spark, groups), ["dim"], bounded=bounded)
     rho = {r.dim: r.spearman for r in ranks.spearman(cells, ["dim"]).collect()}
     tau = {r.dim: r.kendall for r in kendall(cells, ["dim"]).collect()}
     for d, (p, g) in _with_pool(groups).items():
@@ -114,11 +112,10 @@ def test_p_values(r, n, p):
     assert correlation_p(1.0, n) == 0.0 and math.isnan(correlation_p(0.5, 2))
 
 
-@pytest.mark.parametrize("few, many", WAYS)
-def test_quantiles_and_description(spark, monkeypatch, few, many):
-    monkeypatch.setattr(ranks, "MANY_CELLS", many)
+@pytest.mark.parametrize("bounded", WAYS)
+def test_quantiles_and_description(spark, bounded):
     groups = {d: (p, p) for d, (p, _) in _data(4).items()}
-    values = describe.count_values(_frame(spark, groups), ["dim"], "pred", overall_dim="dim", few_cells=few)
+    values = describe.count_values(_frame(spark, groups), ["dim"], "pred", overall_dim="dim", bounded=bounded)
     got = {r.dim: r for r in describe.describe(values, ["dim"]).collect()}
     for d, (p, _) in _with_pool(groups).items():
         p = np.asarray(p, float)
@@ -138,13 +135,12 @@ def test_histogram_matches_numpy(spark):
     assert [(r.bin, r["count"]) for r in rows if r.dim == "c"] == [(10, 2)]
 
 
-@pytest.mark.parametrize("few, many", WAYS)
-def test_auc(spark, monkeypatch, few, many):
-    monkeypatch.setattr(ranks, "MANY_CELLS", many)
+@pytest.mark.parametrize("bounded", WAYS)
+def test_auc(spark, bounded):
     rng = np.random.default_rng(6)
     s, y = rng.integers(0, 20, 200) / 20, rng.integers(0, 2, 200)
     df = spark.createDataFrame([("a", float(a), int(b)) for a, b in zip(s, y)] + [("b", 0.3, 1)], "dim string, score double, label int")
-    got = {r.dim: r.auc for r in ranks.auc(df, ["dim"], few_cells=few).collect()}
+    got = {r.dim: r.auc for r in ranks.auc(df, ["dim"], bounded=bounded).collect()}
     pos, neg = s[y == 1], s[y == 0]
     want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert got["a"] == pytest.approx(want) and got["b"] is None
@@ -207,10 +203,53 @@ def test_flatten_and_preview(spark):
     assert [tuple(r) for r in align.preview_rows(flat, ["id"], 1).collect()] == [("a", None, 2.0)]
 
 
-def test_kept_tables_are_released(spark):
+def _jobs(spark) -> int:
+    """Jobs of the session so far."""
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+
+def test_building_reports_starts_no_job(spark):
     df = _frame(spark, {"a": ([1, 2, 3], [1, 2, 2])})
-    cells = ranks.count_pairs(df, ["dim"])
-    assert cells.df.is_cached
-    ranks.release_kept()
-    assert not cells.df.is_cached
-    assert {r.dim for r in ranks.spearman(cells, ["dim"]).collect()} == {"a", "OVERALL"}
+    before = _jobs(spark)
+    reports.agreement_report(df, ["dim"], with_p=True)
+    describe.box_table(describe.count_values(df, ["dim"], "pred"), ["dim"])
+    ranks.auc(df.withColumn("label", F.lit(1)), ["dim"], "pred")
+    assert _jobs(spark) == before
+
+
+def test_order_bits_are_those_of_the_double(spark):
+    rng = np.random.default_rng(8)
+    values = np.r_[0.0, 1.0, 8.0, 2.0**29, 1e-320, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, np.inf, np.nextafter(2.0**-5, 0), np.nextafter(2.0**40, 0)]
+    values = np.r_[values, rng.normal(0, 1e5, 300), 10.0 ** rng.uniform(-300, 300, 300)]
+    values = np.r_[values, -values]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for r in frame.select("v", ranks.order_bits(F.col("v")).alias("b")).collect():
+        want = int(np.abs(np.float64(r.v)).view(np.int64))
+        assert r.b == (-want if r.v < 0 else want)
+
+
+def test_large_values_spread_over_many_windows(spark):
+    frame = spark.range(100_000).select((F.col("id") + 100_000.0).alias("a"), (1.7e9 + F.col("id")).alias("t"))
+    for c in ("a", "t"):
+        bits = ranks.order_bits(F.col(c))
+        rows = frame.select(F.shiftright(bits, 21).alias("k")).groupBy("k").count()
+        assert rows.agg(F.max("count")).first()[0] == 1
+
+
+def test_nonfinite_pairs_are_undefined_and_counted(spark):
+    for odd in (float("nan"), float("inf"), float("-inf")):
+        df = _frame(spark, {"a": ([1, 2, odd, 3], [1, 2, 3, 3]), "b": ([1, 2, 3], [3, 2, 2])})
+        got = {r.dim: r for r in moments.agreement(df, ["dim"], nonfinite=True).collect()}
+        assert got["a"].pearson is None and got["a"].mae is None and got["a"].r2 is None and got["a"].nonfinite == 1
+        assert got["OVERALL"].pearson is None and got["b"].pearson == pytest.approx(-0.8660254, abs=1e-6)
+
+
+def test_large_offsets_do_not_cancel(spark):
+    rng = np.random.default_rng(9)
+    p, g = rng.integers(1, 6, 500), rng.integers(1, 6, 500)
+    for offset in (1e8, 1e9):
+        got = {r.dim: r for r in moments.agreement(_frame(spark, {"a": (p + offset, g + offset), "b": (p[:40] + offset, g[:40] + offset)}), ["dim"]).collect()}
+        assert got["a"].pearson == pytest.approx(np.corrcoef(p, g)[0, 1], abs=1e-6)
+        assert got["a"].r2 == pytest.approx(1 - ((p - g) ** 2).sum() / ((g - g.mean()) ** 2).sum(), abs=1e-6)
+        both = np.corrcoef(np.r_[p, p[:40]], np.r_[g, g[:40]])[0, 1]
+        assert got["OVERALL"].pearson == pytest.approx(both, abs=1e-6)
