@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "one.doc_id", "one.tk"), "nodes")
     members = scratch.keep(members.join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select("bucket", "node", "n"), "placed")
     scratch.drop("members")
-    sets = whole.join(nodes, same_doc(whole, nodes)).select(nodes["node"], whole["body"])
+    sets = whole.join(nodes.hint("merge"), same_doc(whole, nodes)).select(nodes["node"], whole["body"])
     sets = scratch.keep(sets.mapInArrow(_sets(size), "node long, items array<long>"), "sets")
 
     # every member against the pivot of its bucket: the node that meets the most others
