@@ -41,8 +41,8 @@ from judgealign.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 LENGTH = 200
-#: Different contexts of one anchor that a bucket takes at most, and contexts in a block of buckets.
-HOT, BLOCK = 512, 1500
+#: Different contexts of one anchor that a bucket takes at most (about 1 MB of text), and contexts in a block of buckets.
+HOT, BLOCK = 4096, 800
 _DRAW = np.random.Generator(np.random.PCG64(41))
 _LETTER = _DRAW.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -170,8 +170,10 @@ def longest_factors(buffer: np.ndarray, starts: np.ndarray, length: int, later:
     rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buffer, length)[starts])
     order = np.argsort(rows.view(f"S{length}").reshape(-1), kind="stable")
     rows = rows[order]
-    differ = rows[1:] != rows[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), length)
+    common = np.empty(n - 1, np.int64)
+    for k in range(0, n - 1, 1 << 15):
+        differ = rows[k + 1 : k + 1 + (1 << 15)] != rows[k : min(k + (1 << 15), n - 1)]
+        common[k : k + (1 << 15)] = np.where(differ.any(1), differ.argmax(1), length)
     forward, backward = np.r_[0, common], np.r_[0, common[::-1]]
     best = np.maximum(nearest_smaller(order, forward), nearest_smaller(order[::-1], backward)[::-1])
     if later:
@@ -256,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", s
     wanted = F.struct("h", F.col("first.lo").alias("lo"), (F.col("first.hi") - F.col("first.lo")).alias("span"), odd.alias("odd"), (F.col("n_kinds") > HOT).alias("hot"))
     wanted = kinds.join(varied, "h").select(F.col("first.doc_id").alias("doc_id"), F.col("first.tk").alias("tk"), wanted.alias("w"))
     wanted = wanted.groupBy("doc_id", "tk").agg(F.collect_list("w").alias("wanted"))
-    texts = whole.join(wanted, same_doc(whole, wanted)).select(whole["doc_id"], whole["tk"], "wanted", "body")
+    texts = whole.join(wanted.hint("merge"), same_doc(whole, wanted)).select(whole["doc_id"], whole["tk"], "wanted", "body")
     texts = scratch.keep(texts.mapInArrow(_cut(length), _TEXTS), "texts")
     order = ["h", "doc_id", "tk", "lo"]
     buckets = texts.filter("not hot").repartition("h").sortWithinPartitions(*order)
@@ -313,7 +315,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     whole = keyed(docs)
-    return whole.join(spans, same_doc(whole, spans), "left").select(whole["doc_id"], "body", "spans")
+    return whole.join(spans.hint("merge"), same_doc(whole, spans), "left").select(whole["doc_id"], "body", "spans")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
