@@ -19,8 +19,16 @@ USER_FORMAT = "Global Profile: %s, Local Scene: %s, Available Traits: %s"
 ARCHETYPE_FORMAT = "Prompt’s role & scene: %s"
 QUESTION_FORMAT = "Please evaluate the audio based on the following criteria:\n\n%s\n\nOutput the answer in <answer> </answer>."
 CHOICE_FORMAT = "%s Please choose the answer from the following options: %s. Output the final answer in <answer> </answer>."
+# row layouts of generated prompt texts: (dimension heading, name separator, example line), numbered row, cell, simple row
+VARIATION_LAYOUT = ("Dimension: ", " — ", "Example output: ")
+NUMBERED_ROW = "### %s. %s  \n"
+CELL = "|%s|%s|\n"
+SIMPLE_ROW = "• %s  %s  \n"
 # -----------------------------------------------------------------------------------------------------------
 
+# a rubric is configuration: more rows than this are a mistake
+RUBRIC_ROWS = 10_000
+
 
 @dataclass(frozen=True)
 class Rubric:
@@ -41,8 +49,10 @@ class Rubric:
 
 
 def rubric_from_table(table: DataFrame, rubric: str) -> Rubric:
-    """Rubric texts from their table (a few dozen rows of configuration)."""
-    rows = table.where(F.col("rubric") == rubric).orderBy("ord").collect()
+    """Rubric texts from their table (a few dozen rows of configuration, at most ``RUBRIC_ROWS``)."""
+    rows = table.where(F.col("rubric") == rubric).orderBy("ord").limit(RUBRIC_ROWS + 1).collect()
+    if len(rows) > RUBRIC_ROWS:
+        raise ValueError(f"the rubric {rubric!r} has more than {RUBRIC_ROWS} rows")
     return Rubric(
         {r["dim"]: r["text"] for r in rows if r["version"] == "simple"},
         {r["dim"]: r["text"] for r in rows if r["version"] == "detailed"},
@@ -165,9 +175,9 @@ def dimension_variations(phrasings: DataFrame, headers: list[str], seed: int) ->
     example = picks.below(F.lit(5), seed, "example", ident) + 1
     text = F.concat(
         F.col("_header.t"),
-        F.lit("Dimension: "), F.col("name"), F.lit(" — "), F.col("description"), F.lit("\n\n"),
+        F.lit(VARIATION_LAYOUT[0]), F.col("name"), F.lit(VARIATION_LAYOUT[1]), F.col("description"), F.lit("\n\n"),
         *[c for i in (5, 4, 3, 2, 1) for c in (F.lit(f"{i}: "), F.col(f"scale_{i}"), F.lit("\n"))],
-        F.lit("Example output: <answer>"), example.cast("string"), F.lit("</answer>"),
+        F.lit(VARIATION_LAYOUT[2] + "<answer>"), example.cast("string"), F.lit("</answer>"),
     )
     return rows.select(ident.alias("id"), F.col("dim").alias("dimension_name"), text.alias("prompt_text"))
 
@@ -187,13 +197,10 @@ def rubric_combinations(
     ).select("dim", "ord", "i", picks.below(F.col("m"), seed, style, F.col("i"), F.col("dim")).alias("variant"))
     chosen = draws.join(phrasings.drop("ord"), ["dim", "variant"])
     if style == "detailed":
-        row = F.concat(
-            F.lit("### "), (F.col("ord") + 1).cast("string"), F.lit(". "), F.col("name"), F.lit("  \n"),
-            *[c for k in (5, 4, 3, 2, 1) for c in (F.lit(f"|{k}|"), F.col(f"scale_{k}"), F.lit("|\n"))],
-            F.lit("\n"),
-        )
+        cells = [F.format_string(CELL, F.lit(str(k)), F.col(f"scale_{k}")) for k in (5, 4, 3, 2, 1)]
+        row = F.concat(F.format_string(NUMBERED_ROW, (F.col("ord") + 1).cast("string"), F.col("name")), *cells, F.lit("\n"))
     else:
-        row = F.concat(F.lit("• "), F.col("name"), F.lit("  "), F.col("description"), F.lit("  \n"))
+        row = F.format_string(SIMPLE_ROW, F.col("name"), F.col("description"))
     # a list holds one phrasing per dimension
     texts = chosen.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("ord", row.alias("t")))).alias("rows"))
     pick = lambda options, what: picks.choose(F.array(*[F.lit(o) for o in options]), seed, style, what, F.col("i"))

@@ -463,8 +463,8 @@ def gate_classification(spark, sf):
         s=f"select * from ({_SCORED.format(label=_STRICT)}) where label is not null", rk=_RK),
 )
 def gate_auc(spark, sf):
-    """Strict votes, rescaled model score, with ROC AUC."""
-    return rounded(classify.classification(gate_scored(spark, sf, "null"), ["dim"]), *_CLASS_COLS, "auc")
+    """Strict votes, rescaled model score (five values), with ROC AUC."""
+    return rounded(classify.classification(gate_scored(spark, sf, "null"), ["dim"], bounded=True), *_CLASS_COLS, "auc")
 
 
 @query(

@@ -111,11 +111,10 @@ def align_kendall_large(spark, sf):
     return rounded(kendall(cells, ["dim"]).select("dim", "n", "kendall"), "kendall")
 
 
-@query("gate_auc_bounded", A.ORACLES["gate_auc"])
-def gate_auc_bounded(spark, sf):
-    """Five score values: the way of bounded groups."""
-    scored = A.gate_scored(spark, sf, "null")
-    return rounded(classify.classification(scored, ["dim"], bounded=True), *A._CLASS_COLS, "auc")
+@query("gate_auc_large", A.ORACLES["gate_auc"])
+def gate_auc_large(spark, sf):
+    """The way for any number of score values."""
+    return rounded(classify.classification(A.gate_scored(spark, sf, "null"), ["dim"]), *A._CLASS_COLS, "auc")
 
 
 _WIDE = "select event_type as series, cast(event_id * 1.0e6 + user_id as double) as v from events union all select 'times', cast(epoch(ts) as double) from events"
