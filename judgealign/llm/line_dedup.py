@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -142,16 +141,19 @@ def kept_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return joined.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def _cut(texts: pd.Series, keeps: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or k is None else b"\n".join(split_kept(t.encode(), k)[1]).decode() for t, k in zip(texts, keeps, strict=True)], dtype=object)
+def _cut(texts: pa.Array, keeps: pa.Array) -> pa.Array:
+    """Texts (as bytes) without the lines that their bitmaps drop; null without a bitmap."""
+    return pa.array([b"\n".join(split_kept(t.as_py(), k.as_py())[1]) if k.is_valid else None for t, k in zip(texts, keeps, strict=True)], pa.binary())
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The input rows with all their columns, their texts without the dropped lines (and ``n_chars`` counted anew)."""
-    cut = F.pandas_udf(_cut, "string")
+    cut = F.arrow_udf(_cut, "binary")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"))
     joined = whole.join(bitmaps, same_doc(whole, bitmaps), "left").select(whole["row"], bitmaps["keep"])
-    text = F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(cut(F.col("row.text"), F.col("keep")))
+    # only texts that change go to Python
+    body = F.when(F.col("keep").isNotNull(), F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
+    text = F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(cut(body, F.col("keep")).cast("string"))
     joined = joined.withColumn("new_text", text)
     columns = [
         F.col("new_text").alias(c) if c == "text" else F.when(F.col("keep").isNull(), F.col("row.n_chars")).otherwise(F.length("new_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`")

@@ -187,19 +187,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _judge(model: Model):
-    import pandas as pd
+    def run(body: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([body], names=["body"])
+        scores = [model.score(features(*body_of(part.column("body")))) for part in slices(batch, "body", 1 << 20)]
+        return pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        arrow = pa.RecordBatch.from_arrays([pa.array([(t or "").encode() for t in texts], pa.binary())], names=["body"])
-        for part in slices(arrow, "body", 1 << 20):
-            out.append(model.score(features(*body_of(part.column("body")))))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")
+    run.__annotations__ = {"body": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The input rows, all columns, whose text scores at least ``threshold``."""
-    return docs.filter(_judge(model)(F.col("text")) >= threshold)
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.filter(_judge(model)(body) >= threshold)
