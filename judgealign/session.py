@@ -6,7 +6,10 @@ size or a partition count.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -34,14 +37,16 @@ def build_session(app: str = "judgealign", cpus: int | str = "*", shuffle_partit
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only a session of one machine (``local[...]``) may go without that setting; it gets a temporary folder. On a cluster
-    its absence is an error, as executors would write to their own disks.
+    Only a session of one process (``local``, ``local[...]``) may go without that setting; it gets a temporary folder
+    that goes with the process. On a cluster its absence is an error, as executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix=f"judgealign-{name}-")
+        folder = tempfile.mkdtemp(prefix=f"judgealign-{name}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return folder
     return f"{base.rstrip('/')}/judgealign-{name}-{uuid.uuid4().hex}"
 
 
