@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as the lexicon.
 
-1. Words of all documents are counted (each task counts its own texts, Spark adds up the counts) and the
-   ``lexicon_size`` most frequent ones are encoded once, by merges.
+1. Words of all documents, as they stand between white space, are counted (each task counts its own texts, Spark adds
+   up the counts) and ``lexicon_size`` frequent ones are encoded once, by merges.
 2. They are compiled into a minimal acyclic automaton with shared suffixes. Every arc knows how many words come
    before it, so a walk adds up to the word's number, and the number points at the word's ids: a transducer from
    bytes to ids. The file is put into the shared folder, fetched once per executor and memory-mapped by its tasks.
@@ -13,7 +13,8 @@ dropped, words by the file's own pattern, bytes written as the visible character
 so that decoding joins the token strings with blanks. Special tokens inside a text are recognised as such.
 
 Defined results: null and empty texts have no tokens (and decode to the empty text); a word of any length is merged
-exactly; repeated rows and null ids give a row each; extra columns are ignored; an empty table gives an empty result.
+exactly; a character without an entry in Python's Unicode tables is a symbol; repeated rows and null ids give a row
+each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ import mmap
 import re
 import struct
 import unicodedata
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from judgealign.llm.blocks import table
 from judgealign.llm.store import Scratch
@@ -44,8 +49,12 @@ ship_with_tasks(__name__)
 LEXICON_SIZE = 32768
 #: Longer words are left to the merges; bounds the automaton.
 LEXICON_BYTES = 64
+#: Words of more characters are merged with a heap.
+LONG = 48
 #: Chunks that a task remembers before it starts over.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
+#: Single marks behind a word of letters: two words whatever the pattern says of longer marks.
+ENDINGS = frozenset(",.;:!?")
 #: Characters that Python's ``split`` takes for white space and the vocabulary's pattern does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -80,37 +89,94 @@ class Vocabulary:
         self.ids: dict[str, int] = plain["ids"]
         self.end: str = plain["end"]
         self.ranks: dict[tuple, int] = plain["ranks"]
+        #: What may follow a token with the rank of the pair, and the token of each rank.
+        self.after: dict[str, dict[str, int]] = {token: {} for token in self.ids}
+        self.joined: list[str] = []
+        for (left, right), rank in self.ranks.items():
+            self.after[left][right] = rank
+            self.joined.append(left + right)
         self.special: dict[str, int] = plain["special"]
         self.tokens: dict[int, str] = plain["tokens"]
         self.words = regex.compile(plain["pattern"])
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.space = regex.compile(r"[\p{White_Space}]+")
-        self.characters = byte_characters()
+        self.visible = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
     def pieces(self, segment: str) -> list[str]:
         """Words of a text without special tokens, each as visible characters."""
-        normal = "".join(c.lower() for c in unicodedata.normalize("NFC", segment))
-        return ["".join(self.characters[b] for b in w.encode("utf-8")) for w in self.words.findall(normal)]
+        if not segment.isascii():
+            segment = unicodedata.normalize("NFC", segment)
+        # lower case per character: the final sigma is the one letter whose lower case depends on its neighbours
+        normal = "".join(c.lower() for c in segment) if "\u03a3" in segment else segment.lower()
+        if normal.isalpha():
+            words = [normal]
+        elif normal[-1:] in ENDINGS and normal[:-1].isalpha():
+            words = [normal[:-1], normal[-1]]
+        else:
+            words = self._words(normal)
+        return [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self.visible) for w in words]
+
+    def _words(self, normal: str) -> list[str]:
+        """Matches of the file's pattern; characters that Python does not know are neither letters nor numbers."""
+        if normal.isascii():
+            return self.words.findall(normal)
+        shown = "".join("\u00a6" if unicodedata.category(c) == "Cn" else c for c in normal)
+        return [normal[m.start() : m.end()] for m in self.words.finditer(shown)]
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one word: the lowest rank first, the leftmost of equal ones first."""
         parts = [*piece[:-1], piece[-1] + self.end]
-        if len(parts) > 1:
-            after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-            heap = [(r, i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
-            heapq.heapify(heap)
-            while heap:
-                _, i, left, right = heapq.heappop(heap)
-                j = after[i]
-                if parts[i] != left or j >= len(parts) or parts[j] != right:
-                    continue
-                parts[i], parts[j], after[i] = left + right, "", after[j]
-                if after[i] < len(parts):
-                    before[after[i]] = i
-                for a, b in ((before[i], i), (i, after[i])):
-                    if a >= 0 and b < len(parts) and (r := self.ranks.get((parts[a], parts[b]))) is not None:
-                        heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return [self.ids[p] for p in parts if p]
+        return [self.ids[p] for p in (self._merge_long(parts) if len(parts) > LONG else self._merge_short(parts))]
+
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """Merge the best pair until none is left; the ranks of all neighbours stand in a list."""
+        after, none, joined = self.after, len(self.joined), self.joined
+        ranks = [after[a].get(b, none) for a, b in pairwise(parts)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i] = joined[best]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = after[parts[i - 1]].get(parts[i], none)
+            if i < len(ranks):
+                ranks[i] = after[parts[i]].get(parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same with a heap and links, for words of any length."""
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(pairwise(parts)) if (r := self.ranks.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= len(parts) or parts[j] != right:
+                continue
+            parts[i], parts[j], after[i] = left + right, "", after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(parts) and (r := self.ranks.get((parts[a], parts[b]))) is not None:
+                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
+        return [p for p in parts if p]
+
+    def encode_chunk(self, chunk: str, known: dict[str, bytes]) -> bytes:
+        """Ids (little-endian, 32 bits) of a text without white space, by merges; ``known`` keeps merged words."""
+        coded = []
+        for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
+            if part in self.special:
+                coded.append(pack([self.special[part]]))
+                continue
+            for piece in self.pieces(part):
+                found = known.get(piece)
+                if found is None:
+                    known[piece] = found = pack(self.merge(piece))
+                coded.append(found)
+        return coded[0] if len(coded) == 1 else b"".join(coded)
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -118,7 +184,8 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
     Words are added in order; when the next word leaves a path, the states of that path are final and are replaced
     by an equal state where one exists. Layout: counts, per state the first arc and whether a word ends there, per
-    arc its label, target and number of words before it, then per word where its ids begin, then the ids.
+    arc its target and number of words before it, then per word where its ids begin, the ids, the labels of the arcs,
+    and a bitmap of word hashes.
     """
     register: dict[tuple, int] = {}
     states: list[tuple] = []
@@ -159,17 +226,20 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
             ahead += below[target]
         first.append(len(labels))
     begins = np.cumsum([0, *(len(words[w]) for w in order)])
-    head = struct.pack("<4I", root, len(states), len(labels), len(order))
+    # a bit per hash of a word: most words that are not in the lexicon are told by one look
+    bits = np.zeros(1 << max(3, (32 * len(order)).bit_length()), np.uint8)
+    bits[[zlib.crc32(w) % len(bits) for w in order]] = 1
+    head = struct.pack("<5I", root, len(states), len(labels), len(order), len(bits))
     arrays = (first, [int(e) for e, _ in states], targets, skips, begins, [i for w in order for i in words[w]])
-    return head + b"".join(np.asarray(a, dtype="<u4").tobytes() for a in arrays) + bytes(labels)
+    return head + b"".join(np.asarray(a, dtype="<u4").tobytes() for a in arrays) + bytes(labels) + np.packbits(bits, bitorder="little").tobytes()
 
 
 class Lexicon:
     """Read access to a compiled lexicon, in a memory-mapped file or in bytes."""
 
     def __init__(self, data: mmap.mmap | bytes):
-        self.root, n, m, k = struct.unpack_from("<4I", data, 0)
-        view, at = memoryview(data), 16
+        self.root, n, m, k, self.n_bits = struct.unpack_from("<5I", data, 0)
+        view, at = memoryview(data), 20
 
         def part(count: int) -> memoryview:
             nonlocal at
@@ -177,16 +247,20 @@ class Lexicon:
             return view[at - 4 * count : at].cast("I")
 
         self.first, self.ends, self.target, self.skip, self.begin = part(n + 1), part(n), part(m), part(m), part(k + 1)
-        self.ids = part(self.begin[k])
-        self.data, self.labels = data, at
+        self.ids = at
+        part(self.begin[k])
+        self.data, self.labels, self.bits = data, at, at + m
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
         with open(path, "rb") as file:
             return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> list[int] | None:
-        """The ids of a word, None if it is not in the lexicon."""
+    def get(self, word: bytes) -> bytes | None:
+        """The ids of a word (little-endian, 32 bits), None if it is not in the lexicon."""
+        place = zlib.crc32(word) % self.n_bits
+        if not self.data[self.bits + (place >> 3)] >> (place & 7) & 1:
+            return None
         state, number, find, base = self.root, 0, self.data.find, self.labels
         for k in range(len(word)):
             arc = find(word[k : k + 1], base + self.first[state], base + self.first[state + 1])
@@ -194,7 +268,7 @@ class Lexicon:
                 return None
             number += self.skip[arc - base]
             state = self.target[arc - base]
-        return self.ids[self.begin[number] : self.begin[number + 1]].tolist() if self.ends[state] else None
+        return self.data[self.ids + 4 * self.begin[number] : self.ids + 4 * self.begin[number + 1]] if self.ends[state] else None
 
 
 class Encoder(dict):
@@ -203,23 +277,20 @@ class Encoder(dict):
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.merged: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        v, ids = self.vocabulary, []
-        for part in v.cut.split(chunk) if "<|" in chunk else (chunk,):
-            if part in v.special:
-                ids.append(v.special[part])
-                continue
-            for piece in v.pieces(part):
-                known = self.lexicon.get(piece.encode()) if self.lexicon else None
-                ids.extend(v.merge(piece) if known is None else known)
-        self[chunk] = coded = struct.pack(f"<{len(ids)}I", *ids)
+        coded = self.lexicon.get(chunk.encode()) if self.lexicon else None
+        if coded is None:
+            coded = self.vocabulary.encode_chunk(chunk, self.merged)
+        self[chunk] = coded
         return coded
 
     def encode(self, text: str) -> bytes:
         """All ids of a text."""
         if len(self) > REMEMBERED:
             self.clear()
+            self.merged.clear()
         chunks = self.vocabulary.space.split(text) if ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.__getitem__, chunks))
 
@@ -227,38 +298,35 @@ class Encoder(dict):
         return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-def _count(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocabulary.value)
-        schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-        chunks: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                for part in v.cut.split(chunk) if "<|" in chunk else (chunk,):
-                    if part not in v.special:
-                        for piece in v.pieces(part):
-                            if len(piece.encode()) <= LEXICON_BYTES:
-                                words[piece] += n
-            chunks.clear()
-            return table(schema, word=list(words), n=list(words.values()))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words between white space with their counts, as often as the table of a task is full."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    words: Counter = Counter()
+    for batch in batches:
+        for text in batch.column("text"):
+            words.update((text.as_py() or "").split())
+            if len(words) > REMEMBERED:
+                yield table(schema, word=list(words), n=list(words.values()))
+                words.clear()
+    yield table(schema, word=list(words), n=list(words.values()))
 
-        for batch in batches:
-            for text in batch.column("text"):
-                chunks.update((text.as_py() or "").split())
-                if len(chunks) > REMEMBERED:
-                    yield flush()
-        yield flush()
 
-    return run
+def frequent_words(docs: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` frequent words, counted over all texts: the top ones of each of many hash parts.
+
+    Every part gives its share, so what reaches the driver is bounded by ``size`` and no task sorts all words.
+    """
+    counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = max(1, size // 128)
+    short = counts.filter(F.octet_length("word") <= LEXICON_BYTES).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word"))
+    return short.withColumn("place", place).filter(F.col("place") <= -(-size // parts)).select("word")
 
 
-def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, shared, size: int = LEXICON_SIZE) -> bytes:
-    """Count the words of all texts and compile the most frequent ones (at most ``size``, a bounded collect)."""
-    counts = docs.select("text").mapInArrow(_count(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    return compile_lexicon({row["word"].encode(): vocabulary.merge(row["word"]) for row in top})
+def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_SIZE) -> bytes:
+    """Compile the frequent words of all texts."""
+    words = [row["word"] for row in frequent_words(docs, size).collect()]
+    return compile_lexicon({w.encode(): np.frombuffer(vocabulary.encode_chunk(w, {}), "<u4").tolist() for w in words if not ODD_SPACE.search(w)})
 
 
 _CODES = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -289,8 +357,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = L
     plain = read_vocabulary(tokenizer_path)
     vocabulary, shared = Vocabulary(plain), spark.sparkContext.broadcast(plain)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    data = build_lexicon(texts, vocabulary, shared, lexicon_size)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    data = build_lexicon(texts, vocabulary, lexicon_size)
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     spark.sparkContext.addFile(scratch.put(name, data))
     coded = texts.mapInArrow(_encode(shared, name), "doc_id long, ids array<int>, ids_sha256 string, decoded_sha256 string")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")
