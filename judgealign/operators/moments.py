@@ -18,10 +18,13 @@ ADDED = ("n", "sae", "sse", "sape", "zero_truth", "nonfinite")
 MOMENTS = (*ADDED, "mp", "mg", "vp", "vg", "cpg", "min_p", "max_p", "min_g", "max_g")
 
 
-def moments(pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", weight: str | None = None) -> DataFrame:
+def moments(
+    pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", weight: str | None = None, centred: bool = False
+) -> DataFrame:
     """Moments of a table of pairs per group: means ``mp, mg``, sums of squared deviations ``vp, vg, cpg``, errors.
 
-    ``weight`` is a multiplicity column (default 1). Only finite pairs enter the moments and extremes.
+    ``weight`` is a multiplicity column (default 1); ``centred`` says that weighted values lie around zero in every
+    group, which saves finding a centre. Only finite pairs enter the moments and extremes.
     """
     p, g = F.col(pred).cast("double"), F.col(truth).cast("double")
     inf = float("inf")
@@ -49,15 +52,16 @@ def moments(pairs: DataFrame, keys: list[str], pred: str = "pred", truth: str =
             (F.var_pop(x) * used).alias("vp"), (F.var_pop(y) * used).alias("vg"), (F.covar_pop(x, y) * used).alias("cpg"),
         ]
         return pairs.groupBy(*keys).agg(*shared, *central).select(*keys, *MOMENTS)
-    # equal pairs share a row: deviations are taken from a pair of the group, then from the mean
-    return _weighted(pairs, keys, x, y, w, shared)
+    # equal pairs share a row: deviations are taken from values of the group (or zero), then from the mean
+    return _weighted(pairs, keys, x, y, w, shared, centred)
 
 
-def _weighted(pairs: DataFrame, keys: list[str], x: Column, y: Column, w: Column, shared: list[Column]) -> DataFrame:
+def _weighted(pairs: DataFrame, keys: list[str], x: Column, y: Column, w: Column, shared: list[Column], centred: bool) -> DataFrame:
     """Central moments with multiplicities: sums about the group's least values, which lie inside the data."""
-    own = [c for c in pairs.columns if c not in ("_x0", "_y0")]
-    base = pairs.groupBy(*keys).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"))
-    near = pairs.select(*[F.col(f"`{c}`") for c in own]).join(base, keys)
+    if centred:
+        near = pairs.withColumns({"_x0": F.lit(0.0), "_y0": F.lit(0.0)})
+    else:
+        near = pairs.join(pairs.groupBy(*keys).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0")), keys)
     dx, dy = x - F.col("_x0"), y - F.col("_y0")
     used = F.when(x.isNotNull(), w)
     sums = near.groupBy(*keys, "_x0", "_y0").agg(

@@ -128,7 +128,7 @@ def spearman(cells: Compressed, keys: list[str]) -> DataFrame:
     centred = _ranked_cells(cells, keys).select(
         *keys, (F.col("rx") - F.col("mid")).alias("pred"), (F.col("ry") - F.col("mid")).alias("truth"), "n"
     )
-    return metrics(moments(centred, keys, weight="n")).select(*keys, "n", F.col("pearson").alias("spearman"))
+    return metrics(moments(centred, keys, weight="n", centred=True)).select(*keys, "n", F.col("pearson").alias("spearman"))
 
 
 def class_counts(

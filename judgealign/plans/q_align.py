@@ -116,9 +116,9 @@ _PROB_POOLED = """select dim, probability_score as pred, truth from dimres_truth
 
 @query("align_kendall_continuous", _tau_sql(("dimres_truth",), _PROB_POOLED))
 def align_kendall_continuous(spark, sf):
-    """Continuous scores: about as many distinct values as rows."""
+    """Scores of four decimals on a scale of 1 to 5: at most 40,000 values per group, however large the table."""
     pairs = X.dimres_truth(spark, sf).withColumnRenamed("probability_score", "pred")
-    cells = ranks.count_pairs(pairs, ["dim"])
+    cells = ranks.count_pairs(pairs, ["dim"], bounded=True)
     return rounded(kendall(cells, ["dim"]).select("dim", "n", "kendall"), "kendall")
 
 
@@ -301,8 +301,8 @@ def _better(m: str, op: str, fn: str = "") -> str:
     ),
 )
 def folder_report(spark, sf):
-    """Both predictors against the truth, per dimension and pooled, with winner flags."""
-    report = reports.agreement_report(folder_pairs(spark, sf), ["predictor", "dim"])
+    """Both predictors (of at most four decimals) against the truth, per dimension and pooled, with winner flags."""
+    report = reports.agreement_report(folder_pairs(spark, sf), ["predictor", "dim"], bounded=True)
     wide = reports.compare_predictors(report, ["pearson", "spearman"], ["mae", "rmse"])
     return rounded(wide, *[f"{t}_{m}" for m in ("pearson", "spearman", "mae", "rmse") for t in ("model", "prob")])
 
@@ -316,7 +316,7 @@ def folder_report(spark, sf):
 )
 def metric_summary(spark, sf):
     pairs = folder_pairs(spark, sf).where(F.col("predictor") == "Model").drop("predictor")
-    report = reports.agreement_report(pairs, ["dim"])
+    report = reports.agreement_report(pairs, ["dim"], bounded=True)
     return rounded(reports.summarise_metrics(report, ["pearson", "spearman", "mae", "rmse"]), "mean", "std")
 
 
@@ -329,7 +329,7 @@ def metric_summary(spark, sf):
 )
 def heatmap_table(spark, sf):
     pairs = folder_pairs(spark, sf).where(F.col("predictor") == "Model").drop("predictor")
-    return rounded(reports.heatmap(reports.agreement_report(pairs, ["dim"]), ["pearson", "spearman"]), "value")
+    return rounded(reports.heatmap(reports.agreement_report(pairs, ["dim"], bounded=True), ["pearson", "spearman"]), "value")
 
 
 @query(

@@ -111,6 +111,13 @@ def align_kendall_large(spark, sf):
     return rounded(kendall(cells, ["dim"]).select("dim", "n", "kendall"), "kendall")
 
 
+@query("align_kendall_continuous_large", A.ORACLES["align_kendall_continuous"])
+def align_kendall_continuous_large(spark, sf):
+    """The way for any number of distinct values, with about as many of them as rows."""
+    pairs = X.dimres_truth(spark, sf).withColumnRenamed("probability_score", "pred")
+    return rounded(kendall(ranks.count_pairs(pairs, ["dim"]), ["dim"]).select("dim", "n", "kendall"), "kendall")
+
+
 @query("gate_auc_large", A.ORACLES["gate_auc"])
 def gate_auc_large(spark, sf):
     """The way for any number of score values."""

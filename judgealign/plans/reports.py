@@ -16,18 +16,18 @@ from judgealign.schemas import CONFIDENCE_FIELD, GATE_DIM, OVERALL, REALISM_DIMS
 
 def agreement_report(
     pairs: DataFrame, keys: list[str], exclude: tuple[str, ...] = (), with_p: bool = False, min_n: int = 1,
-    finite_only: bool = True,
+    finite_only: bool = True, bounded: bool = False,
 ) -> DataFrame:
     """Pearson, Spearman, Kendall, errors and R² per group and pooled over dimensions.
 
     ``exclude`` keeps gate dimensions out of OVERALL. ``min_n`` drops smaller dimension groups (not OVERALL).
+    ``bounded`` says that scores and truths have a bounded number of values (see :mod:`judgealign.operators.ranks`).
     """
     if finite_only:
         pairs = pairs.where(finite(F.col("pred").cast("double")) & finite(F.col("truth").cast("double")))
-    cells = ranks.count_pairs(pairs, keys, exclude=exclude)
-    basic = moments.metrics(
-        moments.moments(cells.df.withColumnsRenamed({"x": "pred", "y": "truth"}), keys, weight="n")
-    )
+    cells = ranks.count_pairs(pairs, keys, exclude=exclude, bounded=bounded)
+    complete = pairs.where(F.col("pred").isNotNull() & F.col("truth").isNotNull())
+    basic = moments.agreement(complete, keys, exclude)
     rho = ranks.spearman(cells, keys).drop("n")
     tau = kendall(cells, keys).select(*keys, "kendall")
     out = basic.join(rho, keys, "left").join(tau, keys, "left")
