@@ -329,10 +329,10 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_S
     return compile_lexicon({w.encode(): np.frombuffer(vocabulary.encode_chunk(w, {}), "<u4").tolist() for w in words if not ODD_SPACE.search(w)})
 
 
-_CODES = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _encode(vocabulary, file: str):
+def _encode(vocabulary, file: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(Vocabulary(vocabulary.value), Lexicon.open(SparkFiles.get(file)))
         for batch in batches:
@@ -343,15 +343,24 @@ def _encode(vocabulary, file: str):
                     code = coder.encode(text.as_py() or "")
                     codes.append(code)
                     decoded.append(hashlib.sha256(coder.decode(np.frombuffer(code, "<u4").tolist()).encode()).hexdigest())
-                ends = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4")))
-                yield table(_CODES, doc_id=part.column("doc_id"), ids=ids, ids_sha256=[hashlib.sha256(c).hexdigest() for c in codes], decoded_sha256=decoded)
+                sizes = np.array([len(c) // 4 for c in codes], np.int64)
+                ends, flat = np.zeros(len(codes) + 1, np.int32), np.zeros(0, np.int32)
+                if keep_ids:
+                    ends[1:], flat = np.cumsum(sizes), np.frombuffer(b"".join(codes), "<i4")
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                digests = [hashlib.sha256(c).hexdigest() for c in codes]
+                yield table(_CODES, doc_id=part.column("doc_id"), n_tokens=sizes, ids=ids, ids_sha256=digests, decoded_sha256=decoded)
 
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXICON_SIZE, scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` per document; the last is of the text decoded from the ids."""
+def encode_documents(
+    docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXICON_SIZE, keep_ids: bool = True, scratch: Scratch | None = None
+) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` per document; the last is of the text decoded from the ids.
+
+    Without ``keep_ids`` the digests are all that leaves the tasks, and ``ids`` is missing.
+    """
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "bpe")
     plain = read_vocabulary(tokenizer_path)
@@ -360,8 +369,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, lexicon_size: int = L
     data = build_lexicon(texts, vocabulary, lexicon_size)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     spark.sparkContext.addFile(scratch.put(name, data))
-    coded = texts.mapInArrow(_encode(shared, name), "doc_id long, ids array<int>, ids_sha256 string, decoded_sha256 string")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256")
+    schema = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    coded = texts.mapInArrow(_encode(shared, name, keep_ids), schema)
+    return coded if keep_ids else coded.drop("ids")
 
 
 def _decode(vocabulary):

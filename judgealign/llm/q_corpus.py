@@ -28,8 +28,7 @@ def op3_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe.encode_documents(documents(spark, sf), tokenizer_path())
-    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(documents(spark, sf), tokenizer_path(), keep_ids=False)
 
 
 def op6_quality_pu(spark: SparkSession, sf: str) -> DataFrame:
