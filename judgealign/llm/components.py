@@ -27,12 +27,13 @@ def components(links: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         step += 1
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.keep(least, f"{name}{step}least")  # a written side lets Spark split the join of a hot centre
         large = _linked(both, least, F.col("v") > F.col("u")).distinct()
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = low.groupBy("u").agg(F.min("v").alias("m"))
         small = _linked(low, least, F.lit(True)).union(least.select("u", F.col("m").alias("v"))).distinct()
         after, now = _kept(small, scratch, f"{name}{step}")
-        scratch.drop(f"{name}{step - 1}")
+        scratch.drop(f"{name}{step - 1}", f"{name}{step}least")
         stars = after
         if now == mark:
             break

@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     classes = signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"))
     known = nodes.select("s1", "s2", "n", "node").join(joined, "node")
     classes = scratch.keep(classes.join(known, ["s1", "s2", "n"], "left").select("s1", "s2", "n", "least", "component"), "classes")
-    tops = classes.filter("component is not null").groupBy("component").agg(F.min("least").alias("top"))
+    tops = scratch.keep(classes.filter("component is not null").groupBy("component").agg(F.min("least").alias("top")), "tops")
     classes = classes.join(tops, "component", "left").select("s1", "s2", "n", F.coalesce("top", "least").alias("component_id"))
     scratch.drop("placed", "sets", "spokes")
     found = signed.select("doc_id", "tk", "n", "s1", "s2").join(classes, ["s1", "s2", "n"])

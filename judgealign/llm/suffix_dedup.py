@@ -244,9 +244,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", s
     everywhere = keep == "none"
     whole = keyed(docs)
     found = scratch.keep(whole.mapInArrow(_contexts(length), FOUND), "found")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # a written side lets Spark split the join of a hot anchor
+    again = scratch.keep(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     shared = scratch.keep(found.join(again, "h"), "shared")
-    scratch.drop("found")
+    scratch.drop("found", "again")
     kinds = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "lo", "hi")).alias("first"))
     kinds = scratch.keep(kinds, "kinds")
     same = shared.join(kinds.filter("n > 1").select("h", "c", "first"), ["h", "c"])
