@@ -529,9 +529,9 @@ def archetype_report(spark, sf):
     ),
 )
 def archetype_gate_report(spark, sf):
-    """Both predictors classified against the gate votes."""
+    """Both predictors (of at most four decimals) classified against the gate votes."""
     rows = reports.prepare_folder(X.gate_results(spark, sf), "drop_null_na1_gate", {"none": "none"})
-    return rounded(reports.gate_report(rows), *_CLASS_COLS, "auc")
+    return rounded(reports.gate_report(rows, bounded=True), *_CLASS_COLS, "auc")
 
 
 # ---- descriptive statistics -----------------------------------------------------------------------------------------------
@@ -729,7 +729,7 @@ _AGE = f"select predictor, {_CLASS}, {q6(_AUC)} as auc from rk group by predicto
 def archetype_summary(spark, sf):
     """Scored dimensions and the gate in one summary, each with its own metrics and winner flags."""
     rows = reports.prepare_folder(X.gate_results(spark, sf), "drop_null_na1_gate", {"none": "none"})
-    out = reports.archetype_summary(rows)
+    out = reports.archetype_summary(rows, bounded=True)
     names = ["pearson", "spearman", "mae", "rmse", "accuracy", "precision", "recall", "f1", "auc"]
     return rounded(out, *[f"{t}_{m}" for m in names for t in ("model", "prob")])
 

@@ -26,8 +26,7 @@ def agreement_report(
     if finite_only:
         pairs = pairs.where(finite(F.col("pred").cast("double")) & finite(F.col("truth").cast("double")))
     cells = ranks.count_pairs(pairs, keys, exclude=exclude, bounded=bounded)
-    complete = pairs.where(F.col("pred").isNotNull() & F.col("truth").isNotNull())
-    basic = moments.agreement(complete, keys, exclude)
+    basic = moments.agreement(pairs, keys, exclude).where(F.col("n") > 0)
     rho = ranks.spearman(cells, keys).drop("n")
     tau = kendall(cells, keys).select(*keys, "kendall")
     out = basic.join(rho, keys, "left").join(tau, keys, "left")
@@ -96,7 +95,8 @@ def prepare_folder(results: DataFrame, policy: str = "drop_null_na1", mapping: d
     """One row per record with a usable truth: scores, mean truth, rating count, averages of all rated dimensions.
 
     With ``drop_null_na1_gate`` the gate dimension gets the strict majority vote as truth, ties drop the row.
-    Averages of all dimensions are a map ``dim -> mean`` without the confidence rating.
+    Averages of all dimensions are a map ``dim -> mean`` without the confidence rating. The rating lists are read by
+    deep expressions: write the result once before a report that reads it for many metrics.
     """
     mapping = mapping or {d: f for d, f, _ in REALISM_DIMS}
     gate = policy == "drop_null_na1_gate"
@@ -171,7 +171,7 @@ def compare_predictors(report: DataFrame, larger: list[str], smaller: list[str],
     return wide
 
 
-def gate_report(prepared: DataFrame, dim: str = GATE_DIM) -> DataFrame:
+def gate_report(prepared: DataFrame, dim: str = GATE_DIM, bounded: bool = False) -> DataFrame:
     """Classification of both predictors against the gate votes; the 1..5 model score is rescaled to 0..1."""
     gate = prepared.where(F.col("dim") == dim).select(
         F.inline(
@@ -182,17 +182,17 @@ def gate_report(prepared: DataFrame, dim: str = GATE_DIM) -> DataFrame:
         ),
         F.col("truth").cast("int").alias("label"),
     )
-    return classify.classification(gate, ["predictor"])
+    return classify.classification(gate, ["predictor"], bounded=bounded)
 
 
-def archetype_summary(prepared: DataFrame, include_gate: bool = False) -> DataFrame:
+def archetype_summary(prepared: DataFrame, include_gate: bool = False, bounded: bool = False) -> DataFrame:
     """Summary rows of the archetype folder report: errors and correlations per scored dimension and pooled, and
     classification of the gate. ``include_gate`` pools the 0/1 gate votes with the 1..5 scores."""
     pairs = predictor_pairs(prepared)
     exclude = () if include_gate else (GATE_DIM,)
-    report = agreement_report(pairs, ["predictor", "dim"], exclude=exclude, min_n=2).where(F.col("dim") != GATE_DIM)
+    report = agreement_report(pairs, ["predictor", "dim"], exclude=exclude, min_n=2, bounded=bounded).where(F.col("dim") != GATE_DIM)
     scored = compare_predictors(report, ["pearson", "spearman"], ["mae", "rmse"])
-    gate = gate_report(prepared).withColumn("dim", F.lit(GATE_DIM))
+    gate = gate_report(prepared, bounded=bounded).withColumn("dim", F.lit(GATE_DIM))
     voted = compare_predictors(gate, ["accuracy", "precision", "recall", "f1", "auc"], [], absolute=())
     return scored.unionByName(voted, allowMissingColumns=True)
 
