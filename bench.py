@@ -1,7 +1,7 @@
 """Run the headline queries and print one JSON line with their times.
 
-Every query is built and written to the no-op sink, so all rows are computed. Kept tables are dropped after
-each run, so a run never reads what an earlier one computed. One untimed query warms the JVM up.
+Every query is built and written to the no-op sink, so all rows are computed; nothing is kept from one run to the
+next. One untimed query warms the JVM up.
 """
 
 from __future__ import annotations
