@@ -6,11 +6,11 @@
    with a probability of 5e-5, and any other path of links joins it as well.
 2. Equal sets are one node from here on, so exact copies, however many, cost one row per bucket and task.
 3. Only buckets with two different sets matter. Every member is compared with the pivot of its bucket, the node that
-   meets the most others; links give components. Jaccard distance is a metric, so a link has both ends in the loose
+   meets the most others; links give labels, and equal labels mean one component. Jaccard distance is a metric, so a link has both ends in the loose
    circle of a pivot (three times the allowed distance) if it has one in its tight circle (twice that). Hence two
    kinds of groups hold all links that are still open: the circles, and what is outside of the tight circle in a
-   bucket. A group that still has several components is cut into blocks of bounded size; pairs of blocks are
-   compared inside tasks, which return a spanning set of the links between components, never the pairs.
+   bucket. A group that still has several labels is cut into blocks of bounded size; pairs of blocks are
+   compared inside tasks, which return a spanning set of the links between labels, never the pairs.
 4. A pair is confirmed on both full sets: 100 * intersection >= 80 * union.
 
 Set operations use 64-bit hashes of shingles. A hot bucket is summed before its shuffle, its joins can be split.
@@ -195,7 +195,7 @@ def common_counts(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _across(percent: int):
-    """Links between different components inside pairs of blocks; only a spanning set of them is returned."""
+    """Links between different labels inside pairs of blocks; only a spanning set of them is returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -223,7 +223,7 @@ def _across(percent: int):
 
 
 def _links_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components ``c`` of the nodes of each group ``g``, by pairs of blocks of bounded size."""
+    """Links between nodes of each group ``g`` with different labels ``c``, by pairs of blocks of bounded size."""
     sizes = placed.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("sides"), F.min("c").alias("low"), F.max("c").alias("high"))
     torn = sizes.filter("low <> high").select("g", "sides")
     dealt = placed.join(torn, "g").join(sets, "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
@@ -266,7 +266,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     both = both.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").select("u", "v", "a", "b")
     pairs = scratch.keep(both.mapInArrow(_shared, "u long, v long, common long, n_u long, n_v long"), "pairs")
     links = scratch.keep(pairs.filter(_near(percent)).select("u", "v"), "links")
-    joined = components(links, scratch, "first")
+    # the least pivot that a node links to: equal labels mean one component
+    stars = links.select(F.col("v").alias("node"), "u").union(links.select(F.col("u").alias("node"), "u"))
+    labels = scratch.keep(stars.groupBy("node").agg(F.min("u").alias("label")), "labels")
 
     # what may still link lies in one circle of a pivot, or in one bucket outside of the inner circle
     circles = components(pairs.filter(_near(loose)).select("u", "v"), scratch, "circles")
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, scratch:
     outside = spokes.filter("node <> u").join(inner, ["u", "node"], "left_anti").select(F.xxhash64("bucket").alias("g"), "node", "n")
     more = []
     for name, grouped in (("circle", circles), ("bucket", outside)):
-        placed = grouped.join(joined, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("c"))
+        placed = grouped.join(labels, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("c"))
         placed = scratch.keep(placed, f"{name}_nodes")
         more.append(scratch.keep(_links_across(placed, sets, percent), f"{name}_links"))
     joined = components(links.union(more[0]).union(more[1]), scratch, "all")
