@@ -37,8 +37,8 @@ from judgealign.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 ROWS, BANDS = 5, 25
-#: Shingles in a block of sets that are compared with each other, and sets from which on a shingle is frequent there.
-BLOCK_ITEMS, FREQUENT = 1_000_000, 24
+#: Shingles and sets in a block of sets that are compared with each other, and sets from which on a shingle is frequent there.
+BLOCK_ITEMS, BLOCK_SETS, FREQUENT = 1_000_000, 2048, 24
 PERMUTATIONS = (ROWS * BANDS + 1) // 2
 _DRAW = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _DRAW.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -209,13 +209,17 @@ def _across(percent: int):
                     continue
                 lists = part.column("items").combine_chunks()
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                common = common_counts(lists.flatten().to_numpy(), sizes)
-                near = 100 * common >= percent * (sizes[:, None] + sizes - common)
-                near &= part_of[:, None] != part_of
-                if keys[1, a] != keys[2, a]:
-                    near &= side[:, None] != side
-                left, right = np.nonzero(np.triu(near, 1))
-                label = spanning(b - a, left, right)
+                counts = common_counts(lists.flatten().to_numpy(), sizes)
+                label = np.arange(b - a)
+                for k in range(0, b - a, 256):
+                    rows = slice(k, min(b - a, k + 256))
+                    common = counts[rows].astype(np.int64)
+                    near = 100 * common >= percent * (sizes[rows, None] + sizes - common)
+                    near &= part_of[rows, None] != part_of
+                    if keys[1, a] != keys[2, a]:
+                        near &= side[rows, None] != side
+                    left, right = np.nonzero(np.triu(near, k + 1))
+                    label = spanning(b - a, np.r_[left + k, np.arange(b - a)], np.r_[right, label])
                 moved = np.flatnonzero(label != np.arange(b - a))
                 yield table(schema, u=node[moved], v=node[label[moved]])
 
@@ -224,7 +228,8 @@ def _across(percent: int):
 
 def _links_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes of each group ``g`` with different labels ``c``, by pairs of blocks of bounded size."""
-    sizes = placed.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("sides"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sides = F.greatest(F.ceil(F.sum("n") / BLOCK_ITEMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    sizes = placed.groupBy("g").agg(sides.alias("sides"), F.min("c").alias("low"), F.max("c").alias("high"))
     torn = sizes.filter("low <> high").select("g", "sides")
     dealt = placed.join(torn, "g").join(sets, "node").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))

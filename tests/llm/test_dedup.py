@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,43 @@ def test_minhash_repeated_rows_null_ids_and_empty(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_blocks_of_short_texts_are_bounded(spark, monkeypatch):
+    across = minhash._across
+
+    def watched(percent):
+        run = across(percent)
+
+        def bounded(batches):
+            held = list(batches)
+            sizes = Counter(k for b in held for k in zip(*(b.column(c).to_pylist() for c in ("g", "low", "high")), strict=True))
+            assert max(sizes.values(), default=0) <= 5000, sizes.most_common(1)
+            yield from run(iter(held))
+
+        return bounded
+
+    monkeypatch.setattr(minhash, "_across", watched)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join([*words[:12], f"x{i}", *words[13:]]) for i in range(20_000)]
+    copied = range(0, 20_000, 1999)
+    rows = [*enumerate(texts), *((100_000 + i, texts[i] + " end") for i in copied)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == r.doc_id % 100_000 for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {100_000 + i for i in copied}
+
+
+def test_across_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 60, 30) for _ in range(40)]
+    sets = [np.unique(np.r_[base[k % 40][: rng.integers(24, 31)], rng.integers(0, 1 << 60, rng.integers(0, 4))]) for k in range(700)]
+    batch = pa.RecordBatch.from_pydict({**{c: np.zeros(700, np.int64) for c in ("g", "low", "high", "side")}, "node": np.arange(700), "c": np.arange(700), "items": [s.tolist() for s in sets]})
+    links = [(u, v) for out in minhash._across(80)(iter([batch])) for u, v in zip(out.column("u").to_pylist(), out.column("v").to_pylist(), strict=True)]
+    label = list(range(700))
+    for u, v in sorted(links):
+        label[u] = label[v]
+    assert label == groups_of([set(s.tolist()) for s in sets])
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(100, 160)] + [(1, rng.randrange(200, 900)) for _ in range(200)] + [(950, 940), (940, 930), (5, 5)]
