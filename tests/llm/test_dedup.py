@@ -269,6 +269,46 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [embedding_dedup.EXACT, 300])
+def test_isolated_pairs_in_a_dense_cone_are_found(spark, exact):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rest = unit(rng.standard_normal((14_000, 64)))
+    cone = unit(np.sqrt(0.85) * unit(rng.standard_normal(64)) + np.sqrt(0.15) * unit(rng.standard_normal((7_000, 64))))
+    base = np.r_[rest[:200], cone[:200]]
+    across = rng.standard_normal(base.shape)
+    across = unit(across - (across * base).sum(1, keepdims=True) * base)
+    twins = 0.955 * base + np.sqrt(1 - 0.955**2) * across
+    rows = [(k, v.tolist()) for k, v in enumerate(np.r_[rest, cone])]
+    place = np.r_[np.arange(200), 14_000 + np.arange(200)]
+    rows += [(100_000 + k, v.tolist()) for k, v in zip(place.tolist(), twins, strict=True)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), exact=exact).collect()}
+    assert len(got) == len(rows)
+    lost = [k for k in place.tolist() if got[k]["component_id"] != got[100_000 + k]["component_id"]]
+    assert len(lost) <= (0 if exact > 300 else 2), lost
+
+
+def test_bound_of_a_miss_holds():
+    rng = np.random.default_rng(3)
+    units = rng.standard_normal((6_000, 16)) + 1.5
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    across = rng.standard_normal(units.shape)
+    across -= (across * units).sum(1, keepdims=True) * units
+    twins = 0.95 * units + np.sqrt(1 - 0.95**2) * across / np.linalg.norm(across, axis=1, keepdims=True)
+    seen, bound = [], []
+    for number in range(12):
+        code, other = embedding_dedup.codes(units, number), embedding_dedup.codes(twins, number)
+        order = np.argsort(code, kind="stable")
+        for at in range(0, 6_000, 1_000):
+            part = order[at : at + 1_000]
+            bound.append(embedding_dedup.missed(code[part], np.zeros(1_000, np.int64), 0.95, at == 0, at == 5_000))
+            low = code[part[0]] if at else -1
+            high = code[part[-1]] if at < 5_000 else 1 << 60
+            seen.append((other[part] >= low) & (other[part] <= high))
+    assert np.mean(seen) >= 1 - np.mean(bound) - 0.01
+    assert (embedding_dedup.missed(code[:9], np.zeros(9, np.int64), 0.95, True, True) == 0).all()
+
+
 def test_float_vectors_of_the_table(spark):
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
