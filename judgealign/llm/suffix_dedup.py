@@ -183,6 +183,15 @@ def longest_factors(buffer: np.ndarray, starts: np.ndarray, length: int, later:
     return out
 
 
+def _once(part: pa.RecordBatch) -> pa.RecordBatch:
+    """One row per place, from rows in order: repeated rows of a document bring their contexts as often."""
+    if part.num_rows < 2:
+        return part
+    ids = part.column("doc_id")
+    keys = [*(part.column(c).to_numpy() for c in ("h", "tk", "lo")), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)]
+    return part.filter(pa.array(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
 SPAN = "doc_id long, tk long, lo int, hi int"
 _SPAN = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
@@ -191,6 +200,7 @@ def _factors(length: int, later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in groups(batches, ["h"], BLOCK):
             for part in block.to_batches():
+                part = part if later else _once(part)
                 raw, offsets = body_of(part.column("body"))
                 counts = np.diff(offsets) - length + 1
                 row = np.repeat(np.arange(len(counts)), counts)

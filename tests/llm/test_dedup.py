@@ -91,6 +91,18 @@ def test_suffix_dedup_repeated_rows_nulls_and_empty(spark):
     assert suffix_dedup.kept_digests(docs.limit(0), suffix_dedup.repeated_spans(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (None, 2)])
+def test_suffix_dedup_keeps_the_first_of_repeated_rows(spark, ids):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh") for _ in range(900))
+    edited = text[:430] + "#" + text[431:]
+    rows = [(ids[0], text)] * 3 + [(ids[1], edited)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # the byte that was edited splits the copy in two, both longer than a window
+    got = {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.kept_digests(docs, suffix_dedup.repeated_spans(docs)).collect()}
+    assert got == {(ids[0], 0), (ids[1], 899)}
+
+
 def test_longest_factors_are_exact():
     rng = random.Random(9)
     buffer = np.array([rng.choice(b"ab") for _ in range(400)], np.uint8)
