@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled good; everything else is unlabelled web text, a mixture with an unknown
-share of good documents. That share (the class prior) is estimated from the two samples: the least ratio of
+Trusted positives are documents labelled good; the unlabelled sample is drawn from all documents, labels ignored, a
+mixture with an unknown share of good documents. That share (the class prior) is estimated from the two samples: the least ratio of
 unlabelled to positive mass above any threshold of a first classifier. The final model minimises the non-negative
 unbiased risk ``prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])`` with the logistic loss.
 
@@ -149,25 +149,26 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "body", 1 << 20):
             x = features(*body_of(part.column("body")))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("positive"), flat], names=["positive", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("free"), flat], names=["positive", "free", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` positives and ``sample`` unlabelled documents outside the held-out fold."""
+    """Fit on at most ``sample`` positives and ``sample`` documents of any kind outside the held-out fold."""
     label = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     place = F.xxhash64("doc_id")
     learn = ~held_out(F.col("doc_id"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(learn)
     good = label.filter(learn).filter("quality = 1").select("doc_id").orderBy(place, "doc_id").limit(sample)
-    free = ids.join(label, "doc_id", "left_anti").orderBy(place, "doc_id").limit(sample)
-    chosen = good.withColumn("positive", F.lit(True)).union(free.withColumn("positive", F.lit(False))).dropDuplicates(["doc_id"])
-    texts = keyed(docs).join(F.broadcast(chosen), "doc_id").select("positive", "body")  # at most 2 * sample rows of 9 bytes
-    rows = texts.mapInArrow(_featured, "positive boolean, x array<double>").toArrow()
+    free = ids.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
+    chosen = good.select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("free")).union(free.select("doc_id", F.lit(False), F.lit(True)))
+    chosen = chosen.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("free").alias("free"))
+    texts = keyed(docs).join(F.broadcast(chosen), "doc_id").select("positive", "free", "body")  # at most 2 * sample rows of 10 bytes
+    rows = texts.mapInArrow(_featured, "positive boolean, free boolean, x array<double>").toArrow()
     x = np.asarray(rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, N_FEATURES)
-    positive = np.asarray(rows.column("positive").to_numpy(), bool)
-    order = np.lexsort((*x.T, positive))
-    x, positive = x[order], positive[order]
-    return fit(x[positive], x[~positive])
+    positive, free = (np.asarray(rows.column(c).to_numpy(), bool) for c in ("positive", "free"))
+    order = np.lexsort((*x.T, positive, free))
+    x, positive, free = x[order], positive[order], free[order]
+    return fit(x[positive], x[free])
 
 
 def _scored(model: Model):

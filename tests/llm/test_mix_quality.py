@@ -106,6 +106,18 @@ def test_quality_edges(spark):
     assert quality_pu.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_quality_where_every_document_is_labelled(spark):
+    rng = np.random.default_rng(6)
+    good = [" ".join(f"word{k}" for k in rng.integers(0, 500, 60)) + "." for _ in range(150)]
+    bad = [" ".join(["BUY!!! $$$"] * rng.integers(10, 30)) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 150)) for k in range(300)], "doc_id long, quality int")
+    model = quality_pu.train(docs, labels)
+    assert len(model.weights) == quality_pu.N_FEATURES + 1
+    kept = {r["doc_id"] for r in quality_pu.keep_good(docs, model).collect()}
+    assert len(kept & set(range(150))) > 145 and len(kept - set(range(150))) < 5
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     positive, unlabelled = rng.normal(2, 1, 4000), np.r_[rng.normal(2, 1, 2800), rng.normal(-3, 1, 1200)]
