@@ -6,7 +6,7 @@ unlabelled to positive mass above any threshold of a first classifier. The final
 unbiased risk ``prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])`` with the logistic loss.
 
 The model is fitted on a bounded sample (``SAMPLE`` positives and as many unlabelled documents, those with the
-smallest hash of the id); only their features reach the driver. All documents are scored, by whole texts, from
+smallest hash of the id, one text per id); only their features reach the driver. All documents are scored, by whole texts, from
 counts of bytes, words and lines. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts have all features zero and get the score of that point; several labels of one
@@ -157,12 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     label = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     place = F.xxhash64("doc_id")
     learn = ~held_out(F.col("doc_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(learn)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").filter(learn).distinct()
     good = label.filter(learn).filter("quality = 1").select("doc_id").orderBy(place, "doc_id").limit(sample)
     free = ids.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
     chosen = good.select("doc_id", F.lit(True).alias("positive"), F.lit(False).alias("free")).union(free.select("doc_id", F.lit(False), F.lit(True)))
     chosen = chosen.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("free").alias("free"))
-    texts = keyed(docs).join(F.broadcast(chosen), "doc_id").select("positive", "free", "body")  # at most 2 * sample rows of 10 bytes
+    texts = keyed(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows of 10 bytes
+    texts = texts.groupBy("doc_id", "positive", "free").agg(F.min_by("body", "tk").alias("body"))  # one text per id
     rows = texts.mapInArrow(_featured, "positive boolean, free boolean, x array<double>").toArrow()
     x = np.asarray(rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, N_FEATURES)
     positive, free = (np.asarray(rows.column(c).to_numpy(), bool) for c in ("positive", "free"))

@@ -118,6 +118,18 @@ def test_quality_where_every_document_is_labelled(spark):
     assert len(kept & set(range(150))) > 145 and len(kept - set(range(150))) < 5
 
 
+def test_quality_is_fitted_on_one_row_per_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_pu, "fit", lambda p, u: seen.append((len(p), len(u))))
+    ids = [k for k in range(60) if binascii.crc32(str(k).encode()) % 5][:20]
+    rows = [(k, f"text {k}") for k in ids] + [(k, f"other {n % 7}") for k in ids[:2] for n in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in ids[:6]], "doc_id long, quality int")
+    quality_pu.train(docs, labels)
+    quality_pu.train(docs, labels, sample=5)
+    assert seen == [(6, 20), (5, 5)]
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     positive, unlabelled = rng.normal(2, 1, 4000), np.r_[rng.normal(2, 1, 2800), rng.normal(-3, 1, 1200)]
