@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgealign.llm import bpe, embedding_dedup, minhash, mix_cube, quality_pu, suffix_dedup
+from judgealign.llm import bpe, embedding_dedup, minhash, mix_cube, quality_pu, suffix_dedup, whitening
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
@@ -52,5 +56,6 @@ QUERIES = {
     "op6_quality_pu": op6_quality_pu,
     "op7_mix_cube": op7_mix_cube,
     "op9_minhash": op9_minhash,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {}
