@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgealign.llm import bpe, embedding_dedup, minhash, mix_cube, periodic_runs, quality_pu, suffix_dedup, whitening
+from judgealign.llm import bpe, embedding_dedup, language_codes, minhash, mix_cube, periodic_runs, quality_pu, suffix_dedup, whitening
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op9_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return language_codes.predict(docs.select("doc_id", "text"), language_codes.train(docs.select("doc_id", "text", "lang")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     docs = periodic_runs.planted(documents(spark, sf).select("doc_id", "text"))
     return periodic_runs.digests(periodic_runs.periodic_runs(docs, keep_text=False))
@@ -61,6 +66,7 @@ QUERIES = {
     "op6_quality_pu": op6_quality_pu,
     "op7_mix_cube": op7_mix_cube,
     "op9_minhash": op9_minhash,
+    "op11_language": op11_language,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_whitening": op13_whitening,
 }
