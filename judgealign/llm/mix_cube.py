@@ -2,12 +2,16 @@
 
 Targets come from the weights (capped at ``max_repeats`` times a source's size, the excess shared again by weight).
 A source with rate r = target / size takes every document floor(r) times and draws one more copy with inclusion
-probability r - floor(r). The draw is balanced: the flight phase moves the probabilities of three documents at a
-time through the null space of the two constraints (words and number of documents) until one of them is 0 or 1. The
-walk goes from long to short documents, and what the draw of a long one wins or loses is spread over shorter ones.
+probability r - floor(r). The draw is balanced: the flight phase moves the probabilities of all undecided documents of a
+block through the null space of the two constraints (words and number of documents) until one of them is 0 or 1. A
+move aims at the longest document that can move at all and spreads what it wins or loses over the others, so
+long documents are decided early and the few that stay are short. A document too long to be decided in balance
+(``LONG``) is drawn by its probability at once, the others get the probabilities that make up for it in words as far
+as they can, whatever the outcome. Every move is drawn so that no probability changes in expectation: each document is
+taken with exactly the probability that it came with, and nothing is drawn anew.
 Flights run in bounded blocks of a source; at most two documents of a block stay undecided, and these meet in the
-blocks of the next level, until a source has one block. There the landing decides the last documents by the
-nearest word total.
+blocks of the next level, until a source has one block. There the landing drops the number of documents, keeps the words
+until one document is left, and draws that one.
 
 A hot source only has more blocks. Draws come from a generator seeded by source, block and level over rows in a
 fixed order, so a rerun or a recomputed task repeats them.
@@ -34,10 +38,10 @@ from judgealign.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 #: Documents in a block of the flight phase.
-BLOCK = 4096
+BLOCK = 2048
 NEAR = 1e-9
-#: The last block of a source is drawn anew, at most so often, until its words are as close as this share.
-DRAWS, CLOSE = 32, 0.002
+#: Share of the words that a block will take from which on a document counts as long.
+LONG = 0.03
 
 
 def n_words(text: Column) -> Column:
@@ -63,86 +67,85 @@ def source_targets(sources: DataFrame, weights: Column | None = None, total: Col
     return rows.withColumn("level", F.max("x").over(whole)).select("source", "source_size", "n", F.coalesce(F.least("cap", F.col("w") * F.col("level")), F.col("cap")).alias("target"))
 
 
-def walk(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move inclusion probabilities through the null space of (size, 1) until at most two are fractional."""
-    p = p.tolist()
-    size = size.tolist()
-    draws = rng.random(len(p) + 2).tolist()
-    held: list[int] = []
-    for i in range(len(p)):
-        if NEAR < p[i] < 1 - NEAR:
-            held.append(i)
-        if len(held) < 3:
-            continue
-        a, b, c = held
-        u = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
-        if u == (0.0, 0.0, 0.0):
-            u = (1.0, -1.0, 0.0)
-        up = min(((1 - p[k]) / v if v > 0 else p[k] / -v) for k, v in zip(held, u, strict=True) if v)
-        down = min((p[k] / v if v > 0 else (1 - p[k]) / -v) for k, v in zip(held, u, strict=True) if v)
-        step = up if draws.pop() * (up + down) < down else -down
-        for k, v in zip(held, u, strict=True):
-            p[k] = min(1.0, max(0.0, p[k] + step * v))
-        held = [k for k in held if NEAR < p[k] < 1 - NEAR]
-    return np.array([0.0 if v <= NEAR else 1.0 if v >= 1 - NEAR else v for v in p])
+def _settled(p: np.ndarray) -> np.ndarray:
+    return np.where(p < NEAR, 0.0, np.where(p > 1 - NEAR, 1.0, p))
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide all but at most two documents; ``size`` is in falling order.
+def _move(p: np.ndarray, u: np.ndarray, draw: float) -> np.ndarray:
+    """Go along u, or against it, until one probability is 0 or 1; the way is drawn so that none changes in expectation."""
+    rise, fall = u > 0, u < 0
+    up = min(((1 - p[rise]) / u[rise]).min(initial=np.inf), (p[fall] / -u[fall]).min(initial=np.inf))
+    down = min((p[rise] / u[rise]).min(initial=np.inf), ((1 - p[fall]) / -u[fall]).min(initial=np.inf))
+    return _settled(p + (up if draw * (up + down) < down else -down) * u)
 
-    The walk takes the longer half of what is left, again and again. The one or two long documents that it leaves are
-    drawn by their probability, and the words won or lost by that are spread over the probabilities of all shorter
-    documents, so that the totals hold to within the shortest ones.
-    """
-    p, owed, at = p.copy(), 0.0, 0
-    while at < len(p):
-        end = len(p) if len(p) - at <= 8 else at + (len(p) - at) // 2
-        mass = size[at:].sum()
-        if owed and mass:
-            moved = np.clip(p[at:] + owed / mass, 0, 1)
-            owed -= float(((moved - p[at:]) * size[at:]).sum())
-            p[at:] = moved
-        p[at:end] = walk(p[at:end], size[at:end], rng)
-        if end < len(p):
-            for k in at + np.flatnonzero((p[at:end] > 0) & (p[at:end] < 1)):
-                drawn = float(rng.random() < p[k])
-                owed += float((p[k] - drawn) * size[k])
-                p[k] = drawn
-        at = end
-    return p
 
+def _decided(p: np.ndarray, size: np.ndarray, balanced: np.ndarray | None, draw: float) -> np.ndarray:
+    """Draw the first document now; the others take the place of its words, by ``balanced`` where that is possible."""
+    first = p[0]
+    if balanced is not None:
+        u = balanced / balanced[0]
+        both = np.r_[p + (1 - first) * u, p - first * u]
+    if balanced is None or both.min() < -NEAR or both.max() > 1 + NEAR:
+        room = np.minimum(p / (1 - first), (1 - p) / first)  # with these moves both outcomes stay probabilities
+        room[0] = 0
+        words = float(room @ size)
+        u = -room * min(1.0, size[0] / words) if words > 0 else np.zeros(len(p))
+        u[0] = 1
+    return _settled(p + ((1 - first) if draw < first else -first) * u)
 
-def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the last fractional documents: the outcome with the nearest word total, then the nearest count."""
+
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide all but at most two documents; ``size`` is in falling order."""
+    p = _settled(p)
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    if not len(open_):
-        return p
-    words, count = float((p[open_] * size[open_]).sum()), float(p[open_].sum())
-    outcomes = [np.array([(k >> b) & 1 for b in range(len(open_))], float) for k in range(1 << len(open_))]
-    best = min(outcomes, key=lambda o: (abs(float((o * size[open_]).sum()) - words), abs(float(o.sum()) - count)))
-    out = p.copy()
-    out[open_] = best
-    return out
+    long = LONG * float(p @ size)
+    while len(open_) > 2:
+        q, s = p[open_], size[open_]
+        # the residual of one document after a regression on (1, size) lies in the null space; weights keep documents
+        # that are nearly decided from moving far
+        weight = q * (1 - q)
+        total = weight.sum()
+        off = s - (weight @ s) / total
+        spread = float(weight @ (off * off))
+        slope = weight * off / spread if spread > 1e-18 * total * max(1.0, float(s[0]) ** 2) else np.zeros(len(q))
+        movable = weight / total + slope * off < 1 - 1e-6
+        at = int(np.argmax(movable))
+        if not movable[at]:
+            break
+        u = -weight * (weight[at] / total + slope[at] * off)
+        u[at] += weight[at]
+        if s[0] > long:
+            p[open_] = _decided(q, s, u if at == 0 else None, rng.random())
+        else:
+            p[open_] = _move(q, u, rng.random())
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+    return p
+
+
+def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the last documents: in pairs that keep the words (or the number, where there are none), then one by one."""
+    p = p.copy()
+    for some in (np.flatnonzero(size > 0), np.flatnonzero(size <= 0)):
+        open_ = some[(p[some] > 0) & (p[some] < 1)]
+        while len(open_) > 1:
+            a, b = open_[:2]
+            u = np.array([size[b], -size[a]]) / size[[a, b]].max() if size[a] > 0 else np.array([1.0, -1.0])
+            p[[a, b]] = _move(p[[a, b]], u, rng.random())
+            open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+        for k in open_:
+            p[k] = float(rng.random() < p[k])
+    return p
 
 
 def _fly(level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "place", "doc_id", "tk"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.assign(words=rows["size"] * rows["copies"]).sort_values(["words", "place", "doc_id", "tk"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         name = f"{level}|{rows['source'].iloc[0]!r}|{rows['block'].iloc[0]}"
         rng = np.random.Generator(np.random.PCG64(zlib.crc32(name.encode())))
-        size = (rows["size"] * rows["copies"]).to_numpy(float)
-        given = rows["p"].to_numpy(float)
-        if rows["n_blocks"].iloc[0] > 1:
-            p = flight(given, size, rng)
-        else:
-            best, words = np.inf, float((given * size).sum())
-            for _ in range(DRAWS):
-                drawn = landing(flight(given, size, rng), size)
-                off = abs(float((drawn * size).sum()) - words)
-                if off < best:
-                    best, p = off, drawn
-                if off <= CLOSE * words:
-                    break
+        size = rows["words"].to_numpy(float)
+        p = flight(rows["p"].to_numpy(float), size, rng)
+        if rows["n_blocks"].iloc[0] == 1:
+            p = landing(p, size, rng)
         return rows.assign(p=p)[["doc_id", "tk", "source", "size", "copies", "place", "p"]]
 
     return run

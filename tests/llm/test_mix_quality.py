@@ -73,13 +73,56 @@ def test_mix_of_empty_tables(spark):
     assert mix_cube.taken(mix_cube.mix_sources(docs.limit(0))).count() == 0
 
 
-def test_walk_keeps_both_totals():
+def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     size = np.sort(rng.integers(1, 1000, 500))[::-1].astype(float)
     p = np.full(500, 0.37)
-    out = mix_cube.walk(p, size, rng)
-    assert ((out > 0) & (out < 1)).sum() <= 2
+    out = mix_cube.flight(p, size, rng)
+    left = (out > 0) & (out < 1)
+    assert left.sum() <= 2 and size[left].max(initial=0) < 50  # what stays is short
     assert out.sum() == pytest.approx(p.sum()) and (out * size).sum() == pytest.approx((p * size).sum())
+    equal = mix_cube.landing(mix_cube.flight(np.full(50, 0.5), np.full(50, 7.0), rng), np.full(50, 7.0), rng)
+    assert set(equal) <= {0.0, 1.0} and equal.sum() == 25
+    odd = np.r_[1000.0, np.full(30, 7.0), np.zeros(9)]
+    assert set(mix_cube.landing(mix_cube.flight(np.full(40, 0.4), odd, rng), odd, rng)) <= {0.0, 1.0}
+
+
+@pytest.mark.parametrize(("share", "p"), [(0.08, 0.3), (0.15, 0.3), (0.33, 0.3), (0.33, 0.8)])
+def test_every_document_keeps_its_inclusion_probability(share, p):
+    """2,000 draws of 61 documents, the first with a given share of the words."""
+    rest = np.random.default_rng(1).integers(50, 400, 60).astype(float)
+    size = np.sort(np.r_[rest, rest.sum() * share / (1 - share)])[::-1]
+    draws, seen, words = 2000, np.zeros(61), []
+    for seed in range(draws):
+        rng = np.random.default_rng([11, seed])
+        drawn = mix_cube.landing(mix_cube.flight(np.full(61, p), size, rng), size, rng)
+        seen += drawn
+        words.append(float(drawn @ size))
+    error = np.sqrt(p * (1 - p) / draws)
+    assert np.abs(seen / draws - p).max() < 4 * error
+    off = np.abs(np.array(words) - p * size.sum())
+    # as near as the first document allows: without it the others have at most all their words, with it at least none
+    forced = max(0.0, size[0] - p * size.sum(), p * size.sum() - rest.sum())
+    assert off.max() <= forced + rest.max()
+
+
+def test_blocks_keep_the_inclusion_probability(monkeypatch):
+    """The same through two levels of blocks, as the operator deals them."""
+    import pandas as pd
+
+    size = np.r_[3000, np.random.default_rng(2).integers(10, 300, 59)]
+    rows = pd.DataFrame({"doc_id": np.arange(60), "tk": np.arange(60), "size": size, "copies": 1, "place": np.arange(60), "p": 0.4})
+    seen, draws = np.zeros(60), 500
+    for seed in range(draws):
+        left = rows.assign(source=f"s{seed}", n_blocks=3, block=rows["place"] % 3)
+        first = pd.concat([mix_cube._fly(0)(g) for _, g in left.groupby("block")])
+        done = first[first["p"].isin([0.0, 1.0])]
+        last = first[~first["p"].isin([0.0, 1.0])].assign(block=0, n_blocks=1)
+        if len(last):
+            done = pd.concat([done, mix_cube._fly(1)(last)])
+        assert len(done) == 60 and set(done["p"]) <= {0.0, 1.0}
+        seen[done["doc_id"]] += done["p"]
+    assert np.abs(seen / draws - 0.4).max() < 4 * np.sqrt(0.24 / draws)
 
 
 def test_quality_on_the_held_out_fold(spark):
