@@ -2,12 +2,13 @@
 
 1. Equal vectors become one row with a count. Vectors that are null, empty, zero or hold null or non-finite
    components stay alone.
-2. Each pass concatenates random projection bits to a code and orders all vectors by it. The order is cut into blocks
-   of ``BLOCK`` vectors, whatever their codes, and all pairs of a block are compared by their exact cosine. If all
-   vectors that share the first b bits of a vector's code lie in its block, a vector linked to it is one of them with
-   a probability of (1 - angle / pi) ** b at least. So each pass bounds the chance that a link of a vector is still
-   missed, and passes with fresh bits go on over the vectors where the product of these bounds exceeds ``MISS``:
-   more of them in larger tables and in dense regions, none where one block holds everything.
+2. Each pass concatenates random projection bits to a code and orders all vectors by it. A vector is compared, by
+   exact cosine, with the vectors of a window around it in that order: the order is cut into blocks of ``BLOCK``
+   vectors, and a block also sees the quarter of a block that follows it, so neighbours up to a quarter of a block
+   apart always meet. If all vectors that share the first b bits of a vector's code lie in its block, a vector linked to
+   it is one of them with a probability of (1 - angle / pi) ** b at least. So each pass bounds the chance that a link
+   of a vector is still missed, and passes with fresh bits go on over the vectors where the product of these
+   bounds exceeds ``MISS``: more of them in larger tables and in dense regions. Every table goes through passes.
    As soon as comparing all vectors that are left costs no more than the passes did (``EXACT`` vectors per pass), all
    their pairs are compared in pairs of blocks inside tasks, and nothing is missed among them.
 3. Verified pairs of all passes are united to components.
@@ -126,7 +127,8 @@ _LINKED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("gain", pa.float64()
 
 
 def _blocks(threshold: float, final: int):
-    """Spanning links of each block, and a row ``u = v`` per vector with the logarithm of its bound of a miss."""
+    """Spanning links of each block and what follows it, and a row ``u = v`` per vector of the block with the logarithm
+    of its bound of a miss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches, ["block"], 2000):
@@ -136,12 +138,15 @@ def _blocks(threshold: float, final: int):
                 part = whole.slice(a, b - a)
                 units, sizes = unit_rows(part.column("vec"))
                 number, node, code = (part.column(c).to_numpy() for c in ("pass", "node", "code"))
+                own = int(part.column("own").to_numpy(zero_copy_only=False).sum())  # these come first
                 kind = (number.astype(np.int64) << 32) + sizes
                 label = linked(units, kind, threshold, np.arange(b - a))
                 moved = np.flatnonzero(label != np.arange(b - a))
                 yield table(_LINKED, u=node[moved], v=node[label[moved]], gain=pa.nulls(len(moved), pa.float64()))
-                chance = missed(code, kind, threshold, blocks[a] == 0, blocks[a] == final)
-                yield table(_LINKED, u=node, v=node, gain=np.log(np.maximum(chance, 1e-300)))
+                if not own:
+                    continue  # the order ends here
+                chance = missed(code[:own], kind[:own], threshold, blocks[a] == 0, blocks[a] == final)
+                yield table(_LINKED, u=node[:own], v=node[:own], gain=np.log(np.maximum(chance, 1e-300)))
 
     return run
 
@@ -158,7 +163,10 @@ def _sorted_pass(active: DataFrame, numbers: list[int], scratch: Scratch, thresh
         starts[part], total = total, total + sizes[part]
     begins = active.sparkSession.createDataFrame(list(starts.items()), "part long, begin long")
     rank = ranked.join(F.broadcast(begins), "part").select((F.col("begin") + F.col("at")).alias("rank"), "pass", "code", "node", "vec")
-    dealt = rank.withColumn("block", F.floor(F.col("rank") / block)).repartition("block").sortWithinPartitions("block", "rank")
+    # a vector in the first quarter of a block is also seen by the block before
+    seen = F.when((F.col("rank") % block < block // 4) & (F.col("rank") >= block), F.array(F.lit(0), F.lit(-1))).otherwise(F.array(F.lit(0)))
+    dealt = rank.withColumn("turn", F.explode(seen)).withColumn("block", F.floor(F.col("rank") / block) + F.col("turn"))
+    dealt = dealt.withColumn("own", F.col("turn") == 0).repartition("block").sortWithinPartitions("block", "rank")
     links = scratch.keep(dealt.mapInArrow(_blocks(threshold, (total - 1) // block), LINKED), f"links{numbers[0]}")
     scratch.drop(f"ranked{numbers[0]}")
     return links
@@ -194,7 +202,7 @@ def _all_pairs(active: DataFrame, n: int, scratch: Scratch, threshold: float) ->
 def _found(classes: DataFrame, scratch: Scratch, threshold: float, block: int, exact: int) -> DataFrame:
     """Links that join what is linked: passes while they are needed and cheaper, then all pairs of what is left."""
     active, n, done, found = classes, classes.count(), 0, []
-    while n > exact * max(2, done):
+    while n > exact * done:
         found.append(_sorted_pass(active, list(range(done, done + PER_JOB)), scratch, threshold, block))
         gains = reduce(DataFrame.union, found).filter("gain is not null").groupBy("u").agg(F.sum("gain").alias("gain"))
         left = gains.filter(F.col("gain") > float(np.log(MISS))).select(F.col("u").alias("node"))
@@ -202,7 +210,7 @@ def _found(classes: DataFrame, scratch: Scratch, threshold: float, block: int, e
         if done:
             scratch.drop(f"active{done - PER_JOB}")
         n, done = active.count(), done + PER_JOB
-    if n or not found:
+    if n or not found:  # an empty table has no passes
         found.append(_all_pairs(active, n, scratch, threshold))
     return reduce(DataFrame.union, found).filter("u <> v").select("u", "v")
 
