@@ -86,20 +86,25 @@ def align_spearman(spark, sf):
     return rounded(ranks.spearman(cells, ["dim"]), "spearman")
 
 
+#: tau-b by joining compressed cells with each other, from a view ``pooled``.
+TAU_PARTS = {
+    "cells": "select dim, pred as x, truth as y, count(*) as k from pooled group by dim, pred, truth",
+    "n": "select dim, cast(sum(k) as bigint) as n, cast(sum(k) as double) * (sum(k) - 1) / 2 as n0 from cells group by dim",
+    "tx": "select dim, sum(cast(k as double) * (k - 1) / 2) as t from (select dim, x, sum(k) as k from cells group by dim, x) group by dim",
+    "ty": "select dim, sum(cast(k as double) * (k - 1) / 2) as t from (select dim, y, sum(k) as k from cells group by dim, y) group by dim",
+    "c": """select a.dim, coalesce(sum(case when b.y > a.y then cast(a.k as double) * b.k end), 0) as conc,
+            coalesce(sum(case when b.y < a.y then cast(a.k as double) * b.k end), 0) as disc
+         from cells a join cells b on a.dim = b.dim and b.x > a.x group by a.dim""",
+}
+
+
 def _tau_sql(source_views: tuple[str, ...], pooled: str) -> str:
-    """tau-b by joining compressed cells with each other."""
     return sql(
         f"""select n.dim, n.n, {q6('(c.conc - c.disc) / (sqrt(n.n0 - tx.t) * sqrt(n.n0 - ty.t))')} as kendall
             from n join c using (dim) join tx using (dim) join ty using (dim)""",
         *source_views,
         pooled=pooled,
-        cells="select dim, pred as x, truth as y, count(*) as k from pooled group by dim, pred, truth",
-        n="select dim, cast(sum(k) as bigint) as n, cast(sum(k) as double) * (sum(k) - 1) / 2 as n0 from cells group by dim",
-        tx="select dim, sum(cast(k as double) * (k - 1) / 2) as t from (select dim, x, sum(k) as k from cells group by dim, x) group by dim",
-        ty="select dim, sum(cast(k as double) * (k - 1) / 2) as t from (select dim, y, sum(k) as k from cells group by dim, y) group by dim",
-        c="""select a.dim, coalesce(sum(case when b.y > a.y then cast(a.k as double) * b.k end), 0) as conc,
-                coalesce(sum(case when b.y < a.y then cast(a.k as double) * b.k end), 0) as disc
-             from cells a join cells b on a.dim = b.dim and b.x > a.x group by a.dim""",
+        **TAU_PARTS,
     )
 
 

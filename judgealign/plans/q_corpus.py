@@ -461,11 +461,13 @@ def stream_increment(spark, sf):
     base = shared_dir(spark, "increment")
 
     def evaluate(batch: DataFrame) -> DataFrame:
-        raw = batch.select(F.col("event_id").alias("item_id"), F.expr(_RAW).alias("raw"))
+        raw = batch.select("item_id", F.expr(_RAW.replace("event_id", "item_id")).alias("raw"))
         return raw.select("item_id", T.answer_score(F.col("raw")).alias("score"))
 
+    stream = _stream(spark, sf, "events").withColumnRenamed("event_id", "item_id")
+
     for run in ("a", "b"):  # the second run has a new checkpoint, so it sees every file again
-        incremental.run_increment(_stream(spark, sf, "events"), f"{base}/out", f"{base}/cp-{run}", evaluate).awaitTermination()
+        incremental.run_increment(stream, f"{base}/out", f"{base}/cp-{run}", evaluate).awaitTermination()
     schema = T_types.StructType().add("item_id", "long").add("score", "long")
     return incremental.stored(spark, f"{base}/out", schema)
 

@@ -296,3 +296,99 @@ def test_judge_failures_become_records(spark):
     df = spark.createDataFrame([(1, "x", "a"), (2, "bad", "b"), (3, "y", "c")], "item_id int, prompt string, audio_path string").coalesce(1)
     got = {r.item_id: (r.response, r.error) for r in run_judge(df, open_judge, "m").collect()}
     assert got == {1: ("X", False), 2: ("Error: boom", True), 3: ("Y", False)}
+
+
+def test_a_stored_key_never_reaches_the_judge(spark, tmp_path):
+    """Calls are counted where they happen, by lines that the judge itself writes."""
+    calls, out = tmp_path / "calls", str(tmp_path / "out")
+    calls.mkdir()
+
+    def open_judge(folder=str(calls)):
+        import os
+        import uuid
+
+        def judge(prompts, paths):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(prompts))
+            return [len(p) for p in prompts]
+
+        return judge
+
+    def asked() -> list[str]:
+        return sorted(line for f in calls.iterdir() for line in f.read_text().split("\n"))
+
+    def evaluate(rows):
+        return run_judge(rows, open_judge, "m").select("item_id", "response")
+
+    src = str(tmp_path / "in")
+    rows = [{"item_id": k % 40 if k % 41 else None, "prompt": f"p{k % 40 if k % 41 else None}", "audio_path": ""} for k in range(120)]
+    for part in range(3):
+        _lines(f"{src}/{part}.json", rows[part::3])
+    stream = incremental.stream_rows(spark, src, spark.createDataFrame([], "item_id int, prompt string, audio_path string").schema, files=1)
+    seen = []
+    for cp in ("a", "b"):
+        incremental.run_increment(stream, out, str(tmp_path / cp), evaluate, on_batch=lambda n, c: seen.append((c.arrived, c.judged))).awaitTermination()
+    want = sorted({r["prompt"] for r in rows})
+    assert asked() == want and sum(j for _, j in seen) == len(want)
+    assert [a for a, _ in seen] == [40] * 6 and all(j == 0 for _, j in seen[3:])
+    frame = spark.createDataFrame([(k, f"p{k}", "") for k in range(45)], "item_id int, prompt string, audio_path string")
+    assert incremental.evaluate_pending(frame, out, evaluate) == incremental.Counts(45, 5)
+    assert incremental.append_new(frame, out, evaluate=evaluate) == incremental.Counts(45, 0)
+    assert asked() == sorted({*want, *(f"p{k}" for k in range(45))})
+    files = [f for f in (tmp_path / "out").rglob("*.parquet")]
+    batches = 5 + 1  # no batch writes more than one file per part
+    per_part = {p: sum(f.parent.name == p for f in files) for p in {f.parent.name for f in files}}
+    assert max(per_part.values()) <= batches and len(per_part) <= incremental.PARTS
+
+
+def test_a_run_that_fails_leaves_nothing_and_is_resumed(spark, tmp_path):
+    out = str(tmp_path / "out")
+    frame = spark.range(50).withColumnRenamed("id", "item_id")
+
+    def fails(rows):
+        return rows.withColumn("score", F.when(F.col("item_id") == 33, F.raise_error(F.lit("stop"))).otherwise(F.col("item_id")))
+
+    with pytest.raises(Exception, match="stop"):
+        incremental.evaluate_pending(frame, out, fails)
+    schema = spark.createDataFrame([], "item_id long, score long").schema
+    assert incremental.stored(spark, out, schema).count() == 0
+    assert incremental.evaluate_pending(frame, out, lambda r: r.withColumn("score", F.col("item_id"))) == incremental.Counts(50, 50)
+    assert incremental.stored(spark, out, schema).count() == 50
+    # results of several rows per key, and of none
+    assert incremental.append_new(spark.createDataFrame([(60,), (61,)], "item_id long"), out, evaluate=lambda r: r.where("item_id = 60").select("item_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("score"))).judged == 2
+    assert incremental.stored(spark, out, schema).where("item_id >= 60").count() == 2
+    assert incremental.append_new(spark.createDataFrame([(60,), (61,)], "item_id long"), out, evaluate=lambda r: r.withColumn("score", F.lit(3).cast("long"))).judged == 1
+
+
+def test_running_tables_equal_batch_and_survive_folds(spark, tmp_path):
+    from judgealign.operators import ranks
+    from judgealign.operators.kendall import kendall
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [{"dim": "ab"[k % 2], "pred": float((k * 7) % 11), "truth": float((k * 5) % 4)} for k in range(90)]
+    for part in range(5):
+        _lines(f"{src}/{part}.json", rows[part::5])
+    frame = spark.createDataFrame(rows, "dim string, pred double, truth double")
+    stream = incremental.stream_rows(spark, src, frame.schema, files=1)
+    incremental.run_pairs(stream, out, str(tmp_path / "cp"), ["dim"], fold_every=2).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=4", "fold=3"]
+    got = {r.dim: r for r in incremental.running_agreement(spark, out, ["dim"]).collect()}
+    cells = ranks.count_pairs(frame, ["dim"])
+    rho = {r.dim: r.spearman for r in ranks.spearman(cells, ["dim"]).collect()}
+    tau = {r.dim: r.kendall for r in kendall(cells, ["dim"]).collect()}
+    sums = {r.dim: r for r in moments.agreement(frame, ["dim"]).collect()}
+    assert set(got) == set(sums) == {"a", "b", "OVERALL"}
+    for dim, r in got.items():
+        assert r.n == sums[dim].n and [r.pearson, r.mae] == pytest.approx([sums[dim].pearson, sums[dim].mae])
+        assert [r.spearman, r.kendall] == pytest.approx([rho[dim], tau[dim]])
+    # a fold that stopped halfway, and batches that a whole fold replaced, count for nothing
+    before = incremental.live_table(spark, out).count()
+    spark.read.parquet(f"{out}/fold=3").write.parquet(f"{out}/fold=9")
+    (tmp_path / "out" / "fold=9" / "_SUCCESS").unlink()
+    spark.read.parquet(f"{out}/batch=4").write.parquet(f"{out}/batch=2")
+    assert incremental.live_table(spark, out).count() == before
+    incremental.fold_batches(spark, out, lambda t: t.groupBy("dim", "x", "y").agg(F.sum("n").alias("n")))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["fold=4"]
+    assert incremental.live_table(spark, out).agg(F.sum("n")).first()[0] == 90
+    with pytest.raises(FileNotFoundError):
+        incremental.live_table(spark, str(tmp_path / "nothing"))
