@@ -109,7 +109,7 @@ def _brute_similar(items, pool, k):
     return out
 
 
-@pytest.mark.parametrize("shards, slices", [(1, 1), (3, 2), (20, 1)])
+@pytest.mark.parametrize("shards, slices", [(None, None), (1, 1), (3, 2), (20, 1)])
 def test_similar(spark, shards, slices):
     items = [(i, f"The w{i % 5} Quick w{i % 3}", f"s{i % 2}") for i in range(12)] + [(99, "", "none")]
     pool = [(100 + j, j, f"the w{j % 4} slow W{j % 3}", f"s{j % 3}") for j in (5, 1, 9, 3, 7, 0, 2)]
