@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,7 @@ from judgealign.plans.q_align import q6, rounded
 from judgealign.plans.q_text import lit
 from judgealign.schemas import REALISM_DIMS
 from judgealign.session import shared_dir, ship_with_tasks
-from judgealign.sources import readers, sinks
+from judgealign.sources import arrays, readers, sinks
 
 ship_with_tasks(__name__)
 
@@ -480,22 +480,47 @@ def source_folder(spark, sf):
     return read.select("id", F.col("specific_dimension").alias("dim"), F.col("model_score").cast("bigint").alias("model_score"), "probability_score")
 
 
+@query(
+    "source_array_records",
+    r"""select id, kind, note, user_id from (
+          select event_id as id, event_type as kind, user_id, concat('a"}{[', event_type, case when event_id % 7 = 0 then chr(92) else '' end) as note,
+            event_id // 5000 as chunk, row_number() over (partition by event_id // 5000 order by event_id desc) as k from events)
+        where chunk % 2 = 0 or k > 1""",
+)
+def source_array_records(spark, sf):
+    """Array files of thousands of records with braces in their texts; every second one ends inside its last record."""
+    base = shared_dir(spark, "records")
+    note = F.concat(F.lit('a"}{['), "event_type", F.when(F.col("event_id") % 7 == 0, F.lit("\\")).otherwise(F.lit("")))
+    record = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), note.alias("note"), F.struct("user_id", F.array(F.lit(1)).alias("list")).alias("who")))
+    rows = X.table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") / 5000).alias("chunk"), record.alias("record"))
+    w = Window.partitionBy("chunk").orderBy("event_id")
+    begin = F.when(F.lag("event_id").over(w).isNull(), F.lit("[")).otherwise(F.lit(""))
+    ends = F.lead("event_id").over(w).isNull()
+    short = F.expr("substring(record, 1, length(record) - 9)")
+    line = F.when(ends & (F.col("chunk") % 2 == 1), F.concat(begin, short)).when(ends, F.concat(begin, "record", F.lit("]"))).otherwise(F.concat(begin, "record", F.lit(",")))
+    lines = rows.select("chunk", "event_id", line.alias("value")).repartition("chunk").sortWithinPartitions("chunk", "event_id")
+    lines.select("chunk", "value").write.partitionBy("chunk").text(f"{base}/arrays")
+    found = arrays.read_records(spark, f"{base}/arrays/chunk=*/*.txt")
+    parsed = found.select(F.from_json("record", "id long, kind string, note string, who struct<user_id:long>").alias("r"))
+    return parsed.select("r.id", "r.kind", "r.note", "r.who.user_id")
+
+
 @query(
     "source_logs",
-    """select cast(r_regionkey as varchar) as iter, cast(r_regionkey * 0.5 as double) as sound, null::double as music, cast(r_regionkey / 4.0 as double) as speech,
-         cast((r_regionkey * 3 % 5) / 5.0 as double) as total_accuracy from region""",
+    """select cast(user_id % 40 as varchar) as iter, cast(count(*) * 0.5 as double) as sound, null::double as music, cast(max(event_id) / 4.0 as double) as speech,
+         cast((user_id % 40 * 3 % 7) / 5.0 as double) as total_accuracy from events group by user_id % 40""",
 )
 def source_logs(spark, sf):
-    """Accuracy logs of several iterations, one row each, best first."""
+    """Accuracy logs of several iterations, written by one partitioned write and read by one scan, one row each, best first."""
     base = shared_dir(spark, "logs")
-    lines = X.table(spark, sf, "region").select(
-        F.col("r_regionkey").cast("string").alias("run"),
-        F.explode(F.array(F.expr("concat('sound : ', r_regionkey * 0.5)"), F.lit("music : n/a"), F.expr("concat('speech : ', r_regionkey / 4.0)"),
-                          F.expr("concat('Total Accuracy: ', (r_regionkey * 3 % 5) / 5.0)"))).alias("value"),
+    runs = X.table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("test")).agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
+    lines = runs.select(
+        "test",
+        F.explode(F.array(F.expr("concat('sound : ', n * 0.5)"), F.lit("music : n/a"), F.expr("concat('speech : ', top / 4.0)"),
+                          F.expr("concat('Total Accuracy: ', (test * 3 % 7) / 5.0)"))).alias("value"),
     )
-    for run in range(5):  # the five regions
-        lines.where(F.col("run") == str(run)).select("value").write.text(f"{base}/test_{run}/eval_mmau_mini.txt")
-    return readers.leaderboard(readers.read_accuracy_logs(spark, base))
+    lines.write.partitionBy("test").text(f"{base}/runs")
+    return readers.leaderboard(readers.read_accuracy_logs(spark, f"{base}/runs", name="*", mark="test="))
 
 
 @query(

@@ -12,6 +12,7 @@ from judgealign import schemas
 from judgealign.functions.keys import result_key, truth_key
 from judgealign.functions.text import strict_json
 from judgealign.operators.align import last_wins
+from judgealign.sources.arrays import read_records
 
 CORRUPT = "_corrupt_record"
 
@@ -104,19 +105,18 @@ def missing_trials(results: DataFrame, trials: int = 5) -> list[int]:
 def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary", pattern: str = "*.json") -> DataFrame:
     """A folder of JSON array files, one per dimension, with ``source_file``.
 
-    An intact file is streamed record by record. Of a truncated one the reader returns the text, which is cut, see
-    :func:`salvage_arrays`. Every file is one task, as JSON arrays cannot be split; write them once to parquet for
-    repeated use.
+    Files of any size are cut into records by many tasks, and a truncated one keeps what the ``salvage`` rule says, see
+    :func:`~judgealign.sources.arrays.read_records`. A record with a value of the wrong type has its other fields; a
+    broken one has none and goes.
     """
     names = [f.name for f in schemas.DIMENSION_RESULT.fields]
     schema = T.StructType([*schemas.DIMENSION_RESULT.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
-    rows = reader.json(f"{directory.rstrip('/')}/{pattern}").withColumn("source_file", _file_name())
-    # a record with a value of the wrong type has its other fields; a file that ends early has none
-    empty = F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNull()
-    record = F.array(F.struct(*[F.col(f"`{n}`") for n in names]))
-    cut = F.when(F.col(CORRUPT).isNotNull() & empty, _salvaged(F.col(CORRUPT), schemas.DIMENSION_RESULT, salvage)).otherwise(record)
-    return rows.select("source_file", F.explode(cut).alias("_o")).select(*[F.col(f"_o.`{n}`") for n in names], "source_file")
+    records = read_records(spark, f"{directory.rstrip('/')}/{pattern}", salvage)
+    parsed = F.from_json("record", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = records.select(parsed.alias("_o"), F.url_decode(F.element_at(F.split("file", "/"), -1)).alias("source_file"))
+    empty = F.coalesce(*[F.col(f"_o.`{n}`").cast("string") for n in names]).isNull()
+    good = rows.where(~(F.col(f"_o.{CORRUPT}").isNotNull() & empty))
+    return good.select(*[F.col(f"_o.`{n}`") for n in names], "source_file")
 
 
 def salvage_arrays(texts: DataFrame, text: str, schema: T.StructType, rule: str = "boundary") -> DataFrame:
@@ -168,10 +168,14 @@ def leaderboard(accuracies: DataFrame, key: str = "iter") -> DataFrame:
     return accuracies.orderBy(F.col("total_accuracy").desc_nulls_last(), key)
 
 
-def read_accuracy_logs(spark: SparkSession, directory: str) -> DataFrame:
-    """``test_<iter>/eval_mmau_mini.txt`` logs as one row per iteration."""
-    lines = spark.read.text(f"{directory.rstrip('/')}/test_*/eval_mmau_mini.txt")
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/test_([^/]*)/eval_mmau_mini\.txt", 1)
+def read_accuracy_logs(spark: SparkSession, directory: str, name: str = "eval_mmau_mini.txt", mark: str = "test_") -> DataFrame:
+    """``test_<iter>/eval_mmau_mini.txt`` logs (files or folders of parts) as one row per iteration, by one scan.
+
+    ``mark`` and ``name`` are the parts of the path around the iteration; ``mark="test="`` and ``name="*"`` read a table that
+    was written partitioned by a column ``test``.
+    """
+    lines = spark.read.text(f"{directory.rstrip('/')}/{mark}*/{name}")
+    run = F.regexp_extract(F.col("_metadata.file_path"), ".*/" + re.escape(mark) + "([^/]*)/", 1)  # the innermost one
     return parse_accuracy_lines(lines.select(F.element_at(F.split(run, "_"), -1).alias("iter"), "value"))
 
 
