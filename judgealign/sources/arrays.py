@@ -33,6 +33,8 @@ _QUOTE, _BACK, _COMMA, _CLOSE = ord('"'), ord("\\"), ord(","), ord("}")
 _DEPTH = np.zeros(256, np.int64)
 _DEPTH[[ord("["), ord("{")]] = 1
 _DEPTH[[ord("]"), ord("}")]] = -1
+_MARK = _DEPTH != 0
+_MARK[[_QUOTE, _COMMA]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
 
@@ -50,23 +52,23 @@ def quotes_of(raw: np.ndarray) -> np.ndarray:
     return quote
 
 
-def outside_of(raw: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
-    """Which signs lie outside of strings (quotes excluded), and whether the end lies inside of one."""
-    turned = np.cumsum(quotes_of(raw)) + inside
-    return (turned % 2 == 0) & (raw != _QUOTE), bool(len(raw) and turned[-1] % 2) if len(raw) else inside
+def marks_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Places of the signs that matter, these signs, how many quotes have come up to each, and the number of quotes."""
+    place = np.flatnonzero(_MARK[raw])
+    sign = raw[place]
+    quote = sign == _QUOTE
+    if (raw == _BACK).any():
+        quote &= quotes_of(raw)[place]
+    turned = np.cumsum(quote, dtype=np.int32)
+    free = sign != _QUOTE
+    return place[free], sign[free], turned[free], int(turned[-1]) if len(turned) else 0
 
 
 def _joined(values: pa.Array) -> np.ndarray:
-    """Fragments in a line, each followed by the brace that it was cut at."""
-    values = values.cast(pa.large_binary())
+    """Fragments in a line, without a copy."""
     _, bounds, signs = values.buffers()
-    bounds = np.frombuffer(bounds, np.int64)[values.offset : values.offset + len(values) + 1]
-    sizes, data = np.diff(bounds), np.frombuffer(signs, np.uint8) if signs is not None else np.zeros(0, np.uint8)
-    out = np.full(int(sizes.sum()) + len(sizes), _CLOSE, np.uint8)
-    shift = np.repeat(np.arange(len(sizes)), sizes)
-    if len(shift):
-        out[np.arange(len(shift)) + shift] = data[bounds[0] : bounds[-1]]
-    return out
+    bounds = np.frombuffer(bounds, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(signs, np.uint8)[bounds[0] : bounds[-1]]
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, bool]]:
@@ -96,39 +98,41 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("inside", pa.bool_()), ("depth", pa.int64()), ("at", pa.int64())])
     fields = [("file", pa.string()), ("block", pa.int64()), ("file_size", pa.int64()), ("bytes", pa.int64()), ("odd", pa.bool_()), ("out_depth", pa.int64()), ("in_depth", pa.int64())]
     schema = pa.schema([*fields, ("first", pa.int32()), ("comma", pa.int64()), ("brace_comma", pa.int64()), ("commas", pa.list_(span))])
-    at, odd, first, comma, brace_comma, gap = 0, False, None, -1, -1, True
+    none = (0, 0, None, -1, -1)
+    at, quotes, first, comma, brace_comma = none
     depth, last = [0, 0], [{}, {}]
     for head, raw, ends in _ranges(batches):
+        place, sign, turned, number = marks_of(raw)
+        inside = (turned + quotes) % 2 == 1
         for case in (0, 1):
-            free, after = outside_of(raw, bool(case) ^ odd)
-            level = depth[case] + np.cumsum(np.where(free, _DEPTH[raw], 0))
-            where = np.flatnonzero(free & (raw == _COMMA))
-            for d in np.unique(level[where]).tolist():
-                last[case][d] = at + int(where[level[where] == d][-1])
+            free = inside == bool(case)  # outside of strings if the range begins in this case
+            kind, where = sign[free], place[free]
+            level = depth[case] + np.cumsum(_DEPTH[kind])
+            commas = np.flatnonzero(kind == _COMMA)
+            for d in np.unique(level[commas]).tolist():
+                last[case][d] = at + int(where[commas[level[commas] == d][-1]])
             depth[case] = int(level[-1]) if len(level) else depth[case]
-            if case == 0:
-                inside = after
-        odd = inside
-        solid = np.flatnonzero(~_BLANK[raw])
-        if first is None and len(solid):
-            first = int(raw[solid[0]])
-        where = np.flatnonzero(raw == _COMMA)
-        if len(where):
-            comma = at + int(where[-1])
-        # commas behind a brace; white space may lie between, also across batches (``gap``: only that since a brace)
-        kinds = raw[solid]
-        behind = np.flatnonzero((kinds[1:] == _COMMA) & (kinds[:-1] == _CLOSE)) + 1
-        if len(behind):
-            brace_comma = at + int(solid[behind[-1]])
-        elif len(kinds) and kinds[0] == _COMMA and gap:
-            brace_comma = at + int(solid[0])
-        gap = bool(kinds[-1] == _CLOSE) if len(kinds) else gap
+        quotes += number
+        if first is None:
+            solid = np.flatnonzero(~_BLANK[raw])
+            first = int(raw[solid[0]]) if len(solid) else None
+        commas = np.flatnonzero(raw == _COMMA)
+        if len(commas):
+            comma = at + int(commas[-1])
+            braces = np.flatnonzero(raw == _CLOSE)
+            # the last comma with nothing but white space between it and a brace; a batch before ends with a brace
+            for c in commas[::-1].tolist():
+                k = int(np.searchsorted(braces, c)) - 1
+                begin = int(braces[k]) + 1 if k >= 0 else 0
+                if (k >= 0 or at) and _BLANK[raw[begin:c]].all():
+                    brace_comma = at + c
+                    break
         at += len(raw)
         if ends:
-            commas = [{"inside": bool(case), "depth": d, "at": p} for case in (0, 1) for d, p in last[case].items()]
-            row = [head["file"], head["block"], head["file_size"], at, odd, depth[0], depth[1], first, comma, brace_comma, commas]
+            spans = [{"inside": bool(case), "depth": d, "at": p} for case in (0, 1) for d, p in last[case].items()]
+            row = [head["file"], head["block"], head["file_size"], at, quotes % 2 == 1, depth[0], depth[1], first, comma, brace_comma, spans]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-            at, odd, first, comma, brace_comma, gap = 0, False, None, -1, -1, True
+            at, quotes, first, comma, brace_comma = none
             depth, last = [0, 0], [{}, {}]
 
 
@@ -189,16 +193,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = head["base"]
         if ends and head["bare"]:
             raw = raw[:-1]
-        free, inside = outside_of(raw, inside)
-        level = depth + np.cumsum(np.where(free, _DEPTH[raw], 0))
+        place, marks, turned, number = marks_of(raw)
+        free = (turned + inside) % 2 == 0
+        inside = bool((number + inside) % 2)
+        place, marks = place[free], marks[free]
+        level = depth + np.cumsum(_DEPTH[marks])
         depth = int(level[-1]) if len(level) else depth
         if base:
-            border = free & (((raw == _COMMA) & (level == 1)) | ((raw == ord("[")) & (level == 1)) | ((raw == ord("]")) & (level == 0)))
+            border = ((marks == _COMMA) & (level == 1)) | ((marks == ord("[")) & (level == 1)) | ((marks == ord("]")) & (level == 0))
         else:
-            border = free & (_DEPTH[raw] < 0) & (level == 0)
-        where = np.flatnonzero(border)
+            border = (_DEPTH[marks] < 0) & (level == 0)
         whole, at, rows = raw.tobytes(), 0, []
-        for p, sign in zip(where.tolist(), raw[where].tolist(), strict=True):
+        for p, sign in zip(place[border].tolist(), marks[border].tolist(), strict=True):
             held.append(whole[at : p if base else p + 1])
             rows.append((head["file"], head["block"], seq, b"".join(held), opens, True, element, sign == _COMMA))
             held, at, seq, opens, element = [], p + 1, seq + 1, True, not base or sign != ord("]")
@@ -211,9 +217,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """What the text reader cuts at closing braces, each with a brace behind it, and the byte range that it begins in."""
     text = spark.read.option("lineSep", "}").text(path)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size")]
-    return text.select(F.col("value").cast("binary").alias("value"), *place)
+    return text.select(F.concat(F.col("value").cast("binary"), F.lit(b"}")).alias("value"), *place)
 
 
 def read_records(spark: SparkSession, path: str | list[str], rule: str = "boundary") -> DataFrame:
