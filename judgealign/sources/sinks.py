@@ -58,3 +58,18 @@ def write_variations(variations: DataFrame, path: str, if_exists: str = "force")
         return variations.agg(F.count("*").alias("total_variations"), F.current_date().alias("generation_date"))
     one = variations.sparkSession.range(1)
     return one.select(F.lit(seen.get["total"]).cast("bigint").alias("total_variations"), F.current_date().alias("generation_date"))
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: str | list[str], buckets: int | None = None) -> DataFrame:
+    """Rows as a table that is bucketed and sorted by its keys; returns the table.
+
+    A truth table that many runs are held against is written like this once. A join or an aggregate on the keys
+    reads the buckets as they are, so only the side of the new results is shuffled, if its shuffle has as many
+    partitions (default: the session's). One task writes one bucket.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
