@@ -253,3 +253,24 @@ def test_large_offsets_do_not_cancel(spark):
         assert got["a"].r2 == pytest.approx(1 - ((p - g) ** 2).sum() / ((g - g.mean()) ** 2).sum(), abs=1e-6)
         both = np.corrcoef(np.r_[p, p[:40]], np.r_[g, g[:40]])[0, 1]
         assert got["OVERALL"].pearson == pytest.approx(both, abs=1e-6)
+
+
+def test_concordant_pairs_equal_a_count_of_all_pairs(spark):
+    from judgealign.operators import kendall as K
+    from judgealign.operators import ranks
+
+    rng = np.random.default_rng(6)
+    for size, values in ((1, 3), (40, 4), (60, 50), (200, 1)):
+        x, y, n = rng.integers(0, values, size).astype(float), rng.integers(0, values + 2, size) / 3, rng.integers(1, 9, size)
+        want = sum(int(n[i] * n[j]) for i in range(size) for j in range(size) if x[i] < x[j] and y[i] < y[j])
+        assert K.count_concordant(x, y, n) == want
+        assert K.count_concordant(x, y, n << 40) == want << 80  # beyond 64 bits
+        assert K._tied_pairs(x, n << 40, int(n.sum()) << 40) == sum(v * (v - 1) // 2 for v in (int(n[x == u].sum()) << 40 for u in np.unique(x)))
+    rows = [("a b", float(rng.integers(0, 5)), float(rng.integers(0, 4))) for _ in range(300)] + [("c", 1.0, float(k)) for k in range(5)] + [(None, 1.0, 2.0), (None, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "`the dim` string, pred double, truth double")
+    both = [K.kendall(ranks.count_pairs(df, ["the dim"], overall=False, bounded=b), ["the dim"]) for b in (True, False)]
+    got, other = ({r["the dim"]: tuple(r)[1:] for r in k.collect()} for k in both)
+    assert {k: v for k, v in got.items() if k} == other  # joins of the large way leave a null group out
+    assert got[None][-1] == 1.0 and got["c"][-1] is None
+    empty = ranks.count_pairs(df.limit(0), ["the dim"], overall=False, bounded=True)
+    assert K.kendall(empty, ["the dim"]).count() == 0
