@@ -1,7 +1,9 @@
 """Descriptive statistics with exact quantiles, histograms and box tables.
 
 Everything works on the compressed table (keys, value, count); an exact quantile is the value whose running
-count covers the wanted position, so no task holds all values of a group.
+count covers the wanted position. Groups of any size are narrowed down by the bits of the value: counts per leading bits tell
+which of them hold a wanted rank, and only the values that share these go into the next count. So no task holds
+all values of a group, and no values are sorted but the few that share all but the last 21 bits with a quantile.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgealign.operators.ranks import Compressed, running_counts
+from judgealign.operators.ranks import Compressed, order_bits
 from judgealign.schemas import OVERALL
 
 
@@ -25,28 +27,57 @@ def count_values(
     return Compressed(rows.groupBy(*keys, "v").agg(F.count("*").alias("n")), bounded)
 
 
+def _before(cols: list[str], order: str) -> Column:
+    """Counts of the earlier rows of a window."""
+    w = Window.partitionBy(*cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("n").over(w), F.lit(0))
+
+
+def _narrowed(values: DataFrame, hits: DataFrame, cell: list[str], finer: str) -> DataFrame:
+    """The rows of the cells that hold wanted ranks, counted by a finer cell; ranks count from the cell's beginning."""
+    # an inner join with different cells: a semi join would go below the count of values, which then could not be shared
+    inside = values.join(hits.select(*cell).distinct(), cell).groupBy(*cell, finer).agg(F.sum("n").alias("n"))
+    counted = inside.withColumn("_before", _before(cell, finer)).join(hits, cell)
+    found = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("n"))
+    return counted.where(found).withColumn("_rank", F.col("_rank") - F.col("_before")).drop("n", "_before")
+
+
+def _selected(values: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
+    """``(keys, _i, _total, v)``: the values at the ranks below (2 i) and above (2 i + 1) the i-th quantile's position."""
+    bits = order_bits(F.col("v"))
+    cells = values.withColumns({"_c1": F.shiftright(bits, 42), "_c2": F.shiftright(bits, 21)})
+    top = cells.groupBy(*keys, "_c1").agg(F.sum("n").alias("n"))
+    ranked = top.withColumns({"_before": _before(keys, "_c1"), "_total": F.sum("n").over(Window.partitionBy(*keys))})
+    ranks = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_total") - 1) * F.lit(float(q))
+        for k, r in ((2 * i, F.floor(pos)), (2 * i + 1, F.ceil(pos))):
+            ranks.append(F.struct(F.lit(k).alias("_i"), (r.cast("bigint") - F.col("_before")).alias("_rank")))
+    here = F.filter(F.array(*ranks), lambda s: (s["_rank"] >= 0) & (s["_rank"] < F.col("n")))
+    hits = ranked.select(*keys, "_c1", "_total", F.inline(here))
+    hits = _narrowed(cells, hits, [*keys, "_c1"], "_c2").drop("_c1")
+    return _narrowed(cells, hits, [*keys, "_c2"], "v").select(*keys, "_i", "_total", "v")
+
+
 def quantiles(values: Compressed, keys: list[str], qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation between neighbours, one column per entry of ``qs``."""
     if values.bounded:
-        ranked = running_counts(values.df, keys, "v", ["n"], True).withColumn(
-            "_total", F.sum("n").over(Window.partitionBy(*keys))
-        )
+        ranked = values.df.withColumns({"_before": _before(keys, "v"), "_total": F.sum("n").over(Window.partitionBy(*keys))})
+
+        def at(k: int, position: Column) -> Column:
+            inside = (F.col("_before") <= position) & (position < F.col("_before") + F.col("n"))
+            return F.max(F.when(inside, F.col("v")))
+
     else:
-        totals = values.df.groupBy(*keys).agg(F.sum("n").alias("_total"))
-        ranked = running_counts(values.df, keys, "v", ["n"]).join(totals, keys)
+        ranked = _selected(values.df, keys, list(qs.values()))
 
-    def at(position: Column) -> Column:
-        inside = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
-        return F.max(F.when(inside, F.col("v")))
+        def at(k: int, position: Column) -> Column:
+            return F.max(F.when(F.col("_i") == k, F.col("v")))
 
     aggs = []
-    for name, q in qs.items():
+    for i, (name, q) in enumerate(qs.items()):
         pos = (F.col("_total") - 1) * F.lit(float(q))
-        aggs += [
-            at(F.floor(pos)).alias(f"_lo_{name}"),
-            at(F.ceil(pos)).alias(f"_hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_w_{name}"),
-        ]
+        aggs += [at(2 * i, F.floor(pos)).alias(f"_lo_{name}"), at(2 * i + 1, F.ceil(pos)).alias(f"_hi_{name}"), F.max(pos - F.floor(pos)).alias(f"_w_{name}")]
     lerp = [
         (F.col(f"_lo_{m}") + (F.col(f"_hi_{m}") - F.col(f"_lo_{m}")) * F.col(f"_w_{m}")).alias(m) for m in qs
     ]

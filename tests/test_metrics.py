@@ -274,3 +274,20 @@ def test_concordant_pairs_equal_a_count_of_all_pairs(spark):
     assert got[None][-1] == 1.0 and got["c"][-1] is None
     empty = ranks.count_pairs(df.limit(0), ["the dim"], overall=False, bounded=True)
     assert K.kendall(empty, ["the dim"]).count() == 0
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_quantiles_equal_numpy(spark, bounded):
+    rng = np.random.default_rng(7)
+    groups = {
+        "wide": np.r_[rng.normal(0, 1e6, 400), rng.normal(0, 1e-6, 300), -0.0, 0.0], "close": 1e9 + rng.integers(0, 50, 500) / 1024,
+        "ties": rng.integers(-3, 3, 700).astype(float), "one": np.array([4.25]), "two": np.array([-1.0, 1e300]), "same": np.full(40, -7.5),
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("close", None), ("close", float("nan"))]
+    values = describe.count_values(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", bounded=bounded)
+    qs = {"low": 0.0, "a": 0.1, "q25": 0.25, "median": 0.5, "q99": 0.99, "high": 1.0}
+    got = {r["g"]: r for r in describe.quantiles(values, ["g"], qs).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, q in qs.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, q), rel=1e-12, abs=1e-12), (g, name)
