@@ -119,12 +119,28 @@ def _contexts(length: int):
 _TEXTS = "h long, doc_id long, tk long, lo int, odd boolean, hot boolean, body binary"
 
 
+def _new_rows(batch: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+    """The rows that differ in their document from the row before, the first one from ``last``.
+
+    A merge join hands a task the repeated rows of a document one behind the other, so their contexts are cut once.
+    """
+    if not batch.num_rows:
+        return batch, last
+    ids, tk = batch.column("doc_id"), batch.column("tk").to_numpy()
+    null, number = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    change = (tk[1:] != tk[:-1]) | (number[1:] != number[:-1]) | (null[1:] != null[:-1])
+    new = np.r_[(tk[0], number[0], null[0]) != last, change]
+    return (batch if new.all() else batch.filter(pa.array(new))), (tk[-1], number[-1], null[-1])
+
+
 def _cut(length: int):
     """The bytes of the wanted contexts of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("lo", pa.int32()), ("odd", pa.bool_()), ("hot", pa.bool_()), ("body", pa.binary())])
+        last = None
         for batch in batches:
+            batch, last = _new_rows(batch, last)
             for part in slices(batch, "body", 1 << 21):
                 wanted = part.column("wanted")
                 row = pa.array(np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False)))
@@ -184,7 +200,7 @@ def longest_factors(buffer: np.ndarray, starts: np.ndarray, length: int, later:
 
 
 def _once(part: pa.RecordBatch) -> pa.RecordBatch:
-    """One row per place, from rows in order: repeated rows of a document bring their contexts as often."""
+    """One row per place, from rows in order: several tasks may have cut the repeated rows of one document."""
     if part.num_rows < 2:
         return part
     ids = part.column("doc_id")
@@ -200,7 +216,7 @@ def _factors(length: int, later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in groups(batches, ["h"], BLOCK):
             for part in block.to_batches():
-                part = part if later else _once(part)
+                part = _once(part)
                 raw, offsets = body_of(part.column("body"))
                 counts = np.diff(offsets) - length + 1
                 row = np.repeat(np.arange(len(counts)), counts)

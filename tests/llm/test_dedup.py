@@ -315,8 +315,6 @@ def test_small_tables_go_through_passes(spark, monkeypatch):
 
 def test_neighbours_across_a_border_meet(spark):
     """One pass alone finds all links up to a quarter of a block apart in its order."""
-    from judgealign.llm.store import Scratch
-
     rng = np.random.default_rng(9)
     vec = rng.standard_normal((300, 8))
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vec)], "node long, vec array<double>")
@@ -359,3 +357,19 @@ def test_float_vectors_of_the_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
     got = embedding_dedup.near_vectors(frame.withColumn("embedding", F.col("embedding")))
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got.collect()) == vector_brute(rows)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeated_rows_bring_their_contexts_once(spark, monkeypatch, keep):
+    cut = []
+    stay = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: cut.append(stay(self, df, name)) or cut[-1] if name == "texts" else stay(self, df, name))
+    rng = np.random.default_rng(2)
+    text = "".join(chr(97 + c) for c in rng.integers(0, 26, 900))
+    edited = text[:450] + "#" + text[451:]
+    docs = spark.createDataFrame([(1, text)] * 20_000 + [(2, edited)], "doc_id long, text string").repartition(7)
+    spans = {r["doc_id"]: suffix_dedup.merged_spans(*np.array([tuple(s) for s in r["spans"]]).T) for r in suffix_dedup.repeated_spans(docs, keep=keep).collect()}
+    rows = cut[0].groupBy("h").count().agg(F.max("count")).first()[0]
+    assert rows is None or rows <= 2 * 8  # not one per repeated row
+    assert spans[2] == [(0, 450), (451, 900)]
+    assert spans.get(1) == ([(0, 900)] if keep == "none" else None)
