@@ -2,7 +2,7 @@
 
 A rule is a host and a path prefix. Host labels are reversed (``example.com`` becomes ``com.example``), so a rule's
 host covers an interval of canonical hosts, and its path an interval of paths. Every distinct URL is dealt to the
-canonical hosts above it that carry rules; there its path is swept, in order, together with the starts of the rule
+canonical hosts above it (of as many labels as the deepest rule at most) that carry rules; there its path is swept, in order, together with the starts of the rule
 intervals. Intervals of prefixes are nested or disjoint, so the rules that hold at a path are the stack of the last
 started rule: this stack is prepared per rule, carried along the order by a window, and cut by the prefixes that
 have already ended. The longest rule over all hosts wins.
@@ -39,10 +39,12 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.")), ".")
 
 
-def canonical_hosts(host: Column) -> Column:
-    """The reversed host and all reversed hosts above it."""
+def canonical_hosts(host: Column, deepest: Column) -> Column:
+    """The reversed host and the reversed hosts above it, of ``deepest`` labels at most."""
     labels = F.reverse(F.split(host, r"\."))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
+    # the labels are bound once, and a host of very many labels has no more entries than the deepest rule has labels
+    few = F.transform(F.array(F.slice(labels, F.lit(1), F.greatest(deepest, F.lit(0)))), lambda top: F.transform(top, lambda _, n: F.array_join(F.slice(top, F.lit(1), n + 1), ".")))
+    return F.get(few, F.lit(0))
 
 
 def rule_stacks(rules: DataFrame) -> DataFrame:
@@ -63,7 +65,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", split
     splits = splits or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stacks = rule_stacks(rules)
     urls = pages.select(F.col("url").alias("u")).filter(F.col("u").contains("://")).distinct()
-    places = urls.select("u", path_of(F.col("u")).alias("path"), F.explode(canonical_hosts(host_of(F.col("u")))).alias("canon"))
+    deepest = F.coalesce(stacks.agg(F.max(F.size(F.split("canon", r"\.")))).scalar(), F.lit(0))
+    urls = urls.withColumn("deepest", deepest)
+    places = urls.select("u", path_of(F.col("u")).alias("path"), F.explode(canonical_hosts(host_of(F.col("u")), F.col("deepest"))).alias("canon"))
     ruled = places.join(stacks.select("canon").distinct(), "canon", "left_semi")
     starts = stacks.select("canon", "path", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"), F.lit(None).cast("string").alias("u"), "stack")
     stops = ruled.select("canon", "path", F.pmod(F.xxhash64("u"), F.lit(splits)).cast("int").alias("part"), "u", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
