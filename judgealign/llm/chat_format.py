@@ -7,8 +7,9 @@ Format (markers are fixed values of the template)::
 Every marker begins with ``<`` or ``[``. Inside roles and texts the characters ``\\``, ``<`` and ``[`` are written
 ``\\b``, ``\\l`` and ``\\s``, so no text can hold a marker, and the way back is exact.
 
-A conversation is one row of the result and is put together in one task: it must fit into a row. The number of
-conversations is not limited, and no other grouping takes place.
+A conversation is one row of the result and is put together in one task: it must fit into a row. Turns are merged by
+comparing neighbours, and starts are running sums in chunks, so the work is near to linear in the number of turns. The
+number of conversations is not limited, and no other grouping takes place.
 
 Defined results: a null text or role is empty; turns are ordered by ``turn`` (null first), equal turns by role and
 text, and repeated rows all stay; a null ``conv_id`` is a conversation of its own; extra columns are ignored; an
@@ -31,45 +32,59 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\s"), F.lit("[")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
-def merged(turns: Column) -> Column:
-    """Blocks of neighbouring turns of one role: ``array<struct<role, texts>>``."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        return F.when(last["role"] == turn["role"], F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(grown))).otherwise(
-            F.concat(blocks, F.array(fresh))
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as the entry of an array of one; lambdas inside only refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Entries that one aggregate over an array appends to an array, which Spark copies each time.
+CHUNK = 256
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sum of all entries up to each one, of an array column; chunks keep the work near to linear."""
+
+    def chunked(all_sizes: Column) -> Column:
+        return F.when(F.size(all_sizes) > 0, F.transform(F.sequence(F.lit(1), F.size(all_sizes), F.lit(CHUNK)), lambda at: F.slice(all_sizes, at, F.lit(CHUNK)))).otherwise(
+            F.array().cast("array<array<int>>")
         )
 
-    return F.aggregate(turns, empty, add)
+    def summed(values: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(values, begin, lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["sums"], F.array(s["at"] + v)).alias("sums")), lambda s: s["sums"])
 
+    def joined(both: Column) -> Column:
+        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(both["ends"], k - 1))
+        return F.flatten(F.transform(both["chunks"], lambda chunk, k: summed(chunk, start(k))))
 
-def render(block: Column) -> Column:
-    return F.concat(F.lit(OPEN), escape(block["role"]), F.lit(TEXT), F.array_join(F.transform(block["texts"], escape), NEXT), F.lit(CLOSE))
+    def with_ends(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v))
+        return F.struct(chunks.alias("chunks"), summed(totals, F.lit(0)).alias("ends"))
 
+    return bound(sizes, lambda all_sizes: bound(chunked(all_sizes), lambda chunks: bound(with_ends(chunks), joined)))
 
-def text_spans(blocks: Column, loss_roles: list[str]) -> Column:
-    """Start (from 0) and length, in code points of the formatted string, of every text under the loss mask."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
-    def add(state: Column, block: Column) -> Column:
-        first = state["at"] + len(OPEN) + F.length(escape(block["role"])) + len(TEXT)
-        begin = F.struct(first.alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+def merged(turns: Column) -> Column:
+    """Per turn ``head, text, tail, role``: a turn opens a block where its role differs from the one before, closes it where it
+    differs from the next one, and is marked as a further text of its block elsewhere."""
+
+    def piece(turn: Column, i: Column) -> Column:
+        opens = (i == 0) | (F.get(turns, i - 1)["role"] != turn["role"])
+        closes = (i + 1 == F.size(turns)) | (F.get(turns, i + 1)["role"] != turn["role"])
+        head = F.when(opens, F.concat(F.lit(OPEN), escape(turn["role"]), F.lit(TEXT))).otherwise(F.lit(NEXT))
+        return F.struct(head.alias("head"), escape(turn["text"]).alias("text"), F.when(closes, F.lit(CLOSE)).otherwise(F.lit("")).alias("tail"), turn["role"].alias("role"))
 
-        def text(inner: Column, one: Column) -> Column:
-            size = F.length(escape(one))
-            return F.struct(
-                (inner["at"] + size + len(NEXT)).alias("at"),
-                F.concat(inner["spans"], F.array(F.struct(inner["at"].alias("start"), size.alias("length")))).alias("spans"),
-            )
+    return F.transform(turns, piece)
 
-        done = F.aggregate(block["texts"], begin, text)
-        spans = F.when(block["role"].isin(loss_roles), F.concat(state["spans"], done["spans"])).otherwise(state["spans"])
-        return F.struct((done["at"] - len(NEXT) + len(CLOSE)).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(blocks, start, add)["spans"]
+def text_spans(pieces: Column, ends: Column, loss_roles: list[str]) -> Column:
+    """Start (from 0) and length, in code points of the formatted string, of every text under the loss mask."""
+
+    def span(p: Column, i: Column) -> Column:
+        size = F.length(p["text"])
+        return F.when(p["role"].isin(loss_roles), F.struct((F.get(ends, i) - F.length(p["tail"]) - size).alias("start"), size.alias("length")))
+
+    return F.filter(F.transform(pieces, span), lambda s: s.isNotNull())
 
 
 def format_conversations(turns: DataFrame, loss_roles: list[str] | None = None) -> DataFrame:
@@ -77,8 +92,15 @@ def format_conversations(turns: DataFrame, loss_roles: list[str] | None = None)
     roles = loss_roles or ["assistant"]
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = ordered.select("conv_id", merged(F.col("turns")).alias("blocks"))
-    return blocks.select("conv_id", F.array_join(F.transform("blocks", render), "").alias("formatted"), text_spans(F.col("blocks"), roles).alias("loss_spans"))
+    size = lambda p: F.length(p["head"]) + F.length(p["text"]) + F.length(p["tail"])
+    text = lambda p: F.concat(p["head"], p["text"], p["tail"])
+
+    def made(pieces: Column) -> Column:
+        spans = bound(running_sums(F.transform(pieces, size)), lambda ends: text_spans(pieces, ends, roles))
+        return F.struct(F.array_join(F.transform(pieces, text), "").alias("formatted"), spans.alias("loss_spans"))
+
+    done = ordered.select("conv_id", bound(F.col("turns"), lambda turns: bound(merged(turns), made)).alias("made"))
+    return done.select("conv_id", "made.formatted", "made.loss_spans")
 
 
 def read_back(formatted: Column) -> Column:
@@ -97,7 +119,9 @@ def read_back(formatted: Column) -> Column:
 def digests(formatted: DataFrame) -> DataFrame:
     """Counts and hashes read back from the formatted strings and their masks."""
     turns = F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # four bytes per code point, so a span is found without a walk over the text before it
+    cut = lambda wide: F.transform("loss_spans", lambda s: unescape(F.decode(F.substr(wide, s["start"] * 4 + 1, s["length"] * 4), "UTF-32")))
+    loss = F.array_join(bound(F.encode("formatted", "UTF-32"), cut), "")
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from judgealign.llm import catalog, chat_format, host_rules, line_dedup, q_rules, url_filter
 from tests import oracle
@@ -136,3 +138,37 @@ def test_bitmaps_are_small_and_exact(spark):
     for row in line_dedup.line_bitmaps(docs, min_docs=3, keep="none").collect():
         bits = np.unpackbits(np.frombuffer(zlib.decompress(row["keep"]), np.uint8), count=row["n_lines"])
         assert bits.tolist() == [0] * 9 + [1]
+
+
+def test_hosts_of_very_many_labels_and_rules_of_several_depths(spark):
+    rules = spark.createDataFrame([("example.com", "/de/", "block"), ("a.example.com", "/", "allow"), ("com", "/x", "block")], "host string, path string, verdict string")
+    deep = ".".join(["b"] * 60_000) + ".a.example.com"
+    rows = [(1, f"http://{deep}/de/x"), (2, "http://example.com/de/"), (3, "http://com/xy"), (4, "http://b.com/x"), (5, "http://.com/x"), (6, "http://nothing")]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    start = time.perf_counter()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert time.perf_counter() - start < 30
+    assert got == {1: ("example.com/de/", "block"), 2: ("example.com/de/", "block"), 3: ("com/x", "block"), 4: ("com/x", "block"), 5: ("com/x", "block"), 6: (None, "allow")}
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    n = 64_000
+    turns = spark.range(n).select(
+        F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t[<\\é "), "id").alias("text")
+    )
+    start = time.perf_counter()
+    row = chat_format.digests(chat_format.format_conversations(turns)).first()
+    assert time.perf_counter() - start < 60
+    texts = [f"t[<\\é {k}" for k in range(n)]
+    said = "".join(f"{'assistant' if k % 3 else 'user'}\n{t}\n" for k, t in enumerate(texts))
+    loss = "".join(t for k, t in enumerate(texts) if k % 3)
+    assert row["n_turns"] == n and row["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert row["loss_chars"] == len(loss) and row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = [(k * 7) % 11 for k in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        assert df.select(chat_format.running_sums(F.col("v"))).first()[0] == np.cumsum(values, dtype=int).tolist()
