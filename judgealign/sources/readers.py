@@ -21,6 +21,11 @@ def _file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
+def _decoded(name: Column) -> Column:
+    """A file name as it is, from its form in a path."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Parsed lines in ``j`` (a bad line has its text in ``j._corrupt_record``), with the place of each line.
 
@@ -102,18 +107,53 @@ def missing_trials(results: DataFrame, trials: int = 5) -> list[int]:
 # ---- folders of JSON arrays ------------------------------------------------------------------------------
 
 
-def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary", pattern: str = "*.json") -> DataFrame:
+def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary", pattern: str = "*.json", large: int | None = None) -> DataFrame:
     """A folder of JSON array files, one per dimension, with ``source_file``.
 
-    Files of any size are cut into records by many tasks, and a truncated one keeps what the ``salvage`` rule says, see
-    :func:`~judgealign.sources.arrays.read_records`. A record with a value of the wrong type has its other fields; a
-    broken one has none and goes.
+    A file of up to ``large`` bytes (default: what one task reads of a file) is streamed record by record in one task; larger
+    ones are cut into records by many tasks, see :func:`~judgealign.sources.arrays.read_records`. Of a truncated file both
+    ways keep what the ``salvage`` rule says. A record with a value of the wrong type has its other fields. Of a file that is
+    broken in its middle the first way keeps nothing, the second loses the broken records.
     """
+    if large is None:
+        large = int(re.match(r"\d+", spark.conf.get("spark.sql.files.maxPartitionBytes"))[0])
+    sizes = _sizes(spark, f"{directory.rstrip('/')}/{pattern}")
+    small, big = ([p for p, size in sizes if (size > large) == over] for over in (False, True))
+    parts = [_streamed_folder(spark, small, salvage)] if small or not big else []
+    parts += [_cut_folder(spark, big, salvage)] if big else []
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
+def _sizes(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """Paths, without the meaning of glob characters, and bytes of the files that a pattern matches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    files = [(f.getPath(), f.getLen()) for f in found if not f.isDirectory() and not f.getPath().getName().startswith(("_", "."))]
+    if not files:
+        raise FileNotFoundError(pattern)
+    return sorted((f"{p.getParent().toString()}/{_plain(p.getName())}", n) for p, n in files)
+
+
+def _folder_fields() -> tuple[list[str], T.StructType]:
     names = [f.name for f in schemas.DIMENSION_RESULT.fields]
-    schema = T.StructType([*schemas.DIMENSION_RESULT.fields, T.StructField(CORRUPT, T.StringType())])
-    records = read_records(spark, f"{directory.rstrip('/')}/{pattern}", salvage)
+    return names, T.StructType([*schemas.DIMENSION_RESULT.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _streamed_folder(spark: SparkSession, paths: list[str], salvage: str) -> DataFrame:
+    names, schema = _folder_fields()
+    reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
+    rows = reader.json(paths).withColumn("source_file", _decoded(_file_name()))
+    # a record with a value of the wrong type has its other fields; a file that ends early has none
+    empty = F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNull()
+    record = F.array(F.struct(*[F.col(f"`{n}`") for n in names]))
+    cut = F.when(F.col(CORRUPT).isNotNull() & empty, _salvaged(F.col(CORRUPT), schemas.DIMENSION_RESULT, salvage)).otherwise(record)
+    return rows.select("source_file", F.explode(cut).alias("_o")).select(*[F.col(f"_o.`{n}`") for n in names], "source_file")
+
+
+def _cut_folder(spark: SparkSession, paths: list[str], salvage: str) -> DataFrame:
+    names, schema = _folder_fields()
     parsed = F.from_json("record", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = records.select(parsed.alias("_o"), F.url_decode(F.element_at(F.split("file", "/"), -1)).alias("source_file"))
+    rows = read_records(spark, paths, salvage).select(parsed.alias("_o"), _decoded(F.element_at(F.split("file", "/"), -1)).alias("source_file"))
     empty = F.coalesce(*[F.col(f"_o.`{n}`").cast("string") for n in names]).isNull()
     good = rows.where(~(F.col(f"_o.{CORRUPT}").isNotNull() & empty))
     return good.select(*[F.col(f"_o.`{n}`") for n in names], "source_file")

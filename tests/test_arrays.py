@@ -71,15 +71,23 @@ def test_records_across_ranges(spark, tmp_path, small_ranges, rule):
     assert got == {n: v for n, v in want.items() if v}
 
 
-def test_folder_reader_reads_one_file_by_many_tasks(spark, tmp_path, small_ranges):
+@pytest.mark.parametrize("large", [None, 0, 1 << 20])
+def test_folder_readers_agree(spark, tmp_path, small_ranges, large):
     good = [{"id": f"i{k}", "specific_dimension": "d", "model_score": k, "char_profile": "}]" * (k % 9)} for k in range(200)]
     text = json.dumps(good)
-    (tmp_path / "a b.json").write_text(text)
+    (tmp_path / "a [b].json").write_text(text)
     (tmp_path / "cut.json").write_text(text[:-5])
-    (tmp_path / "wrong.json").write_text('[{"id": "w", "model_score": "no"}, {"id": }, 7, {"id": "x"}]')
-    rows = readers.read_folder(spark, str(tmp_path)).collect()
+    (tmp_path / "short.json").write_text('[{"id": "w", "model_score": "no"}, {"id": "x"}]')
+    rows = readers.read_folder(spark, str(tmp_path), large=large).collect()
     of = {name: sorted((r.id for r in rows if r.source_file == name), key=str) for name in {r.source_file for r in rows}}
-    assert of == {"a b.json": sorted(g["id"] for g in good), "cut.json": sorted(g["id"] for g in good[:-1]), "wrong.json": ["w", "x"]}
+    assert of == {"a [b].json": sorted(g["id"] for g in good), "cut.json": sorted(g["id"] for g in good[:-1]), "short.json": ["w", "x"]}
+    with pytest.raises(FileNotFoundError):
+        readers.read_folder(spark, str(tmp_path), pattern="*.none")
+
+
+def test_broken_records_of_a_large_file_go_alone(spark, tmp_path):
+    (tmp_path / "wrong.json").write_text('[{"id": "w", "model_score": "no"}, {"id": }, 7, {"id": "x"}]')
+    assert sorted(r.id for r in readers.read_folder(spark, str(tmp_path), large=0).collect()) == ["w", "x"]
 
 
 def test_unknown_rule(spark, tmp_path):
