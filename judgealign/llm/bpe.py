@@ -6,7 +6,7 @@
    before it, so a walk adds up to the word's number, and the number points at the word's ids: a transducer from
    bytes to ids. The file is put into the shared folder, fetched once per executor and memory-mapped by its tasks.
 3. Tasks split texts, look words up in the automaton and merge unseen words exactly by rank. The lexicon therefore
-   changes the speed only, never an id. Ids of recent chunks are remembered in a table of bounded size.
+   changes the speed only, never an id. Ids of recent chunks are remembered in tables of bounded bytes.
 
 The vocabulary file is of the kind "BPE with word ends": composed characters, lower case per character, white space
 dropped, words by the file's own pattern, bytes written as the visible characters of byte-level BPE, and no decoder,
@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import os
 import re
 import struct
 import unicodedata
@@ -51,8 +52,8 @@ LEXICON_SIZE = 32768
 LEXICON_BYTES = 64
 #: Words of more characters are merged with a heap.
 LONG = 48
-#: Chunks that a task remembers before it starts over.
-REMEMBERED = 250_000
+#: Chunks that a task remembers before it starts over, the bytes they may take, and the longest one it remembers.
+REMEMBERED, ROOM, KEPT = 250_000, 64 << 20, 256
 #: Single marks behind a word of letters: two words whatever the pattern says of longer marks.
 ENDINGS = frozenset(",.;:!?")
 #: Characters that Python's ``split`` takes for white space and the vocabulary's pattern does not.
@@ -98,7 +99,9 @@ class Vocabulary:
         self.special: dict[str, int] = plain["special"]
         self.tokens: dict[int, str] = plain["tokens"]
         self.words = regex.compile(plain["pattern"])
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: What all special tokens begin with: a chunk without it holds none.
+        self.mark = os.path.commonprefix(list(self.special))
         self.space = regex.compile(r"[\p{White_Space}]+")
         self.visible = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
@@ -160,21 +163,36 @@ class Vocabulary:
                     heapq.heappush(heap, (r, a, parts[a], parts[b]))
         return [p for p in parts if p]
 
-    def encode_chunk(self, chunk: str, known: dict[str, bytes]) -> bytes:
+    def encode_chunk(self, chunk: str, known: Remembered) -> bytes:
         """Ids (little-endian, 32 bits) of a text without white space, by merges; ``known`` keeps merged words."""
         coded = []
-        for part in self.cut.split(chunk) if "<|" in chunk else (chunk,):
+        for part in self.cut.split(chunk) if self.cut and self.mark in chunk else (chunk,):
             if part in self.special:
                 coded.append(pack([self.special[part]]))
                 continue
             for piece in self.pieces(part):
                 found = known.get(piece)
                 if found is None:
-                    known[piece] = found = pack(self.merge(piece))
+                    found = known.keep(piece, pack(self.merge(piece)))
                 coded.append(found)
         return coded[0] if len(coded) == 1 else b"".join(coded)
 
 
+class Remembered(dict):
+    """Ids of recent words within bounds: long words are not kept, and a full table begins anew."""
+
+    held = 0
+
+    def keep(self, word: str, coded: bytes) -> bytes:
+        if len(word) <= KEPT:
+            self.held += 4 * len(word) + len(coded)
+            if self.held > ROOM or len(self) >= REMEMBERED:
+                self.clear()
+                self.held = 4 * len(word) + len(coded)
+            self[word] = coded
+        return coded
+
+
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -271,26 +289,22 @@ class Lexicon:
         return self.data[self.ids + 4 * self.begin[number] : self.ids + 4 * self.begin[number + 1]] if self.ends[state] else None
 
 
-class Encoder(dict):
+class Encoder(Remembered):
     """Ids, as little-endian bytes, of chunks without white space."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.merged: dict[str, bytes] = {}
+        self.merged = Remembered()
 
     def __missing__(self, chunk: str) -> bytes:
         coded = self.lexicon.get(chunk.encode()) if self.lexicon else None
         if coded is None:
             coded = self.vocabulary.encode_chunk(chunk, self.merged)
-        self[chunk] = coded
-        return coded
+        return self.keep(chunk, coded)
 
     def encode(self, text: str) -> bytes:
         """All ids of a text."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.merged.clear()
         chunks = self.vocabulary.space.split(text) if ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.__getitem__, chunks))
 
@@ -299,16 +313,25 @@ class Encoder(dict):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words between white space with their counts, as often as the table of a task is full."""
+    """Words between white space, short enough for the lexicon, with their counts, as often as the table of a task is full."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
     words: Counter = Counter()
+    held = 0
     for batch in batches:
-        for text in batch.column("text"):
-            words.update((text.as_py() or "").split())
-            if len(words) > REMEMBERED:
-                yield table(schema, word=list(words), n=list(words.values()))
+        for scalar in batch.column("text"):
+            text = scalar.as_py() or ""
+            words.update(text.split())
+            held += len(text)
+            if len(words) > REMEMBERED or held > ROOM:
+                yield _short(schema, words)
                 words.clear()
-    yield table(schema, word=list(words), n=list(words.values()))
+                held = 0
+    yield _short(schema, words)
+
+
+def _short(schema: pa.Schema, words: Counter) -> pa.RecordBatch:
+    kept = [(w, n) for w, n in words.items() if len(w.encode()) <= LEXICON_BYTES]
+    return table(schema, word=[w for w, _ in kept], n=[n for _, n in kept])
 
 
 def frequent_words(docs: DataFrame, size: int) -> DataFrame:
@@ -318,15 +341,15 @@ def frequent_words(docs: DataFrame, size: int) -> DataFrame:
     """
     counts = docs.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     parts = max(1, size // 128)
-    short = counts.filter(F.octet_length("word") <= LEXICON_BYTES).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
+    dealt = counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word"))
-    return short.withColumn("place", place).filter(F.col("place") <= -(-size // parts)).select("word")
+    return dealt.withColumn("place", place).filter(F.col("place") <= -(-size // parts)).select("word")
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, size: int = LEXICON_SIZE) -> bytes:
     """Compile the frequent words of all texts."""
-    words = [row["word"] for row in frequent_words(docs, size).collect()]
-    return compile_lexicon({w.encode(): np.frombuffer(vocabulary.encode_chunk(w, {}), "<u4").tolist() for w in words if not ODD_SPACE.search(w)})
+    words, known = [row["word"] for row in frequent_words(docs, size).collect()], Remembered()
+    return compile_lexicon({w.encode(): np.frombuffer(vocabulary.encode_chunk(w, known), "<u4").tolist() for w in words if not ODD_SPACE.search(w)})
 
 
 _CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -46,6 +46,30 @@ def test_lexicon_gives_back_its_words_and_no_others(words, others):
     assert all(lexicon.get(w) is None for w in others if w not in words)
 
 
+def test_remembered_chunks_take_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "ROOM", 20_000)
+    coder = bpe.Encoder(VOCABULARY, None)
+    text = " ".join([f"{k}word{k * 7}.x{k}" for k in range(3000)] + ["blob" * 100 + str(k) for k in range(50)])
+    assert list(struct.unpack(f"<{len(c := coder.encode(text)) // 4}I", c)) == LIBRARY.encode(text, add_special_tokens=False).ids
+    for kept in (coder, coder.merged):
+        assert 0 < sum(4 * len(w) + len(ids) for w, ids in kept.items()) <= 20_000
+        assert max(map(len, kept)) <= bpe.KEPT
+
+
+def test_only_words_of_the_lexicon_are_counted(spark):
+    docs = spark.createDataFrame([("a b a " + "é" * 33 + " " + "x" * 64 + " " + "y" * 65,), (None,), ("b",)], "text string")
+    got = {r["word"] for r in bpe.frequent_words(docs, 1000).collect()}
+    assert got == {"a", "b", "x" * 64}
+
+
+def test_special_tokens_of_any_form():
+    plain = bpe.read_vocabulary(PATH)
+    odd = bpe.Vocabulary(plain | {"special": {"[S]": 1, "[S]x": 2, "</s>": 3}})
+    assert struct.unpack("<2I", odd.encode_chunk("[S]x</s>", bpe.Remembered())) == (2, 3)
+    none = bpe.Vocabulary(plain | {"special": {}})
+    assert none.encode_chunk("word", bpe.Remembered()) == VOCABULARY.encode_chunk("word", bpe.Remembered())
+
+
 def test_lexicon_shares_suffixes():
     few = bpe.compile_lexicon({w: [1] for w in (b"station", b"nation", b"ration")})
     states = struct.unpack_from("<5I", few)[1]
