@@ -6,7 +6,7 @@ Regular expressions carry ``(?U)`` where digits or blanks may be any Unicode dig
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: report labels and score tags -----------------------------------------------------
@@ -162,6 +162,33 @@ def report_ratings(text: Column) -> Column:
     return F.create_map(*entries)
 
 
+def report_hits(text: Column) -> tuple[Column, Column]:
+    """All labels and tags with a number in a text, in lower case, and their numbers: two arrays of one length.
+
+    A label is looked for backwards from each colon, a tag from each bracket, so a text is gone through once for all labels
+    and once for all tags, whatever their number. No label ends with another one, so a colon has one label at most.
+    """
+    labels = rf"(?i):(?<=({'|'.join(REPORT_LABELS.values())}):)\s*(\d+)"
+    tags = rf"(?i)<({'|'.join(REPORT_TAGS)})>(\d+)</\1>"
+
+    def both(group: int) -> Column:
+        return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(group)) for p in (labels, tags)])
+
+    return F.transform(both(1), F.lower), both(2)
+
+
+def explode_report_ratings(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Rows ``(keep, category, rating)``, one per category that is found; the first number of a category counts."""
+    names, numbers = report_hits(F.col(text))
+    hits = df.select(*keep, names.alias("_names"), numbers.alias("_numbers"))
+    first = F.filter(F.arrays_zip("_names", "_numbers"), lambda hit, i: F.array_position("_names", hit["_names"]) == i + 1)
+    category = F.create_map(*[F.lit(x) for c, label in REPORT_LABELS.items() for x in (label.lower(), c)], *[F.lit(t) for t in REPORT_TAGS for _ in (0, 1)])
+    # an outer explode: for an inner one the optimizer would evaluate the arrays once more as a filter
+    rows = hits.select(*keep, F.explode_outer(first).alias("_hit"))
+    rated = rows.select(*keep, category[F.col("_hit._names")].alias("category"), F.col("_hit._numbers").try_cast("double").alias("rating"))
+    return rated.where(F.col("rating").isNotNull())
+
+
 def first_float(text: Column, marker_required: bool) -> Column:
     """First number in the text after ``assistant\\n``; the whole text counts where no marker is required."""
     marker = "assistant\n"

@@ -81,9 +81,7 @@ def _patterns_sql() -> str:
 
 @query("extract_report_patterns", sql(_patterns_sql(), "eval_texts"))
 def extract_report_patterns(spark, sf):
-    return X.eval_texts(spark, sf).select("id", F.explode(T.report_ratings(F.col("text"))).alias("category", "rating")).where(
-        F.col("rating").isNotNull()
-    )
+    return T.explode_report_ratings(X.eval_texts(spark, sf), ["id"])
 
 
 @query(

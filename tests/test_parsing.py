@@ -141,6 +141,21 @@ def test_first_float(spark, text, optional, required):
     assert _one(spark, text, lambda c: T.first_float(c, True)) == required
 
 
+def test_report_ratings_of_one_pass_equal_those_of_each_pattern(spark):
+    labels = [*T.REPORT_LABELS.values()]
+    assert not [(a, b) for a in labels for b in labels if a != b and a.lower().endswith(b.lower())]
+    texts = [
+        None, "", "no number: here", "Naturalness: 4Naturalness: 2\nemotional RANGE:\n\t7", "rhythmic naturalness:5", "Naturalness : 3",
+        "<pitch_dynamics>3</Pitch_Dynamics><trait_embodiment>4</pitch_dynamics>", "<local_scene_fit> 4</local_scene_fit><local_scene_fit>9</local_scene_fit>",
+        "Character Consistency: 12 Style Consistency: x Style Consistency: 8", "Consistency: 4 <stress_emphasis>\u0663</stress_emphasis>", ": 5 <>4</>",
+        " ".join(f"{label.upper()}: {k}" for k, label in enumerate(labels)) + "".join(f"<{t}>{k}</{t}>" for k, t in enumerate(T.REPORT_TAGS)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    each = df.select("id", F.explode(T.report_ratings(F.col("text"))).alias("category", "rating")).where("rating is not null")
+    got = sorted(map(tuple, T.explode_report_ratings(df, ["id"]).collect()))
+    assert got == sorted(map(tuple, each.collect())) and len(got) > 30
+
+
 def test_report_ratings(spark):
     got = _one(spark, "rhythmic naturalness: 4\nTrait: 2\n<TRAIT_EMBODIMENT>3</TRAIT_EMBODIMENT>", T.report_ratings)
     assert {k: v for k, v in got.items() if v is not None} == {"naturalness": 4.0, "trait_embodiment": 3.0}
