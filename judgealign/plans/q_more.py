@@ -545,6 +545,23 @@ def source_checkpoints(spark, sf):
     return read.select("model_name", "processed", "duration", F.size("preview").alias("preview"))
 
 
+@query(
+    "sink_epochs",
+    """select event_id % 3 as epoch, event_type as kind, count(*) as n, cast(sum(event_id) as bigint) as ids from events group by event_id % 3, event_type""",
+)
+def sink_epochs(spark, sf):
+    """Three epochs; one is replayed with other rows, one stops before its commit and is written again. Each counts once."""
+    base = shared_dir(spark, "epochs")
+    events = X.table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"))
+    epochs = [events.where(F.col("event_id") % 3 == e) for e in range(3)]
+    sinks.write_epoch(epochs[0].unionAll(epochs[1]), base, 0)
+    sinks.stage_epoch(epochs[1], base, 1)
+    for number, rows in enumerate(epochs):
+        sinks.write_epoch(rows, base, number)
+    sinks.stage_epoch(epochs[2], base, 2)
+    return sinks.read_epochs(spark, base).groupBy("epoch", "kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(
     "sink_report",
     sql(f"select dim, count(*) as n, {q6('corr(pred, truth)')} as pearson, {q6('avg(abs(pred - truth))')} as mae from pooled group by dim", "pairs", pooled=A._POOLED),

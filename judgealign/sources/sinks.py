@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _MODES = {"error": "errorifexists", "skip": "ignore", "force": "overwrite", "append": "append"}
@@ -73,3 +75,71 @@ def write_bucketed(df: DataFrame, table: str, path: str, keys: str | list[str],
     dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
     dealt.option("path", path).mode("overwrite").saveAsTable(table)
     return spark.table(table)
+
+
+# ---- results by epoch ------------------------------------------------------------------------------------------------
+
+_COMMIT = "epoch long, attempt string, place long"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    """The commit records so far; none where nothing is committed."""
+    return spark.read.schema(_COMMIT).option("pathGlobFilter", "part-*").json(_made(spark, f"{path}/commits"))
+
+
+def _made(spark: SparkSession, folder: str) -> str:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    return folder
+
+
+def stage_epoch(df: DataFrame, path: str, epoch: int) -> str:
+    """Write the rows of an epoch where no reader looks yet; returns the name of this attempt."""
+    attempt = f"a{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/rows/epoch={epoch}/attempt={attempt}")
+    return attempt
+
+
+def commit_epoch(spark: SparkSession, path: str, epoch: int, attempt: str) -> None:
+    """Make an attempt the content of its epoch: one record of one file, which is there as a whole or not at all."""
+    place = _commits(spark, path).where(F.col("epoch") == epoch).count()
+    record = spark.range(1).select(F.lit(epoch).cast("long").alias("epoch"), F.lit(attempt).alias("attempt"), F.lit(place).cast("long").alias("place"))
+    record.coalesce(1).write.mode("append").json(f"{path}/commits")
+
+
+def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+    """Rows of an epoch (the batch number of a stream, or of a rerun job), which replace what the epoch held before.
+
+    The rows go to a folder of their own, then a record says that it is the epoch's. Readers see the attempt that was
+    recorded last, so a run that stops between the two leaves nothing that counts, a replay leaves no second copy, and an
+    epoch is never seen half written or missing while it is replaced. One writer at a time per epoch, as in a stream.
+    """
+    commit_epoch(df.sparkSession, path, epoch, stage_epoch(df, path, epoch))
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    return _commits(spark, path).groupBy("epoch").agg(F.max_by("attempt", "place").alias("attempt"))
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed epochs, with ``epoch``; folders of other attempts are pruned, not read."""
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.withColumn("epoch", F.col("epoch").cast("long")).join(_newest(spark, path), ["epoch", "attempt"], "left_semi").drop("attempt")
+
+
+def clear_attempts(spark: SparkSession, path: str) -> int:
+    """Delete the folders of attempts that no record names any more and return their number.
+
+    For times without a writer and without readers of older states. Only names of such folders reach the driver.
+    """
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where = fs_path(f"{path}/rows/epoch=*/attempt=*")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [(int(f.getPath().getParent().getName()[6:]), f.getPath().getName()[8:]) for f in fs.globStatus(where) or []]
+    if not there:
+        return 0
+    found = spark.createDataFrame(there, "epoch long, attempt string")
+    stale = found.join(_newest(spark, path), ["epoch", "attempt"], "left_anti").collect()
+    for r in stale:
+        fs.delete(fs_path(f"{path}/rows/epoch={r['epoch']}/attempt={r['attempt']}"), True)
+    return len(stale)

@@ -23,6 +23,7 @@ from judgealign.operators.kendall import kendall
 from judgealign.operators.moments import merge_moments, metrics, moments, with_overall
 from judgealign.operators.ranks import Compressed, auc_of, class_counts, count_pairs, spearman
 from judgealign.schemas import OVERALL
+from judgealign.sources import sinks
 
 #: Hash parts of an output and the column that holds them: a batch reads only the parts it touches.
 PARTS, PART = 64, "_key_part"
@@ -144,6 +145,11 @@ def run_increment(
     return _each_batch(stream, checkpoint, step)
 
 
+def run_epochs(stream: DataFrame, out: str, checkpoint: str, evaluate: Evaluate) -> StreamingQuery:
+    """Evaluate everything that has arrived, a batch being an epoch of the output (see :func:`sinks.write_epoch`), then stop."""
+    return _each_batch(stream, checkpoint, lambda batch, number: sinks.write_epoch(evaluate(batch), out, number))
+
+
 # ---- running agreement -----------------------------------------------------------------------------------------------
 
 
@@ -259,6 +265,6 @@ def compact(spark: SparkSession, out: str, target: str, keys: list[str]) -> None
 
 
 __all__ = [
-    "Counts", "append_new", "compact", "evaluate_pending", "fold_batches", "live_table", "moments_table", "run_classes", "run_increment",
+    "Counts", "append_new", "compact", "evaluate_pending", "fold_batches", "live_table", "moments_table", "run_classes", "run_epochs", "run_increment",
     "run_moments", "run_pairs", "run_table", "running_agreement", "running_auc", "running_metrics", "running_pairs", "stored", "stream_rows",
 ]

@@ -7,6 +7,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from judgealign.functions.scores import parse_scores
 from judgealign.operators import align, corpus, fewshot, moments
@@ -426,3 +427,36 @@ def test_a_registered_reward_can_be_replaced(spark):
     finally:
         rewards.REWARDS.clear()
         rewards.REWARDS.update(before)
+
+
+def test_epochs_count_once_whatever_stops(spark, tmp_path):
+    path = str(tmp_path / "epochs")
+
+    def rows(*values):
+        return spark.createDataFrame([(v,) for v in values], "v int")
+
+    def seen():
+        return sorted((r["epoch"], r["v"]) for r in sinks.read_epochs(spark, path).collect())
+
+    sinks.stage_epoch(rows(9), path, 0)  # stopped before its commit
+    assert seen() == []
+    sinks.write_epoch(rows(1, 2), path, 0)
+    sinks.write_epoch(rows(3), path, 1)
+    assert seen() == [(0, 1), (0, 2), (1, 3)]
+    before = sinks.read_epochs(spark, path)
+    late = sinks.stage_epoch(rows(4), path, 1)
+    assert sorted((r["epoch"], r["v"]) for r in before.collect()) == seen() == [(0, 1), (0, 2), (1, 3)]
+    sinks.commit_epoch(spark, path, 1, late)
+    sinks.write_epoch(rows().limit(0), path, 0)  # an epoch may become empty
+    assert seen() == [(1, 4)]
+    assert sinks.clear_attempts(spark, path) == 3 and seen() == [(1, 4)]
+    assert sinks.clear_attempts(spark, path) == 0
+
+
+def test_a_replayed_stream_batch_replaces_its_epoch(spark, tmp_path):
+    path, source = str(tmp_path / "out"), str(tmp_path / "in")
+    spark.range(5).withColumn("v", F.col("id") * 2).write.json(source)
+    for checkpoint in ("a", "b"):  # a lost checkpoint: the same files come again as batch 0
+        stream = incremental.stream_rows(spark, source, StructType().add("id", "long").add("v", "long"))
+        incremental.run_epochs(stream, path, str(tmp_path / checkpoint), lambda b: b.withColumn("v", F.col("v") + 1)).awaitTermination()
+    assert sorted(map(tuple, sinks.read_epochs(spark, path).select("epoch", "id", "v").collect())) == [(0, k, 2 * k + 1) for k in range(5)]
