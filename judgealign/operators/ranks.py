@@ -58,7 +58,8 @@ def running_counts(values: DataFrame, groups: list[str], value: str, measures: l
     if bounded:
         return values.select(*own, *[_before(groups, value, m).alias(f"before_{m}") for m in measures])
     bits = order_bits(F.col(value).cast("double"))
-    cells = values.withColumns({"_c1": F.shiftright(bits, 42), "_c2": F.shiftright(bits, 21)})
+    # never NULL, see count_pairs; values that are NULL would have cells of their own
+    cells = values.withColumns({f"_c{i}": F.coalesce(F.shiftright(bits, b), F.lit(-1 << 62)) for i, b in ((1, 42), (2, 21))})
     cell = [*groups, "_c1", "_c2"]
     fine = cells.groupBy(*cell).agg(*[F.sum(m).alias(f"_f_{m}") for m in measures])
     coarse = fine.groupBy(*groups, "_c1").agg(*[F.sum(f"_f_{m}").alias(f"_g_{m}") for m in measures])
@@ -80,7 +81,8 @@ def count_pairs(
     A row counts for its dimension and for the pool in one aggregation: equal cells are combined map-side, so
     the second copy costs no second shuffle.
     """
-    x, y = F.col(pred).cast("double") + 0.0, F.col(truth).cast("double") + 0.0
+    # never NULL, which the plan must see: joins would put their own filters below, and each reader of the cells its own copy
+    x, y = (F.coalesce(F.col(c).cast("double") + 0.0, F.lit(0.0)) for c in (pred, truth))
     rows = pairs.where(F.col(pred).isNotNull() & F.col(truth).isNotNull()).select(*keys, x.alias("x"), y.alias("y"))
     if overall:
         label = F.array("dim", F.lit(OVERALL))
@@ -93,7 +95,8 @@ def count_pairs(
 
 def average_ranks(cells: Compressed, keys: list[str], value: str) -> DataFrame:
     """``(keys, value, n, rank, dense)`` per distinct value: average rank of ties, and 0-based dense rank."""
-    values = cells.df.groupBy(*keys, value).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("bigint"))
+    values = cells.df.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    values = values.withColumn("one", F.least("n", F.lit(1).cast("bigint")))  # by n, so that the cells are the same ones for all readers
     counted = running_counts(values, keys, value, ["n", "one"], cells.bounded)
     return counted.select(
         *keys,

@@ -291,3 +291,14 @@ def test_quantiles_equal_numpy(spark, bounded):
     for g, vs in groups.items():
         for name, q in qs.items():
             assert got[g][name] == pytest.approx(np.quantile(vs, q), rel=1e-12, abs=1e-12), (g, name)
+
+
+@pytest.mark.parametrize("name", ["align_spearman_large", "align_kendall_large"])
+def test_pairs_behind_ranks_are_made_once(spark, name):
+    """All readers of the compressed cells share one exchange, so parse, means and join run once."""
+    from judgealign.plans import catalog
+
+    report = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    report.collect()
+    final = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Generate inline") == 1
