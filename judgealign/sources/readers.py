@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,21 +118,26 @@ def read_folder(spark: SparkSession, directory: str, salvage: str = "boundary",
     """
     if large is None:
         large = int(re.match(r"\d+", spark.conf.get("spark.sql.files.maxPartitionBytes"))[0])
-    sizes = _sizes(spark, f"{directory.rstrip('/')}/{pattern}")
-    small, big = ([p for p, size in sizes if (size > large) == over] for over in (False, True))
-    parts = [_streamed_folder(spark, small, salvage)] if small or not big else []
+    base = directory.rstrip("/")
+    big = _larger(spark, base, pattern, large)
+    parts = [_streamed_folder(spark, base, pattern, large if big else None, salvage)]
     parts += [_cut_folder(spark, big, salvage)] if big else []
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 
 
-def _sizes(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
-    """Paths, without the meaning of glob characters, and bytes of the files that a pattern matches."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    files = [(f.getPath(), f.getLen()) for f in found if not f.isDirectory() and not f.getPath().getName().startswith(("_", "."))]
-    if not files:
-        raise FileNotFoundError(pattern)
-    return sorted((f"{p.getParent().toString()}/{_plain(p.getName())}", n) for p, n in files)
+def _larger(spark: SparkSession, base: str, pattern: str, large: int) -> list[str]:
+    """Paths, without the meaning of glob characters, of the files of a folder that have more than ``large`` bytes.
+
+    Spark lists the folder and leaves out the other files before any task runs; only names of large files reach the driver's Python.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(base)
+    except AnalysisException as error:
+        raise FileNotFoundError(base) from error
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"{base}/{pattern}")
+    over = files.where(F.col("_metadata.file_size") > large).select("path").collect()
+    return sorted(f"{head}/{_plain(name)}" for head, _, name in (r.path.rpartition("/") for r in over))
 
 
 def _folder_fields() -> tuple[list[str], T.StructType]:
@@ -139,10 +145,13 @@ def _folder_fields() -> tuple[list[str], T.StructType]:
     return names, T.StructType([*schemas.DIMENSION_RESULT.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def _streamed_folder(spark: SparkSession, paths: list[str], salvage: str) -> DataFrame:
+def _streamed_folder(spark: SparkSession, base: str, pattern: str, most: int | None, salvage: str) -> DataFrame:
+    """Records of the files of up to ``most`` bytes; the folder is listed as one path, however many files it has."""
     names, schema = _folder_fields()
     reader = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
-    rows = reader.json(paths).withColumn("source_file", _decoded(_file_name()))
+    files = reader.option("pathGlobFilter", pattern).json(base)
+    files = files if most is None else files.where(F.col("_metadata.file_size") <= most)
+    rows = files.withColumn("source_file", _decoded(_file_name()))
     # a record with a value of the wrong type has its other fields; a file that ends early has none
     empty = F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNull()
     record = F.array(F.struct(*[F.col(f"`{n}`") for n in names]))

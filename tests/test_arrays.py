@@ -100,3 +100,12 @@ def test_quotes_behind_backslashes():
 
     text = rb'a"b\"c\\"d\\\"e"'
     assert np.flatnonzero(arrays.quotes_of(np.frombuffer(text, np.uint8))).tolist() == [1, 8, 15]
+
+
+def test_a_folder_of_many_small_files_is_one_path(spark, tmp_path):
+    """Files are listed by Spark from the folder; no list of their paths is made in the driver's Python."""
+    for i in range(40):
+        (tmp_path / f"f{i}.json").write_text(f'[{{"id": "{i}"}}]')
+    rows = readers.read_folder(spark, str(tmp_path))
+    assert "InMemoryFileIndex(1 paths)" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(int(r.id) for r in rows.collect()) == list(range(40))
