@@ -50,13 +50,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/judgealign-{name}-{uuid.uuid4().hex}"
 
 
-def spread(table: DataFrame) -> DataFrame:
+def spread(table: DataFrame, parts: int = 1) -> DataFrame:
     """Spread a file scan with fewer splits than cores before expensive work per row.
 
-    For scans only: the splits of other plans cannot be known without running them.
+    For scans only: the splits of other plans cannot be known without running them. ``parts`` above 1 is for narrow rows with
+    far more work than bytes: the scan is dealt into so many parts per core, or per split where there are more of these, so
+    that a task's share does not grow up to that of a whole split.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    cores, splits = table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions()
+    if parts > 1:
+        return table.repartition(parts * max(cores, splits))
+    return table if splits >= cores else table.repartition(cores)
 
 
 def ship_with_tasks(module: str) -> None:

@@ -206,3 +206,10 @@ def test_permute(spark):
     df = spark.range(50).select(picks.permute(F.array(*map(F.lit, "abcd")), 3, F.col("id")).alias("p"))
     rows = [tuple(r.p) for r in df.collect()]
     assert all(sorted(p) == list("abcd") for p in rows) and len(set(rows)) > 5
+
+
+def test_answers_are_dealt_into_more_parts_than_cores(spark):
+    """A few splits of narrow rows hold very many answers to parse, so they are not left to one task per core."""
+    from judgealign.plans import fixtures
+
+    assert fixtures.judge(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
