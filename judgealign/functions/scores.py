@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from judgealign.functions import text as X
 
+#: A JSON number as a VARIANT writes it.
+_NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+
 
 def parse_scores(
     df: DataFrame,
@@ -44,18 +47,26 @@ def parse_scores(
         *[F.try_variant_get("_json", f"$['{d}']", "variant").alias(f"_raw{i}") for i, d in enumerate(dims)],
         *[_hits("_loose", d).alias(f"_odd{i}") for i, d in enumerate(dims)],
     )
-    values = raw.select(
+    # numbers are written by most judges; only rows with anything else take the way of _number and _loose_number, which is
+    # a lambda so that its code is not part of what every row runs through
+    tokens = raw.withColumns({f"_token{i}": F.to_json(f"_raw{i}") for i in range(len(dims))})
+    plain = [F.col(f"_odd{i}").isNull() & (F.col(f"_token{i}").isNull() | F.col(f"_token{i}").rlike(_NUMBER)) for i in range(len(dims))]
+    numbers = [F.col(f"_token{i}").try_cast("double") for i in range(len(dims))]
+    found = F.array(*[F.struct(F.col(f"_raw{i}").alias("raw"), F.col(f"_odd{i}").alias("odd")) for i in range(len(dims))])
+    values = tokens.select(
         *keep,
         *tops,
         *[(F.col(f"_raw{i}").isNotNull() | F.coalesce(F.size(f"_odd{i}") > 0, F.lit(False))).alias(f"_has{i}") for i in range(len(dims))],
-        *[F.coalesce(_number(F.col(f"_raw{i}"), mode), _loose_number(F.col(f"_odd{i}"), mode)).alias(f"_val{i}") for i in range(len(dims))],
+        F.when(reduce(lambda a, b: a & b, plain), F.array(*[_truncated(n) if mode == "int" else n for n in numbers]))
+        .otherwise(F.transform(found, lambda v: F.coalesce(_number(v["raw"], mode), _loose_number(v["odd"], mode))))
+        .alias("_vals"),
     )
-    sound = [~F.col(f"_has{i}") | F.col(f"_val{i}").isNotNull() for i in range(len(dims))]
+    sound = [~F.col(f"_has{i}") | F.col("_vals")[i].isNotNull() for i in range(len(dims))]
     checked = values.withColumn("_ok", reduce(lambda a, b: a & b, sound))
     fallback = F.lit(float(default))
     out = []
     for i, d in enumerate(dims):
-        score = F.when(F.col("_ok") & F.col(f"_has{i}"), F.col(f"_val{i}")).otherwise(fallback)
+        score = F.when(F.col("_ok") & F.col(f"_has{i}"), F.col("_vals")[i]).otherwise(fallback)
         out.append(F.when(scored, score).otherwise(F.col(f"_top{i}")).alias(d))
     return checked.select(*keep, *out)
 
@@ -66,12 +77,16 @@ def _number(raw: Column, mode: str) -> Column:
     as_text = F.try_variant_get(raw, "$", "string")
     if mode == "int":
         is_text = F.schema_of_variant(raw) == "STRING"
-        whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
-        return F.when(is_text, X.as_int(as_text).cast("double")).otherwise(whole)
+        return F.when(is_text, X.as_int(as_text).cast("double")).otherwise(_truncated(number))
     # text with a type suffix such as 1d casts in SQL but is no number
     return F.when(number.isNotNull() & ~as_text.rlike(r"\d\.?[dDfF]\s*$"), number)
 
 
+def _truncated(number: Column) -> Column:
+    """A number without its fraction."""
+    return F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
+
+
 def _hits(entries: str, key: str) -> Column:
     """The map entries of a key in order."""
     return F.filter(entries, lambda e: e["key"] == F.lit(key))
@@ -84,8 +99,7 @@ def _loose_number(hits: Column, mode: str) -> Column:
     number = F.when(value == "true", 1.0).when(value == "false", 0.0).otherwise(plain)
     if mode == "float":
         return number
-    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), whole)
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), _truncated(number))
 
 
 def separate_score(response: Column, error: Column, default: float = 1.0) -> Column:

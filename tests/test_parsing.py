@@ -54,6 +54,19 @@ def test_missing_response_uses_the_row(spark):
     assert _parse(spark, None, d1=2.0) == (2.0, None)
 
 
+def test_casts_of_values_do_not_grow_with_the_dimensions(spark):
+    """Every row would run through the code of all of them; numbers take none, so one lambda holds them for the other rows."""
+    answers = spark.createDataFrame([('{"d0":2.5,"d1":"3.7"}',), ('{"d0":1e2,"d1":-0.25,"d3":4}',), ('{"d0":NaN,"d1":2}',)], "response string")
+
+    def casts(n):
+        plan = scores.parse_scores(answers, [f"d{i}" for i in range(n)])._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("DoubleType")
+
+    assert 0 < casts(2) == casts(4)
+    rows = sorted(str(tuple(r)) for r in scores.parse_scores(answers, ["d0", "d1", "d2", "d3"]).select("d0", "d1", "d2", "d3").collect())
+    assert rows == ["(100.0, -0.25, 1.0, 4.0)", "(2.5, 3.7, 1.0, 1.0)", "(nan, 2.0, 1.0, 1.0)"]
+
+
 def _policy(spark, raw, policy, gate=False):
     schema = "r array<string>"
     return spark.createDataFrame([(raw,)], schema).select(ratings.clean(F.col("r"), policy, gate)).first()[0]
