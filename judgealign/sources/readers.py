@@ -30,11 +30,13 @@ def _decoded(name: Column) -> Column:
 def _json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Parsed lines in ``j`` (a bad line has its text in ``j._corrupt_record``), with the place of each line.
 
-    The lines are read as text and parsed in the plan, so that a bad line is recognised whatever columns are used.
+    The lines are read as text and parsed in the plan, so that a bad line is recognised whatever columns are used. Each is a
+    list of one that is exploded: a filter on a plain column would go below it and parse every line once more.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     return lines.select(
-        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"),
+        F.explode_outer(F.array(parsed)).alias("j"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         _file_name().alias("source_file"),

@@ -57,6 +57,16 @@ def _record(i, dim, score, ratings):
             "ground_truth_ratings": {"pitch_variation": ratings, "annotator_confidence_rating": [5]}}
 
 
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """The filter on bad lines is no second parse, and columns that nobody asks for leave it in place."""
+    path = tmp_path / "m_trial1.jsonl"
+    path.write_text('{"id":"a.wav","response":"{}"}\n\n{"id":"b"\n[]\n{"id":1,"error":"x"}\n')
+    for rows in (readers.read_results(spark, str(path)), readers.read_trials(spark, str(tmp_path), "m")):
+        used = rows.select("item_id", "response")
+        assert used._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+        assert [tuple(r) for r in used.collect()] == [("a", "{}")]
+
+
 def test_folder_report_with_truncated_file(spark, tmp_path):
     base = str(tmp_path / "f")
     os.makedirs(base)
